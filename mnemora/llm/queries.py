@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemora.llm import media, packing, sharding, warc
+from mnemora.llm import decontam, langid, media, packing, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
@@ -25,12 +33,16 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_read(spark, sf_dir, "documents"))
 
 
+def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated_pairs(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_vector_sharding, op7_mpeg_audio, op10_warc_zstd)}
+    return {f.__name__: f for f in (op2_language_id, op4_toxicity, op5_best_fit_packing, op6_vector_sharding, op7_mpeg_audio, op9_string_tiling, op10_warc_zstd)}
 
 
 OP10_SQL = """
