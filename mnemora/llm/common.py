@@ -93,3 +93,24 @@ def in_bitmap(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Whether each 64-bit key's bit is set."""
     at = keys.astype(np.uint64) & np.uint64(len(table) * 8 - 1)
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
+
+
+def hit(table, key):
+    """A Boolean column: whether the long column ``key`` has its bit in a broadcast bitmap."""
+    return F.arrow_udf(lambda k: pa.array(in_bitmap(k.to_numpy(zero_copy_only=False), table.value)), "boolean")(key)
+
+
+def text_key(column):
+    """A text's 128-bit key, null counting as empty."""
+    return F.unhex(F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary")))
+
+
+def distinct_texts(docs: DataFrame, text_col: str, repeated) -> DataFrame:
+    """Each distinct text once: (key binary, text string).
+
+    ``repeated`` is a broadcast bitmap of xxhash64(key) for keys of several
+    rows; only rows with its bit are shuffled to be told apart.
+    """
+    d = docs.select(text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    again = hit(repeated, F.xxhash64("key"))
+    return d.filter(~again).unionByName(d.filter(again).groupBy("key").agg(F.first("text").alias("text")))
