@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemora.llm import decontam, langid, media, packing, sharding, substrings, toxicity, urlfilter, warc
+from mnemora.llm import decontam, jaccard, langid, media, packing, sharding, substrings, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_read(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(_read(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated_pairs(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -53,7 +57,7 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_language_id, op3_suffix_dedup, op4_toxicity, op5_best_fit_packing, op6_vector_sharding, op7_mpeg_audio, op9_string_tiling, op10_warc_zstd)}
+    return {f.__name__: f for f in (op1_url_filters, op2_language_id, op3_suffix_dedup, op4_toxicity, op5_best_fit_packing, op6_vector_sharding, op7_mpeg_audio, op8_jaccard_join, op9_string_tiling, op10_warc_zstd)}
 
 
 OP10_SQL = """
@@ -68,5 +72,15 @@ FROM b
 """
 
 
+OP8_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' '))) END AS sh FROM w),
+g AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(node, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.node = e.a)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(r.c) AS component_id FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, s.sh
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc_zstd": OP10_SQL}
+    return {"op8_jaccard_join": OP8_SQL, "op10_warc_zstd": OP10_SQL}
