@@ -40,3 +40,48 @@ def components(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
             break
         state = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def degree(relations: DataFrame) -> DataFrame:
+    """(id, degree): edges touching a node, a self-loop once."""
+    ends = relations.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"))
+    return ends.groupBy("id").agg(F.count("*").alias("degree"))
+
+
+def traverse(relations: DataFrame, root, depth: int = 2) -> DataFrame:
+    """Nodes within ``depth`` undirected steps of a root: (id, depth).  Nodes at the last depth are not expanded."""
+    spark = relations.sparkSession
+    both = relations.select(F.col("source_id").alias("x"), F.col("target_id").alias("y")).unionByName(relations.select(F.col("target_id").alias("x"), F.col("source_id").alias("y"))).distinct()
+    seen = spark.range(1).select(F.lit(root).cast(relations.schema["source_id"].dataType).alias("id"), F.lit(0).alias("depth"))
+    frontier = seen
+    for d in range(1, depth + 1):
+        frontier = both.join(frontier.select(F.col("id").alias("x")), "x").select(F.col("y").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def edges_within(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among nodes (id)."""
+    ids = nodes.select("id").distinct()
+    return relations.join(ids, relations["source_id"] == ids["id"], "left_semi").join(ids, relations["target_id"] == ids["id"], "left_semi")
+
+
+def add_edges(relations: DataFrame, new: DataFrame, memories: DataFrame) -> DataFrame:
+    """The edges to append: unknown by (source, target, type), with both ends in the store, each once."""
+    key = ["source_id", "target_id", "relation_type"]
+    return edges_within(new.dropDuplicates(key), memories).join(relations.select(*key), key, "left_anti")
+
+
+def without_nodes(relations: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges left after nodes (id) are deleted."""
+    ids = gone.select("id").distinct()
+    return relations.join(ids, relations["source_id"] == ids["id"], "left_anti").join(ids, relations["target_id"] == ids["id"], "left_anti")
+
+
+def repointed(relations: DataFrame, moved: DataFrame) -> DataFrame:
+    """Edges with duplicates' ends (canonical, duplicate) moved to the canonical: no self-loops, each once, weight 1."""
+    s = moved.select(F.col("duplicate").alias("source_id"), F.col("canonical").alias("s"))
+    t = moved.select(F.col("duplicate").alias("target_id"), F.col("canonical").alias("t"))
+    out = relations.join(s, "source_id", "left").join(t, "target_id", "left")
+    out = out.select(F.coalesce("s", "source_id").alias("source_id"), F.coalesce("t", "target_id").alias("target_id"), "relation_type")
+    return out.filter("source_id <> target_id").distinct().withColumn("weight", F.lit(1.0))
