@@ -16,7 +16,7 @@ def transcript(spark: SparkSession, path: str) -> DataFrame:
     A message's content is a string or an array of blocks, so it is parsed as
     a variant; only user and assistant lines stay.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     v = raw.withColumn("v", F.try_parse_json("value")).filter("v is not null")
     get = lambda c, p: F.try_variant_get(c, p, "string")
     v = v.withColumn("role", F.coalesce(get("v", "$.message.role"), get("v", "$.type"))).filter("role in ('user', 'assistant')")
@@ -28,9 +28,7 @@ def transcript(spark: SparkSession, path: str) -> DataFrame:
 
 def prompts(spark: SparkSession, path: str, modified_after: str | None = None) -> DataFrame:
     """Plain prompts (file, line, prompt) of transcripts changed since a time; wrappers and interruptions are left out."""
-    reader = spark.read.option("wholetext", True)
-    reader = reader.option("modifiedAfter", modified_after) if modified_after else reader
-    raw = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    raw = spark.read.text(path, wholetext=True, modifiedAfter=modified_after).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     v = raw.withColumn("v", F.try_parse_json("value")).filter("v is not null").filter(F.try_variant_get("v", "$.type", "string") == "user")
     v = v.filter(F.schema_of_variant(F.try_variant_get("v", "$.message.content", "variant")) == "STRING")
     p = v.select("file", "line", F.try_variant_get("v", "$.message.content", "string").alias("prompt"))
@@ -48,7 +46,7 @@ def skills(spark: SparkSession, path: str) -> DataFrame:
 
     Folders that hold snapshots or workspaces are left out.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     raw = raw.filter(~F.col("path").rlike("skill-snapshot|workspace"))
     head = F.regexp_extract("value", r"(?s)^---\s*\n(.*?)\n---", 1)
     folded = F.trim(F.regexp_replace(F.regexp_extract(head, r"(?m)^description:\s*[>|][-+]?\s*\n((?:[ \t]+.*(?:\n|$))+)", 1), r"\s+", " "))
@@ -59,7 +57,7 @@ def skills(spark: SparkSession, path: str) -> DataFrame:
 
 def caption_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines (file, line, text) of caption files."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
 
 
 def best_track(tracks: DataFrame, languages: list[str]) -> DataFrame:
@@ -71,7 +69,7 @@ def best_track(tracks: DataFrame, languages: list[str]) -> DataFrame:
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """A project registry's rows (name, path, type, summary, status)."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     kind = "projects map<string, struct<path:string, type:string, summary:string, status:string>>"
     return raw.select(F.explode(F.from_json("value", f"struct<{kind.replace(' map', ':map')}>")["projects"]).alias("name", "p")).select("name", "p.*")
 
