@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.deploy import ship
+
 #: Rows in one Arrow batch handed to Python; keeps a batch of long texts within some tens of MB.
 ARROW_ROWS = 512
 _OWN: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session by rows, and by bytes where Spark knows that setting."""
+    """Bound the Arrow batches of this session by rows and bytes, and send this package along."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -105,12 +108,25 @@ def text_key(column):
     return F.unhex(F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary")))
 
 
-def distinct_texts(docs: DataFrame, text_col: str, repeated) -> DataFrame:
-    """Each distinct text once: (key binary, text string).
+def distinct_scan(docs: DataFrame, text_col: str, repeated, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, only=None) -> DataFrame:
+    """Map each distinct text once, in batches of (key binary, text string), null texts being empty.
 
     ``repeated`` is a broadcast bitmap of xxhash64(key) for keys of several
-    rows; only rows with its bit are shuffled to be told apart.
+    rows; only rows with its bit are shuffled, to be told apart.  ``only`` is
+    one of the keys wanted, if not all are; some others may come along.
     """
     d = docs.select(text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    again = hit(repeated, F.xxhash64("key"))
-    return d.filter(~again).unionByName(d.filter(again).groupBy("key").agg(F.first("text").alias("text")))
+    d = d.withColumn("h", F.xxhash64("key"))
+
+    def chosen(batch: pa.RecordBatch, again: bool) -> pa.RecordBatch | None:
+        h = batch.column(2).to_numpy(zero_copy_only=False)
+        keep = in_bitmap(h, repeated.value) == again
+        if only is not None:
+            keep &= in_bitmap(h, only.value)
+        return batch.filter(pa.array(keep)).select(["key", "text"]) if keep.any() else None
+
+    def once(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        return f(part) if (part := chosen(batch, False)) is not None else None
+
+    several = scan(d, lambda b: chosen(b, True), "key binary, text string").groupBy("key").agg(F.first("text").alias("text"))
+    return scan(d, once, schema).unionByName(scan(several, f, schema))

@@ -8,7 +8,8 @@ Per list one leader, the set that most lists share, is compared with all
 members.  Members linked to it are in one component, and the others' answers
 follow from the leader's: by the triangle inequality of the Jaccard distance,
 two members whose distances to the leader differ by more than the limit are
-no link.  Only members of different components within the limit are compared
+no link.  Of members of different components, marks of a byte a range of the
+order bound the difference from below, and only pairs that pass are compared
 themselves.
 """
 
@@ -22,12 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, bitmap, distinct_texts, hit, in_bitmap, scan, text_key, tune
+from mnemora.llm.common import Scratch, bitmap, distinct_scan, hit, in_bitmap, scan, text_key, tune
 from mnemora.llm.langid import mix
 from mnemora.operators.graph import components
 
+#: Bits of the bitmap of shared signatures; it filters, so a fuller one costs time and changes no result.
 BITS = 27
-CACHE_WORDS = 500_000
+#: Bytes of a signature, signatures counted at once, words whose hashes and sets that a process keeps.
+SIG_BYTES, FLUSH, CACHE_WORDS, KEPT_SETS = 5, 1 << 21, 150_000, 64
+#: Least and most logarithm of a mark's length; components up to which a list is short; members compared in one group.
+MARK_LEAST, MARK_MOST, SHORT, BLOCK = 8, 13, 6, 2048
 
 
 class _Words(dict):
@@ -62,19 +67,22 @@ def shingles(text: str, n: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def bands(num: int, den: int) -> tuple[list[int], list[int], list[int]]:
-    """Size bands: first sizes, position blocks and empty blocks that may be left out, of each band.
+def bands(num: int, den: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Size bands: first sizes, position blocks, empty blocks that may be left out, and sizes up to which a set reaches below.
 
-    A set links only with sets of its own or a neighbouring band.  Two linked
-    sets, the smaller in band r, differ in at most blocks - 1 - spare
-    shingles.
+    A band spans two of the greatest ratios of linked sizes, so a set links
+    only within its band and a neighbouring one; with the band below only if
+    it is no larger than the last number.  Two linked sets, the smaller in
+    band r, differ in at most blocks - 1 - spare shingles.
     """
-    first, blocks, spare = [1, 2], [], []
+    grow = lambda n: n * den // num  # noqa: E731  the largest set that links with one of n
+    first, blocks, spare, below = [1, 2], [], [], [0]
     while first[-1] < 1 << 40:
-        first.append(max(first[-1] + 1, (first[-1] - 1) * den // num + 1))
+        first.append(max(first[-1] + 1, grow(grow(first[-1] - 1)) + 1))
     for r in range(len(first) - 1):
         a = first[r + 1] - 1
-        differ = (a + a * den // num) * (den - num) // (den + num)
+        below.append(grow(a))
+        differ = (a + grow(a)) * (den - num) // (den + num)
         free = 0
         if differ:
             for _ in range(3):
@@ -82,17 +90,17 @@ def bands(num: int, den: int) -> tuple[list[int], list[int], list[int]]:
                 free = int(np.ceil(2 * m * np.exp(-first[r] / m)))
         blocks.append(differ + 1 + free)
         spare.append(free)
-    return first, blocks, spare
+    return first, blocks, spare, below
 
 
 def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The set's block contents as 64-bit hashes: as the smaller of a pair in its own band, as the larger in the one below."""
-    first, blocks, spare = bands(num, den)
+    """The set's block contents as hashes of SIG_BYTES bytes: in its own band, and in the one below if it reaches there."""
+    first, blocks, spare, below = bands(num, den)
     own = int(np.searchsorted(first, len(tokens), side="right")) - 1
     total = np.r_[np.uint64(0), np.cumsum(mix(tokens + _STEP), dtype=np.uint64)]
     out = []
     for r in (own, own - 1):
-        if r < 0:
+        if r < 0 or (r < own and len(tokens) > below[own]):
             continue
         m = blocks[r]
         edge = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
@@ -103,20 +111,61 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
         if (count == 0).sum() <= spare[r]:
             sig = sig[count > 0]
         out.append(sig)
-    return np.concatenate(out)
+    return np.concatenate(out) & np.uint64((1 << 8 * SIG_BYTES) - 1)
 
 
-def _overlaps(batch: pa.RecordBatch) -> pa.RecordBatch:
-    n, na, nb = [], [], []
-    for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if len(a) > len(b):
-            a, b = b, a
-        at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
-        n.append(int((b[at] == a).sum()) if len(b) else 0)
-        na.append(len(a))
-        nb.append(len(b))
-    return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array([p + q - c for p, q, c in zip(na, nb, n, strict=True)], pa.int64())], ["a", "b", "common", "joint"])
+def packed(sigs: np.ndarray) -> bytes:
+    return sigs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // SIG_BYTES
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :SIG_BYTES] = np.frombuffer(raw, np.uint8).reshape(n, SIG_BYTES)
+    return out.view("<u8").ravel()
+
+
+def shared_bitmap(sets: DataFrame, total: int) -> np.ndarray:
+    """A bitmap of 2**BITS bits of the signatures, by their first 32 bits, that several sets have.
+
+    Tasks hand on sorted 32-bit values in parts of FLUSH, each value once and
+    with a note if it was there twice; a bucket of values is a slice of the
+    bitmap and is counted by one task.
+    """
+    log = int(np.clip(np.ceil(np.log2(max(total, 1) / FLUSH)), 0, 12))
+
+    def parts(batches):
+        held: list[np.ndarray] = []
+
+        def flush():
+            value, count = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            edges = np.searchsorted(value, np.arange(1, 1 << log, dtype=np.uint64) << np.uint64(32 - log))
+            groups = list(zip(range(1 << log), np.split(value.astype("<u4"), edges), np.split(count > 1, edges), strict=True))
+            groups = [g for g in groups if len(g[1])]
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups], pa.int32()), pa.array([g[1].tobytes() for g in groups], pa.binary()), pa.array([g[1][g[2]].tobytes() for g in groups], pa.binary())], ["bucket", "once", "more"])
+
+        for batch in batches:
+            held.append(unpacked(b"".join(batch.column(0).to_pylist())) & np.uint64(0xFFFFFFFF))
+            if sum(map(len, held)) >= FLUSH:
+                yield flush()
+        if held:
+            yield flush()
+
+    def count(t: pa.Table) -> pa.Table:
+        value = np.frombuffer(b"".join(t.column("once").to_pylist()), "<u4")
+        kinds, n = np.unique(value, return_counts=True)
+        again = np.concatenate([kinds[n > 1], np.frombuffer(b"".join(t.column("more").to_pylist()), "<u4")])
+        bucket, width = t.column("bucket")[0].as_py(), 1 << (BITS - log)
+        flags = np.zeros(width, dtype=np.uint8)
+        flags[(again >> np.uint32(32 - BITS)).astype(np.int64) - bucket * width] = 1
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "map": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    size = len(out) >> log
+    for r in sets.select("sigs").mapInArrow(parts, "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(count, "bucket int, map binary").toLocalIterator():
+        out[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["map"], dtype=np.uint8)
+    return out
 
 
 def linked_texts(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -135,66 +184,162 @@ def linked_texts(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int,
         for text in batch.column(1).to_pylist():
             tokens = shingles(text, n)
             sizes.append(len(tokens))
-            sigs.append(signatures(tokens, num, den).tobytes() if len(tokens) else b"")
+            sigs.append(packed(signatures(tokens, num, den)) if len(tokens) else b"")
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["key", "n", "sigs"])
 
-    sets = scratch.table("sets", scan(distinct_texts(docs, text_col, several), index, "key binary, n long, sigs binary"))
-
-    def single(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        sig, count = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(count)], ["sig", "c"])
-
-    lists = scan(sets.select("sigs"), single, "sig long, c long").groupBy("sig").agg(F.sum("c").alias("c")).filter("c > 1")
-    shared = spark.sparkContext.broadcast(bitmap(lists.select(F.col("sig").alias("key")), BITS))
+    sets = scratch.table("sets", distinct_scan(docs, text_col, several, index, "key binary, n long, sigs binary"))
+    sizes = scratch.table("sizes", sets.select("key", F.col("n").alias("n_shingles")))
+    total = sets.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
+    shared = spark.sparkContext.broadcast(shared_bitmap(sets, total // SIG_BYTES))
 
     def members(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows: list[list] = [[], [], [], []]
         for key, size, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            sig = np.frombuffer(raw, np.uint64)
-            sig = sig[in_bitmap(sig, shared.value)].view(np.int64).tolist()
+            sig = unpacked(raw)
+            sig = sig[in_bitmap((sig & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS), shared.value)].view(np.int64).tolist()
             for column, value in zip(rows, ([key] * len(sig), [size] * len(sig), sig, [len(sig)] * len(sig)), strict=True):
                 column.extend(value)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["key", "n", "sig", "score"])
 
-    member = scan(sets, members, "key binary, n long, sig long, score long")
     # the leader is the member that most lists share; lists of one member were a bitmap's chance hits
-    lead = F.max(F.struct("score", "key")).alias("lead")
-    heads = member.groupBy("sig").agg(lead, F.count("*").alias("c")).filter("c > 1").select("sig", F.col("lead.key").alias("leader"))
+    member = scratch.table("found", scan(sets, members, "key binary, n long, sig long, score long"))
+    heads = member.groupBy("sig").agg(F.max(F.struct("score", "key")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("sig", F.col("lead.key").alias("leader"))
     member = scratch.table("members", member.join(heads, "sig").select("sig", "key", "n", "leader"))
+    for name in ("sets", "found"):
+        scratch.drop(name)
+    marks = scratch.table("marks", _marks(docs, member.select("key"), several, n, text_col))
     pairs = member.filter("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    first = scratch.table("first", _verify(docs, scratch, pairs, several, n, text_col, "tokens"))
+    first = _verify(docs, scratch, _possible(pairs, marks, num, den), several, n, text_col, "first")
     linked = (F.col("common") * den >= F.col("joint") * num).alias("linked")
     groups = components(first.filter(linked), scratch.root)
-    # lists whose members lie in several components
+    # lists whose members lie in several components; a leader's own answers are known
     far = 1 - F.col("common") / F.col("joint")
     known = first.select(F.col("a").alias("leader"), F.col("b").alias("key"), far.alias("far"))
     m = member.join(known, ["leader", "key"], "left").join(groups, member["key"] == groups["node"], "left")
-    m = m.select("sig", "key", "n", "leader", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "key").alias("component"))
-    m = scratch.table("open", m)
-    left = m.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("sig")
-    m = m.join(left, "sig").filter("key != leader").select("sig", "key", "n", "far", "component")
-    x, y = (m.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "far", "component")]) for s in "xy")
+    m = scratch.table("open", m.select("sig", "key", "n", "leader", "far", F.coalesce("component", "key").alias("component")))
+    spread = m.groupBy("sig", "component").agg(F.count("*").alias("c")).groupBy("sig").agg(F.count("*").alias("groups"), F.sum("c").alias("size")).filter("groups > 1")
+    m = scratch.table("rest", m.join(spread, "sig").filter("key != leader").select("sig", "key", "n", "far", "component", "groups", "size"))
+    short = m.filter(F.col("groups") <= SHORT)
+    of_key = short.groupBy("key").agg(F.array_sort(F.collect_set("sig")).alias("sigs"))  # as many as a set has blocks
+    short = short.join(of_key, "key")
+    x, y = (short.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "far", "component", "sigs")]) for s in "xy")
     limit = (den - num) / den + 1e-9
-    near = (F.col("key_x") < F.col("key_y")) & (F.col("component_x") != F.col("component_y")) & (F.abs(F.col("far_x") - F.col("far_y")) <= limit) & (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
-    rest = x.join(y, "sig").filter(near).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
-    second = scratch.table("second", _verify(docs, scratch, rest, several, n, text_col, "tokens2"))
-    return sets.select("key", F.col("n").alias("n_shingles")), first.unionByName(second).filter(linked)
+    near = (F.col("key_x") < F.col("key_y")) & (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
+    near = near & F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= limit, F.lit(True))
+    # a pair is taken up in the first list that it shares
+    near = near & (F.col("sig_x") == F.array_min(F.array_intersect("sigs_x", "sigs_y")))
+    rest = x.withColumn("sig_x", F.col("sig")).join(y, "sig").filter(near).select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
+    rest = rest.unionByName(_within(m.filter(F.col("groups") > SHORT), marks, num, den)).distinct()
+    second = _verify(docs, scratch, _possible(rest, marks, num, den), several, n, text_col, "second")
+    return sizes, first.unionByName(second).filter(linked)
+
+
+def mark(tokens: np.ndarray) -> bytes:
+    """A byte for each of 2**k equal ranges of the order, 2**k being no less than the set's size: the sum of its tokens' hashes.
+
+    Ranges whose bytes differ hold different shingles, so their number is no
+    more than the sets' symmetric difference.  Adding neighbours gives the
+    mark of half as many ranges.
+    """
+    k = int(np.clip(np.ceil(np.log2(max(len(tokens), 1))), MARK_LEAST, MARK_MOST))
+    sums = np.bincount((tokens >> np.uint64(64 - k)).astype(np.int64), weights=(mix(tokens) & np.uint64(0xFF)).astype(np.float64), minlength=1 << k)
+    return (sums.astype(np.int64) & 0xFF).astype(np.uint8).tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.uint8)
+
+
+def _marks(docs: DataFrame, keys: DataFrame, several, n: int, text_col: str) -> DataFrame:
+    """(key, n, mark) of the texts whose keys are given, and of some others."""
+    only = docs.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.xxhash64("key").alias("key")), BITS - 2))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([mark(t) for t in sets], pa.binary())], ["key", "n", "mark"])
+
+    return distinct_scan(docs, text_col, several, run, "key binary, n long, mark binary", only)
+
+
+def _possible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and marks do not rule out."""
+    both = pairs.join(marks.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("mb")), "b").join(marks.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("mark").alias("ma")), "a")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for na, nb, ma, mb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ma", "mb")), strict=True):
+            size = min(len(ma), len(mb))
+            keep.append(min(na, nb) * den >= max(na, nb) * num and int((folded(ma, size) != folded(mb, size)).sum()) <= (na + nb) * (den - num) // (den + num))
+        return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return scan(both.select("a", "b", "na", "nb", "ma", "mb"), run, "a binary, b binary")
+
+
+def _within(members: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components in lists of many, that sizes and marks do not rule out.
+
+    A list of more than BLOCK members is dealt into blocks, and each pair of
+    blocks is one group; a group compares marks and hands on what is left.
+    """
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("key"), n).cast("int")
+    m = members.select("sig", "key", "n", F.xxhash64("component").alias("component"), n.alias("blocks"), mine.alias("mine"))
+    m = m.join(marks.select("key", F.col("mark")), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, size, group = t.column("key").to_pylist(), t.column("n").to_numpy(), t.column("component").to_numpy()
+        block, split = t.column("mine").to_numpy(), t.column("low")[0].as_py() != t.column("high")[0].as_py()
+        grid = np.array([folded(x, 1 << MARK_LEAST) for x in t.column("mark").to_pylist()])
+        a, b = [], []
+        for i in range(len(keys) - 1):
+            j = np.arange(i + 1, len(keys))
+            j = j[(group[j] != group[i]) & (np.minimum(size[j], size[i]) * den >= np.maximum(size[j], size[i]) * num) & (not split or block[j] != block[i])]
+            j = j[(grid[j] != grid[i]).sum(axis=1) <= (size[j] + size[i]) * (den - num) // (den + num)]
+            for k in j.tolist():
+                a.append(min(keys[i], keys[k]))
+                b.append(max(keys[i], keys[k]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return m.groupBy("sig", "low", "high").applyInArrow(run, "a binary, b binary")
 
 
 def _verify(docs: DataFrame, scratch: Scratch, pairs: DataFrame, several, n: int, text_col: str, name: str) -> DataFrame:
-    """Exact overlap and union of pairs (a, b) of text keys: (a, b, common, joint)."""
+    """Exact overlap and union of pairs (a, b) of text keys: (a, b, common, joint).
+
+    Texts, which compress, are what is moved; a task keeps the sets of the
+    texts it saw last.
+    """
     spark = docs.sparkSession
     pairs = scratch.table(f"{name}_pairs", pairs)
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    bits = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("key").alias("key")), BITS - 2))
-    candidates = docs.filter(hit(bits, F.xxhash64(text_key(F.col(text_col)))))
-
-    def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, n).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["key", "tokens"])
-
-    t = scratch.table(name, scan(distinct_texts(candidates, text_col, several), tokens, "key binary, tokens binary"))
-    both = pairs.join(t.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a").join(t.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
-    return scan(both, _overlaps, "a binary, b binary, common long, joint long")
+    only = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("key").alias("key")), BITS - 2))
+    t = scratch.table(f"{name}_texts", distinct_scan(docs, text_col, several, lambda b: b, "key binary, text string", only))
+    both = pairs.join(t.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(t.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+
+    def overlaps(batches):
+        kept: dict[bytes, np.ndarray] = {}
+
+        def of(key: bytes, text: str) -> np.ndarray:
+            if key not in kept:
+                if len(kept) >= KEPT_SETS:
+                    del kept[next(iter(kept))]
+                kept[key] = shingles(text, n)
+            return kept[key]
+
+        for batch in batches:
+            common, joint = [], []
+            for ka, kb, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
+                a, b = of(ka, ta), of(kb, tb)
+                a, b = (a, b) if len(a) <= len(b) else (b, a)
+                at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
+                common.append(int((b[at] == a).sum()) if len(b) else 0)
+                joint.append(len(a) + len(b) - common[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(joint, pa.int64())], ["a", "b", "common", "joint"])
+
+    out = scratch.table(name, both.mapInArrow(overlaps, "a binary, b binary, common long, joint long"))
+    scratch.drop(f"{name}_texts")
+    return out
 
 
 def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, bitmap, distinct_texts, hit, in_bitmap, scan, text_key, tune
+from mnemora.llm.common import Scratch, bitmap, distinct_scan, hit, in_bitmap, scan, text_key, tune
 from mnemora.llm.langid import mix
 
 WINDOW = 400
@@ -190,13 +190,12 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     copies = scratch.table("copies", docs.select(text_key(F.col(text_col)).alias("key"), F.octet_length(text).alias("size")).groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter("n > 1"))
     several = spark.sparkContext.broadcast(bitmap(copies.select(F.xxhash64("key").alias("key")), BITS))
-    texts = distinct_texts(docs, text_col, several)
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found = [triggers(data, begins, ends, window)[0] for data, _, _, begins, ends in stretches([t.encode() for t in batch.column(1).to_pylist()], window)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"]) if found else None
 
-    phrases = scratch.table("phrases", scan(texts, hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    phrases = scratch.table("phrases", distinct_scan(docs, text_col, several, hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     total, most = phrases.agg(F.sum("n"), F.max("n")).first()
     wanted = spark.sparkContext.broadcast(bitmap(phrases.select(F.col("h").alias("key")), BITS))
 
@@ -218,7 +217,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], ["h", "key", "pos", "left", "right"]) if out[0] else None
 
-    found = scan(texts, occurrences, "h long, key binary, pos long, left binary, right binary")
+    found = distinct_scan(docs, text_col, several, occurrences, "h long, key binary, pos long, left binary, right binary")
     groups = max(1, -(-(total or 0) // task_rows))
 
     def sort(t: pa.Table) -> pa.Table:
