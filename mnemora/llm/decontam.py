@@ -10,6 +10,7 @@ found as well.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,28 +37,36 @@ def words(text: str) -> list[bytes]:
 def tiles(item: list[int], doc: list[int], seeds: list[tuple[int, int]], min_match: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (length, place in item, place in doc) from seeds, places where min_match words agree.
 
-    In each round all maximal matches of unmarked words are found; the
-    longest are marked first (ties: first in the item, then in the document),
-    and what overlaps a marked one waits for the next round.
+    The longest match of unmarked words is marked, again and again (ties:
+    first in the item, then in the document).  A match that marked words
+    cut is put back as what is left of it, so every next one is the longest.
     """
     done_i, done_d, out = bytearray(len(item)), bytearray(len(doc)), []
-    while True:
-        found = []
-        for i, j in seeds:
-            if i and j and item[i - 1] == doc[j - 1] and not done_i[i - 1] and not done_d[j - 1]:
-                continue  # not the start of a match
-            n = 0
-            while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not done_i[i + n] and not done_d[j + n]:
-                n += 1
-            if n >= min_match:
-                found.append((-n, i, j))
-        if not found:
-            return out
-        for n, i, j in sorted(found):
-            if not any(done_i[i : i - n]) and not any(done_d[j : j - n]):
-                done_i[i : i - n] = done_d[j : j - n] = b"\x01" * -n
-                out.append((-n, i, j))
-        seeds = [(i, j) for i, j in seeds if not any(done_i[i : i + min_match]) and not any(done_d[j : j + min_match])]
+    queue = []
+    for i, j in set(seeds):
+        if i and j and item[i - 1] == doc[j - 1]:
+            continue  # not where the match begins
+        n = min_match
+        while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]:
+            n += 1
+        queue.append((-n, i, j))
+    heapq.heapify(queue)
+    while queue:
+        n, i, j = heapq.heappop(queue)
+        n = -n
+        if not any(done_i[i : i + n]) and not any(done_d[j : j + n]):
+            done_i[i : i + n] = done_d[j : j + n] = b"\x01" * n
+            out.append((n, i, j))
+            continue
+        run = 0
+        for k in range(n + 1):
+            if k < n and not done_i[i + k] and not done_d[j + k]:
+                run += 1
+            else:
+                if run >= min_match:
+                    heapq.heappush(queue, (-run, i + k - run, j + k - run))
+                run = 0
+    return out
 
 
 @dataclass
