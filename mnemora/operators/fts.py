@@ -44,8 +44,9 @@ def match_all(docs: DataFrame, queries: DataFrame, key: str = "id", text=None) -
     q = queries.select("query_id", F.posexplode(T.query_phrases(F.col("query"))).alias("n", "phrase"))
     q = q.withColumn("terms", T.tokens(F.col("phrase"))).filter("size(terms) > 0")
     need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    p = postings(docs, key, text)
-    first = q.select("query_id", "n", "terms", F.size("terms").alias("width"), F.posexplode("terms").alias("at", "term"))
-    hit = first.join(p, "term").select("query_id", "n", "width", key, "at", F.explode("positions").alias("pos"))
+    first = q.select("query_id", "n", F.size("terms").alias("width"), F.posexplode("terms").alias("at", "term"))
+    # occurrences of the queries' terms alone; a posting list of every term is not built
+    found = docs.select(key, F.posexplode(T.tokens(indexed_text() if text is None else text)).alias("pos", "term"))
+    hit = found.join(first, "term")
     whole = hit.groupBy("query_id", "n", "width", key, (F.col("pos") - F.col("at")).alias("start")).agg(F.countDistinct("at").alias("c")).filter("c = width")
     return whole.groupBy("query_id", key).agg(F.countDistinct("n").alias("got")).join(need, "query_id").filter("got = need").select("query_id", key)

@@ -111,13 +111,13 @@ def expired(memories: DataFrame, now: Column, source: str, days: int = 14) -> Da
     return memories.filter((F.col("meta_source") == source) & (F.col("created_at") < now - F.make_dt_interval(F.lit(days)))).select("id")
 
 
-def breaker(runs: DataFrame, limit: int = 3) -> DataFrame:
-    """A run log (seq, ok) with the failures in a row so far and whether the next run is let through."""
-    w = Window.orderBy("seq")  # a run log is small
-    island = F.sum(F.col("ok").cast("int")).over(w)
-    r = runs.withColumn("island", island)
-    failures = F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy("island").orderBy("seq"))
-    return r.select("seq", "ok", failures.alias("failures"), (failures >= limit).alias("open"))
+def breaker(runs: DataFrame, limit: int = 3, key: str | None = None) -> DataFrame:
+    """A run log (seq, ok) with the failures in a row so far and whether the next run is held back, for each key if one is named."""
+    keys = [key] if key else []
+    w = Window.partitionBy(*keys).orderBy("seq")  # without a key, one run log, which is small
+    r = runs.withColumn("island", F.sum(F.col("ok").cast("int")).over(w))
+    failures = F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy(*keys, "island").orderBy("seq"))
+    return r.select(*keys, "seq", "ok", failures.alias("failures"), (failures >= limit).alias("open"))
 
 
 def due(last_run: Column, now: Column, sessions_since: Column, days: int = 3, sessions: int = 3) -> Column:

@@ -41,10 +41,10 @@ def day(c: str):
 
 
 def query_set(spark: SparkSession, d: str) -> DataFrame:
-    """Twenty queries: the first three words of benchmark items, each with a stored vector."""
+    """The benchmark items as queries, each with a stored vector."""
     b, e = store.read(spark, d, "benchmark"), store.read(spark, d, "embeddings")
-    b = b.filter("item_id < 20").join(e, b["item_id"] == e["vec_id"])
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"), F.col("embedding").cast("array<double>").alias("vec"))
+    b = b.join(e, b["item_id"] == e["vec_id"])
+    return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
 def tables(spark: SparkSession, d: str):
@@ -278,11 +278,13 @@ def label_unify(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {O.RELATIONS}, moved AS (SELECT doc_id AS duplicate, doc_id - 1 AS canonical FROM documents WHERE doc_id % 10 = 9)
+    f"""WITH {O.RELATIONS}, moved AS (SELECT doc_id AS duplicate, canonical FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents) WHERE doc_id <> canonical)
 SELECT DISTINCT coalesce(s.canonical, source_id) AS source_id, coalesce(t.canonical, target_id) AS target_id, relation_type, 1::DOUBLE AS weight FROM relations LEFT JOIN moved s ON source_id = s.duplicate LEFT JOIN moved t ON target_id = t.duplicate WHERE coalesce(s.canonical, source_id) <> coalesce(t.canonical, target_id)"""
 )
 def repoint_edges(spark: SparkSession, d: str) -> DataFrame:
-    moved = store.read(spark, d, "documents").filter("doc_id % 10 = 9").select(F.col("doc_id").alias("duplicate"), (F.col("doc_id") - 1).alias("canonical"))
+    docs = store.read(spark, d, "documents")
+    first = docs.groupBy(F.md5("text").alias("key")).agg(F.min("doc_id").alias("canonical"), F.count("*").alias("n")).filter("n > 1")
+    moved = docs.select(F.col("doc_id").alias("duplicate"), F.md5("text").alias("key")).join(first, "key").filter("duplicate <> canonical").select("canonical", "duplicate")
     return graph.repointed(store.relations(spark, d), moved)
 
 
@@ -409,28 +411,28 @@ def save_batch(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.save_batch(m, store.as_of()).select("id", "type", "status", F.round("importance", 6).alias("importance"))
 
 
-@query(f"WITH {O.MEMORIES} SELECT id, CASE WHEN id % 5 = 0 THEN 'patched ' || id ELSE content END AS content, CASE WHEN id % 5 = 0 THEN project WHEN id % 10 = 3 THEN 'moved' ELSE project END AS project FROM memories")
+@query(f"WITH {O.MEMORIES} SELECT id, CASE WHEN type = 'tool' THEN 'patched ' || id ELSE content END AS content, CASE WHEN type = 'entity' THEN 'moved' ELSE project END AS project FROM memories")
 def update_fold(spark: SparkSession, d: str) -> DataFrame:
     m = store.memories(spark, d)
-    patches = m.filter("id % 5 = 0 or id % 10 = 3").select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("patched "), F.col("id").cast("string"))).alias("content"), F.when((F.col("id") % 5 != 0) & (F.col("id") % 10 == 3), "moved").alias("project"))
+    patches = m.filter("type in ('tool', 'entity')").select("id", F.when(F.col("type") == "tool", F.concat(F.lit("patched "), F.col("id").cast("string"))).alias("content"), F.when(F.col("type") == "entity", "moved").alias("project"))
     return lifecycle.update_fold(m, patches).select("id", "content", "project")
 
 
-@query(f"WITH {O.RELATIONS} SELECT source_id, target_id, relation_type FROM relations WHERE source_id % 10 <> 0 AND target_id % 10 <> 0")
+@query(f"WITH {O.MEMORIES}, {O.RELATIONS}, gone AS (SELECT id FROM memories WHERE type = 'session') SELECT source_id, target_id, relation_type FROM relations WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)")
 def forget_cascade(spark: SparkSession, d: str) -> DataFrame:
-    gone = store.read(spark, d, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("id"))
+    gone = store.memories(spark, d).filter("type = 'session'").select("id")
     return graph.without_nodes(store.relations(spark, d), gone).select("source_id", "target_id", "relation_type")
 
 
 @query(
-    f"""WITH {O.MEMORIES}, {O.RELATIONS}, req AS (SELECT doc_id AS source_id, doc_id // 2 AS target_id, CASE WHEN doc_id % 14 = 1 THEN 'nonsense' ELSE 'supersedes' END AS relation_type FROM documents WHERE doc_id > 0 AND (doc_id % 7 = 0 OR doc_id % 7 = 1))
+    f"""WITH {O.MEMORIES}, {O.RELATIONS}, req AS (SELECT id AS source_id, id // 2 AS target_id, CASE WHEN type = 'tool' THEN 'nonsense' ELSE 'supersedes' END AS relation_type FROM memories WHERE id > 0)
 SELECT q.*, CASE WHEN relation_type = 'nonsense' THEN 'invalid_relation_type' WHEN NOT EXISTS (SELECT 1 FROM relations r WHERE r.source_id = q.source_id AND r.target_id = q.target_id AND r.relation_type = q.relation_type) THEN 'not_found' ELSE 'unlinked' END AS status,
   round(CASE WHEN relation_type = 'supersedes' AND EXISTS (SELECT 1 FROM relations r WHERE r.source_id = q.source_id AND r.target_id = q.target_id AND r.relation_type = q.relation_type) THEN least(1::DOUBLE, coalesce(importance, 0.5::DOUBLE) * 2) ELSE importance END, 6) AS importance FROM req q LEFT JOIN memories m ON m.id = q.target_id"""
 )
 def unlink_restore(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("doc_id")
-    req = store.read(spark, d, "documents").filter("doc_id > 0 and doc_id % 7 in (0, 1)").select(i.alias("source_id"), F.floor(i / 2).alias("target_id"), F.when(i % 14 == 1, "nonsense").otherwise("supersedes").alias("relation_type"))
-    return lifecycle.unlink(store.memories(spark, d), store.relations(spark, d), req).withColumn("importance", F.round("importance", 6))
+    m = store.memories(spark, d)
+    req = m.filter("id > 0").select(F.col("id").alias("source_id"), F.floor(F.col("id") / 2).alias("target_id"), F.when(F.col("type") == "tool", "nonsense").otherwise("supersedes").alias("relation_type"))
+    return lifecycle.unlink(m, store.relations(spark, d), req).withColumn("importance", F.round("importance", 6))
 
 
 @query(f"WITH {O.MEMORIES}, {O.RELATIONS} SELECT m.id, round(coalesce(importance, 0.5::DOUBLE) * power(0.5::DOUBLE, n), 6) AS importance FROM memories m JOIN (SELECT target_id AS id, count(*) AS n FROM relations WHERE relation_type = 'supersedes' GROUP BY 1) USING (id)")
@@ -439,12 +441,12 @@ def supersede_demotion(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT DISTINCT lang AS name, source AS project FROM documents WHERE doc_id % 3 <> 0), r AS (SELECT DISTINCT lang AS name, source AS project FROM documents WHERE doc_id % 5 <> 0)
+    """WITH l AS (SELECT DISTINCT lang AS name, source AS project FROM documents WHERE source <> 'src3'), r AS (SELECT DISTINCT lang AS name, source AS project FROM documents WHERE lang <> 'fr')
 SELECT name, project, 'left' AS side FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT name, project, 'right' FROM (SELECT * FROM r EXCEPT SELECT * FROM l)"""
 )
 def drift(spark: SparkSession, d: str) -> DataFrame:
-    n = store.read(spark, d, "documents").select("doc_id", F.col("lang").alias("name"), F.col("source").alias("project"))
-    return lifecycle.drift(n.filter("doc_id % 3 <> 0"), n.filter("doc_id % 5 <> 0"))
+    n = store.read(spark, d, "documents").select(F.col("lang").alias("name"), F.col("source").alias("project"))
+    return lifecycle.drift(n.filter("project <> 'src3'"), n.filter("name <> 'fr'"))
 
 
 @query(
@@ -458,10 +460,10 @@ def registry_audit(spark: SparkSession, d: str) -> DataFrame:
     return sessions.registry_audit(p, i.select(F.concat(F.lit("/x/"), s(F.col("doc_id") % 33 + 2)).alias("path")).distinct())
 
 
-@query("SELECT seq, ok, failures, failures >= 3 AS open FROM (SELECT seq, ok, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY island ORDER BY seq)::BIGINT AS failures FROM (SELECT event_id AS seq, event_type <> 'error' AND event_id % 4 <> 1 AS ok, sum((event_type <> 'error' AND event_id % 4 <> 1)::INT) OVER (ORDER BY event_id) AS island FROM events WHERE user_id = 1))")
+@query("SELECT user_id, seq, ok, failures, failures >= 3 AS open FROM (SELECT user_id, seq, ok, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, island ORDER BY seq)::BIGINT AS failures FROM (SELECT user_id, event_id AS seq, event_type <> 'error' AND event_type <> 'click' AS ok, sum((event_type <> 'error' AND event_type <> 'click')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events))")
 def breaker_log(spark: SparkSession, d: str) -> DataFrame:
-    runs = store.events(spark, d).filter("user_id = 1").select(F.col("event_id").alias("seq"), ((F.col("event_type") != "error") & (F.col("event_id") % 4 != 1)).alias("ok"))
-    return lifecycle.breaker(runs)
+    runs = store.events(spark, d).select("user_id", F.col("event_id").alias("seq"), (~F.col("event_type").isin("error", "click")).alias("ok"))
+    return lifecycle.breaker(runs, key="user_id")
 
 
 # --- graph ----------------------------------------------------------------
@@ -488,9 +490,9 @@ def relation_counts(spark: SparkSession, d: str) -> DataFrame:
     return store.relations(spark, d).groupBy("relation_type").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {O.RELATIONS} SELECT r.source_id, r.target_id FROM relations r WHERE source_id < 100 AND target_id < 100")
+@query(f"WITH {O.MEMORIES}, {O.RELATIONS} SELECT r.source_id, r.target_id FROM relations r JOIN memories a ON a.id = source_id AND a.type IN ('decision', 'pattern') JOIN memories b ON b.id = target_id AND b.type IN ('decision', 'pattern')")
 def edges_within(spark: SparkSession, d: str) -> DataFrame:
-    some = store.read(spark, d, "documents").filter("doc_id < 100").select(F.col("doc_id").alias("id"))
+    some = store.memories(spark, d).filter("type in ('decision', 'pattern')").select("id")
     return graph.edges_within(store.relations(spark, d), some).select("source_id", "target_id")
 
 
@@ -625,7 +627,7 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
 def marker_classify(spark: SparkSession, d: str) -> DataFrame:
     m = store.memories(spark, d)
     ids = F.substring(F.md5(F.col("id").cast("string")), 1, 12)
-    said = F.when(F.col("id") % 10 == 1, F.concat(F.lit("[SUPERSEDED by "), F.substring(F.md5((F.col("id") - 1).cast("string")), 1, 12), F.lit("] "), F.substring("content", 1, 40))).when(F.col("id") % 10 == 2, F.concat(F.lit("This supersedes "), F.substring(F.md5((F.col("id") - 1).cast("string")), 1, 12))).when(F.col("id") % 10 == 3, "RETIRED plan").otherwise(F.substring("content", 1, 40))
+    said = F.when(F.col("id") % 10 == 1, F.concat(F.lit("[SUPERSEDED by "), F.substring(F.md5((F.col("id") - 1).cast("string")), 1, 12), F.lit("] "), "content")).when(F.col("id") % 10 == 2, F.concat(F.lit("This supersedes "), F.substring(F.md5((F.col("id") - 1).cast("string")), 1, 12))).when(F.col("id") % 10 == 3, "RETIRED plan").otherwise(F.col("content"))
     return extract.markers(m.select(ids.alias("id"), said.alias("content")))
 
 
@@ -638,10 +640,10 @@ def caption_clean(spark: SparkSession, d: str) -> DataFrame:
     return extract.captions(p)
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(c, 'rm\\s+-[a-zA-Z]*r[a-zA-Z]*f') THEN 'recursive force delete' WHEN regexp_matches(c, 'git\\s+clean\\s+-[a-zA-Z]*f') THEN 'git clean -f' WHEN regexp_matches(c, 'git\\s+(add|commit)') THEN 'staged files' END AS why FROM (SELECT conv_id, turn, ['rm -rf ', 'git clean -fd ', 'git commit ', 'ls '][turn % 4 + 1] || text[1:20] AS c FROM conversations)")
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(c, 'rm\\s+-[a-zA-Z]*r[a-zA-Z]*f') THEN 'recursive force delete' WHEN regexp_matches(c, 'git\\s+clean\\s+-[a-zA-Z]*f') THEN 'git clean -f' WHEN regexp_matches(c, 'git\\s+(add|commit)') THEN 'staged files' END AS why FROM (SELECT conv_id, turn, ['rm -rf ', 'git clean -fd ', 'git commit ', 'ls '][turn % 4 + 1] || text AS c FROM conversations)")
 def safety_rules(spark: SparkSession, d: str) -> DataFrame:
     lead = F.get(F.array(*[F.lit(s) for s in ("rm -rf ", "git clean -fd ", "git commit ", "ls ")]), (F.col("turn") % 4).cast("int"))
-    return store.read(spark, d, "conversations").select("conv_id", "turn", T.safety(F.concat(lead, F.substring("text", 1, 20))).alias("why"))
+    return store.read(spark, d, "conversations").select("conv_id", "turn", T.safety(F.concat(lead, "text")).alias("why"))
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'game-dev' WHEN 1 THEN 'finance' WHEN 2 THEN 'research' ELSE 'general' END AS category FROM pages")
@@ -679,10 +681,10 @@ def session_ttl(spark: SparkSession, d: str) -> DataFrame:
     return state.sessionized(store.events(spark, d), "user_id").select("event_id", "session_no")
 
 
-@query("WITH RECURSIVE e AS (SELECT event_id, ts, user_id || event_type AS key, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE user_id < 30), k(key, n, last, event_id, kept) AS (SELECT key, n, ts, event_id, true FROM e WHERE n = 1 UNION ALL SELECT e.key, e.n, CASE WHEN epoch(e.ts) - epoch(k.last) >= 86400 THEN e.ts ELSE k.last END, e.event_id, epoch(e.ts) - epoch(k.last) >= 86400 FROM k JOIN e ON e.key = k.key AND e.n = k.n + 1) SELECT event_id FROM k WHERE kept")
+@query("WITH RECURSIVE e AS (SELECT event_id, ts, user_id || event_type AS key, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events), k(key, n, last, event_id, kept) AS (SELECT key, n, ts, event_id, true FROM e WHERE n = 1 UNION ALL SELECT e.key, e.n, CASE WHEN epoch(e.ts) - epoch(k.last) >= 86400 THEN e.ts ELSE k.last END, e.event_id, epoch(e.ts) - epoch(k.last) >= 86400 FROM k JOIN e ON e.key = k.key AND e.n = k.n + 1) SELECT event_id FROM k WHERE kept")
 def dedup_within(spark: SparkSession, d: str) -> DataFrame:
     """Batch form of the stateful dedup, a day's window: an ordered fold over each key's times."""
-    e = store.events(spark, d).filter("user_id < 30")
+    e = store.events(spark, d)
     rows = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "event_id")))
     zero = F.array().cast("array<struct<t:bigint,event_id:bigint>>")
     fold = F.reduce(rows, zero, lambda acc, x: F.when((F.size(acc) == 0) | (x["t"] - F.coalesce(F.get(acc, F.size(acc) - 1)["t"], F.lit(0)) >= 86_400_000_000), F.concat(acc, F.array(x))).otherwise(acc))

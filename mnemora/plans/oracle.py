@@ -27,7 +27,7 @@ VECTORS = "vectors AS (SELECT vec_id AS memory_id, embedding::DOUBLE[] AS embedd
 PAIRS = """
 pairs AS (SELECT * FROM (SELECT x.memory_id AS a, y.memory_id AS b, round(list_cosine_similarity(x.embedding, y.embedding), 6) AS sim FROM vectors x JOIN vectors y ON x.memory_id < y.memory_id) WHERE sim >= 0.3)
 """
-QUERIES = "queries AS (SELECT b.item_id AS query_id, array_to_string(string_split(b.text, ' ')[1:3], ' ') AS query, e.embedding::DOUBLE[] AS vec FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE b.item_id < 20)"
+QUERIES = "queries AS (SELECT b.item_id AS query_id, b.text AS query, e.embedding::DOUBLE[] AS vec FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"
 
 
 def tokens(text: str) -> str:
