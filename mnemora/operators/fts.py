@@ -40,13 +40,18 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "id", text=None, k1: fl
 
 
 def match_all(docs: DataFrame, queries: DataFrame, key: str = "id", text=None) -> DataFrame:
-    """(query_id, key) where every phrase of the query's tokens occurs; a token of several terms is a phrase."""
-    q = queries.select("query_id", F.posexplode(T.query_phrases(F.col("query"))).alias("n", "phrase"))
-    q = q.withColumn("terms", T.tokens(F.col("phrase"))).filter("size(terms) > 0")
-    need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    first = q.select("query_id", "n", F.size("terms").alias("width"), F.posexplode("terms").alias("at", "term"))
-    # occurrences of the queries' terms alone; a posting list of every term is not built
-    found = docs.select(key, F.posexplode(T.tokens(indexed_text() if text is None else text)).alias("pos", "term"))
-    hit = found.join(first, "term")
-    whole = hit.groupBy("query_id", "n", "width", key, (F.col("pos") - F.col("at")).alias("start")).agg(F.countDistinct("at").alias("c")).filter("c = width")
-    return whole.groupBy("query_id", key).agg(F.countDistinct("n").alias("got")).join(need, "query_id").filter("got = need").select("query_id", key)
+    """(query_id, key) where every phrase of the query's tokens occurs; a token of several terms is a phrase.
+
+    The documents of a query's rarest term are looked through for all its
+    phrases, so frequent terms make no rows.
+    """
+    q = queries.select("query_id", F.filter(F.transform(T.query_phrases(F.col("query")), T.tokens), lambda p: F.size(p) > 0).alias("phrases")).filter("size(phrases) > 0")
+    wanted = q.select("query_id", F.explode(F.array_distinct(F.flatten("phrases"))).alias("term"))
+    toks = docs.select(key, T.tokens(indexed_text() if text is None else text).alias("toks"))
+    has = toks.select(key, F.explode(F.array_distinct("toks")).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    df = has.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = wanted.join(df, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
+    rarest = rarest.filter("r.df > 0").select("query_id", "r.term").join(q, "query_id")
+    maybe = has.join(rarest, "term").select("query_id", key, F.transform("phrases", lambda p: F.concat(F.lit(" "), F.array_join(p, " "), F.lit(" "))).alias("phrases"))
+    line = toks.select(key, F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")).alias("line"))
+    return maybe.join(line, key).filter(F.forall("phrases", lambda p: F.col("line").contains(p))).select("query_id", key)
