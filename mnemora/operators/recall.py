@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemora.functions import scoring as S
 from mnemora.functions import text as T
@@ -46,6 +47,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "memory_id")
     the vectors each; a batch of vectors hands on its own k best a query.
     """
     n = max(1, -(-queries.count() // QUERY_BLOCK))
+    kinds = queries.schema["query_id"].dataType, vectors.schema[key].dataType
+    arrow = [to_arrow_type(t) for t in kinds]
+    schema = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, sim double"
     out = None
     for b in range(n):
         rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", "vec").filter("vec is not null").orderBy("query_id").collect()
@@ -60,22 +64,24 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "memory_id")
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                keys = batch.column(0).to_numpy()
+                keys = np.array(batch.column(0).to_pylist(), dtype=object)
+                place = np.empty(len(keys), np.int64)
+                place[np.argsort(keys, kind="stable")] = np.arange(len(keys))
                 m = np.array(batch.column(1).to_pylist(), dtype=np.float64)
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
                 sim = np.round(q @ m.T, 6)
                 qi, mi = [], []
                 for i in range(len(ids)):
-                    best = np.lexsort((keys, -sim[i]))[:k]
+                    best = np.lexsort((place, -sim[i]))[:k]
                     qi.append(np.full(len(best), i))
                     mi.append(best)
                 qi, mi = np.concatenate(qi), np.concatenate(mi)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in qi], pa.int64()), pa.array(keys[mi]), pa.array(sim[qi, mi])], ["query_id", "id", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in qi], arrow[0]), pa.array(keys[mi], arrow[1]), pa.array(sim[qi, mi])], ["query_id", "id", "sim"])
 
-        found = vectors.filter("embedding is not null").select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, id long, sim double")
+        found = vectors.filter("embedding is not null").select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, sim double, vec_pos int")
+        return vectors.sparkSession.createDataFrame([], schema + ", vec_pos int")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     return out.withColumn("vec_pos", F.row_number().over(w)).filter(F.col("vec_pos") <= k)
 
