@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -55,6 +58,29 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()  # the driver lets go of shuffles only when it collects the frames that made them
+
+
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold(name: str, clear: Callable[[], object]) -> None:
+    """Declare that this process now uses the caches of one operator: those of others are emptied.
+
+    Workers are used again for other operators, and what each keeps would add up.
+    """
+    if next(reversed(_HELD), None) == name:
+        return
+    for other, f in _HELD.items():
+        if other != name:
+            f()
+    _HELD.clear()
+    _HELD[name] = clear
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it just keeps the memory
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def scan(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

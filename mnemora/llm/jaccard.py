@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, bitmap, distinct_scan, hit, in_bitmap, scan, text_key, tune
+from mnemora.llm.common import Scratch, bitmap, distinct_scan, hit, hold, in_bitmap, scan, text_key, tune
 from mnemora.llm.langid import mix
 from mnemora.operators.graph import components
 
 #: Bits of the bitmap of shared signatures; it filters, so a fuller one costs time and changes no result.
 BITS = 27
 #: Bytes of a signature, signatures counted at once, words whose hashes and sets that a process keeps.
-SIG_BYTES, FLUSH, CACHE_WORDS, KEPT_SETS = 5, 1 << 21, 150_000, 64
+SIG_BYTES, FLUSH, CACHE_WORDS, KEPT_SETS = 5, 1 << 20, 150_000, 64
 #: Least and most logarithm of a mark's length; components up to which a list is short; members compared in one group.
 MARK_LEAST, MARK_MOST, SHORT, BLOCK = 8, 13, 6, 2048
 
@@ -56,6 +56,7 @@ def shingles(text: str, n: int) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
+    hold("jaccard", _HASHES.clear)
     if len(_HASHES) > CACHE_WORDS:
         _HASHES.clear()
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
@@ -217,20 +218,20 @@ def linked_texts(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int,
     known = first.select(F.col("a").alias("leader"), F.col("b").alias("key"), far.alias("far"))
     m = member.join(known, ["leader", "key"], "left").join(groups, member["key"] == groups["node"], "left")
     m = scratch.table("open", m.select("sig", "key", "n", "leader", "far", F.coalesce("component", "key").alias("component")))
+    scratch.drop("members")
     spread = m.groupBy("sig", "component").agg(F.count("*").alias("c")).groupBy("sig").agg(F.count("*").alias("groups"), F.sum("c").alias("size")).filter("groups > 1")
     m = scratch.table("rest", m.join(spread, "sig").filter("key != leader").select("sig", "key", "n", "far", "component", "groups", "size"))
+    scratch.drop("open")
     short = m.filter(F.col("groups") <= SHORT)
-    of_key = short.groupBy("key").agg(F.array_sort(F.collect_set("sig")).alias("sigs"))  # as many as a set has blocks
-    short = short.join(of_key, "key")
-    x, y = (short.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "far", "component", "sigs")]) for s in "xy")
+    x, y = (short.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "far", "component")]) for s in "xy")
     limit = (den - num) / den + 1e-9
     near = (F.col("key_x") < F.col("key_y")) & (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
     near = near & F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= limit, F.lit(True))
-    # a pair is taken up in the first list that it shares
-    near = near & (F.col("sig_x") == F.array_min(F.array_intersect("sigs_x", "sigs_y")))
-    rest = x.withColumn("sig_x", F.col("sig")).join(y, "sig").filter(near).select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
+    rest = x.join(y, "sig").filter(near).select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
     rest = rest.unionByName(_within(m.filter(F.col("groups") > SHORT), marks, num, den)).distinct()
     second = _verify(docs, scratch, _possible(rest, marks, num, den), several, n, text_col, "second")
+    for name in ("rest", "marks"):
+        scratch.drop(name)
     return sizes, first.unionByName(second).filter(linked)
 
 
@@ -251,14 +252,15 @@ def folded(raw: bytes, size: int) -> np.ndarray:
 
 
 def _marks(docs: DataFrame, keys: DataFrame, several, n: int, text_col: str) -> DataFrame:
-    """(key, n, mark) of the texts whose keys are given, and of some others."""
+    """(key, n, mark, small) of the texts whose keys are given, and of some others; small is the mark of least length."""
     only = docs.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.xxhash64("key").alias("key")), BITS - 2))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([mark(t) for t in sets], pa.binary())], ["key", "n", "mark"])
+        made = [mark(t) for t in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array(made, pa.binary()), pa.array([folded(x, 1 << MARK_LEAST).tobytes() for x in made], pa.binary())], ["key", "n", "mark", "small"])
 
-    return distinct_scan(docs, text_col, several, run, "key binary, n long, mark binary", only)
+    return distinct_scan(docs, text_col, several, run, "key binary, n long, mark binary, small binary", only)
 
 
 def _possible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
@@ -284,13 +286,13 @@ def _within(members: DataFrame, marks: DataFrame, num: int, den: int) -> DataFra
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("key"), n).cast("int")
     m = members.select("sig", "key", "n", F.xxhash64("component").alias("component"), n.alias("blocks"), mine.alias("mine"))
-    m = m.join(marks.select("key", F.col("mark")), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.join(marks.select("key", "small"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
 
     def run(t: pa.Table) -> pa.Table:
         keys, size, group = t.column("key").to_pylist(), t.column("n").to_numpy(), t.column("component").to_numpy()
         block, split = t.column("mine").to_numpy(), t.column("low")[0].as_py() != t.column("high")[0].as_py()
-        grid = np.array([folded(x, 1 << MARK_LEAST) for x in t.column("mark").to_pylist()])
+        grid = np.frombuffer(b"".join(t.column("small").to_pylist()), np.uint8).reshape(len(keys), -1)
         a, b = [], []
         for i in range(len(keys) - 1):
             j = np.arange(i + 1, len(keys))
@@ -375,21 +377,24 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text_co
     scratch = Scratch(spark, "near")
     sizes, links = linked_texts(docs, scratch, n, num, den, text_col)
     found = components(links, scratch.root)
+    near = "near"
+    while any(c.startswith(near) for c in docs.columns):
+        near = "_" + near
     key, doc = text_key(F.col(text_col)), F.col("doc_id").cast("long")
     slim = docs.select(doc.alias("doc_id"), key.alias("key")).join(sizes, "key").join(found, F.col("key") == F.col("node"), "left")
     slim = scratch.table("rows", slim.filter("n_shingles > 0").groupBy("doc_id", "key", F.coalesce("component", "key").alias("component")).agg(F.count("*").alias("c")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     chosen = slim.groupBy("component").agg(first, F.sum("c").alias("rows")).filter("rows > 1")
-    judged = slim.join(chosen, "component").select("c", F.col("doc_id").alias("near_id"), F.col("key").alias("near_key"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).alias("stays"))
+    judged = slim.join(chosen, "component").select("c", F.col("doc_id").alias(f"{near}_id"), F.col("key").alias(f"{near}_key"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).alias("stays"))
     judged = scratch.table("judged", judged)
 
     def marked(rows: DataFrame):
-        return spark.sparkContext.broadcast(bitmap(rows.select(F.xxhash64("near_id", "near_key").alias("key")), BITS - 2))
+        return spark.sparkContext.broadcast(bitmap(rows.select(F.xxhash64(f"{near}_id", f"{near}_key").alias("key")), BITS - 2))
 
     # only rows with a dropped row's bit are joined, and only a kept row that is repeated is dealt by its id
-    dropped = judged.filter("not stays").select("near_id", "near_key")
+    dropped = judged.filter("not stays").select(f"{near}_id", f"{near}_key")
     some = hit(marked(dropped), F.xxhash64(doc, key))
-    out = docs.filter(~some).unionByName(docs.filter(some).join(dropped, doc.eqNullSafe(F.col("near_id")) & (key == F.col("near_key")), "left_anti"))
+    out = docs.filter(~some).unionByName(docs.filter(some).join(dropped, doc.eqNullSafe(F.col(f"{near}_id")) & (key == F.col(f"{near}_key")), "left_anti"))
     repeated = judged.filter("stays and c > 1")
     if repeated.isEmpty():
         return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, scan, tune
+from mnemora.llm.common import Scratch, hold, scan, tune
 from mnemora.llm.decontam import words
 
 #: Labelled rows that a classifier is fitted on, by lowest hash of the id.
@@ -30,7 +30,7 @@ SWAP, RIDGE = 1.0, 0.02
 STEMS = (4, 5, 6, 7)
 #: Least log-likelihood ratio of a feature with the label, about a chance of one in 600.
 EVIDENCE = 10.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 # Identity terms, fixed values: groups whose terms are exchanged for one another.
 IDENTITY = {
@@ -48,26 +48,28 @@ def features(word: bytes) -> list[bytes]:
     return [word, *(chars[:n].encode() + b"-" for n in STEMS if len(chars) > n)]
 
 
+#: The features of the words seen last, and the weights that they belong to.
+_SEEN: dict[bytes, tuple[bytes, ...]] = {}
+_OF: dict[str, dict] = {}
+
+
+def _forget() -> None:
+    _SEEN.clear()
+    _OF.clear()
+
+
 @dataclass
 class Classifier:
     weights: dict[bytes, float] = field(default_factory=dict)
     bias: float = -3.0
 
-    def __post_init__(self) -> None:
-        self._cache: dict[bytes, tuple[bytes, ...]] = {}
-
-    def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias}
-
-    def __setstate__(self, state) -> None:
-        self.__dict__.update(state)
-        self._cache = {}
-
     def present(self, text: str | None) -> set[bytes]:
         """The classifier's features that a whole text has."""
-        cache, own = self._cache, self.weights
-        if len(cache) > CACHE_WORDS:
+        cache, own = _SEEN, self.weights
+        if len(cache) > CACHE_WORDS or _OF.get("weights") is not own:
             cache.clear()
+            _OF["weights"] = own
+        hold("toxicity", _forget)
         out: set[bytes] = set()
         for w in set(words(text or "")):
             got = cache.get(w)
