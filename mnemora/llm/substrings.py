@@ -16,19 +16,19 @@ pass, and a fixed-size bitmap of the repeated ones limits the second.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, bitmap, distinct_scan, hit, in_bitmap, scan, text_key, tune
+from mnemora.llm.common import Scratch, bitmap, distinct_scan, hit, hold, in_bitmap, scan, text_key, tune
 from mnemora.llm.langid import mix
 
 WINDOW = 400
 #: Bytes hashed at once; a longer text is cut into overlapping stretches.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bits of the bitmaps of repeated phrases and of touched texts.
 BITS = 26
 #: Occurrences that a task sorts together, and those of one phrase from which its windows are counted by the cluster instead.
@@ -42,6 +42,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    hold("substrings", _POWERS.clear)
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, CHUNK + 2 * WINDOW)
         for name, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):
@@ -285,22 +286,32 @@ def kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
-def with_spans(docs: DataFrame, text_col: str, window: int) -> tuple[DataFrame, str]:
-    """``docs`` with the repeated spans of each row's text in a new column, whose name comes along.
+def with_spans(docs: DataFrame, text_col: str, window: int, process: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema) -> DataFrame:
+    """``process`` of every batch of ``docs`` and its rows' repeated spans.
 
-    Only rows whose text has repeats, by a bitmap of their keys, are joined.
+    Only rows whose text has repeats, by a bitmap of their keys, are joined
+    with the spans; the others have none.
     """
-    name = "spans"
-    while name in docs.columns or f"{name}_key" in docs.columns:
-        name = "_" + name
+    near = "spans"
+    while any(c.startswith(near) for c in docs.columns):
+        near = "_" + near
     spans = repeated_spans(docs, text_col, window)
     touched = docs.sparkSession.sparkContext.broadcast(bitmap(spans.select(F.xxhash64("key").alias("key")), BITS))
-    d = docs.withColumn(f"{name}_key", text_key(F.col(text_col)))
-    some = hit(touched, F.xxhash64(f"{name}_key"))
-    spans = spans.select(F.col("key").alias(f"{name}_of"), F.col("spans").alias(name))
-    joined = d.filter(some).join(spans, F.col(f"{name}_key") == F.col(f"{name}_of"), "left").drop(f"{name}_of")
-    rest = d.filter(~some).withColumn(name, F.lit(None).cast(spans.schema[name].dataType))
-    return joined.unionByName(rest).drop(f"{name}_key"), name
+    d = docs.withColumn(f"{near}_key", text_key(F.col(text_col))).withColumn(f"{near}_hash", F.xxhash64(f"{near}_key"))
+    own = docs.columns
+
+    def part(batch: pa.RecordBatch, some: bool) -> pa.RecordBatch | None:
+        mask = in_bitmap(batch.column(f"{near}_hash").to_numpy(zero_copy_only=False), touched.value) == some
+        return batch.filter(pa.array(mask)) if mask.any() else None
+
+    def plain(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rest = part(batch, False)
+        return process(rest.select(own), [None] * rest.num_rows) if rest is not None else None
+
+    spans = spans.select(F.col("key").alias(f"{near}_of"), F.col("spans").alias(near))
+    joined = scan(d, lambda b: part(b, True), d.schema).join(spans, F.col(f"{near}_key") == F.col(f"{near}_of"), "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in own], near)
+    return scan(d, plain, schema).unionByName(scan(joined, lambda b: process(b.select(own), b.column(near).to_pylist()), schema))
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -309,18 +320,18 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Null text counts as empty; null ids stay null; rows of equal texts of at
     least ``window`` bytes lose everything.
     """
-    d, name = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", window)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
         rows = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True):
-            raw, runs = (text or "").encode(), merged(spans, window)
+        for text, own in zip(batch.column("text").to_pylist(), spans, strict=True):
+            raw, runs = (text or "").encode(), merged(own, window)
             left = kept(raw, runs)
             rows.append((len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
         a, b, c, e = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(e)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return scan(d, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_spans(d, "text", window, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -329,17 +340,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     Bytes of a character that is cut in two go as well.  A column n_chars, if
     there, is set to the new length; null texts stay null.
     """
-    d, name = with_spans(docs, text_col, window)
-    schema = docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.schema.get_field_index(text_col)
-            texts = [t if not s else kept(t.encode(), merged(s, window)).decode("utf-8", "ignore") for t, s in zip(batch.column(place).to_pylist(), batch.column(batch.schema.get_field_index(name)).to_pylist(), strict=True)]
-            out = batch.select([c for c in batch.schema.names if c != name])
-            yield out.set_column(out.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
+    def run(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+        place = batch.schema.get_field_index(text_col)
+        texts = [t if not s else kept(t.encode(), merged(s, window)).decode("utf-8", "ignore") for t, s in zip(batch.column(place).to_pylist(), spans, strict=True)]
+        return batch.set_column(place, text_col, pa.array(texts, pa.string()))
 
-    out = d.select(*[F.col(f"`{c}`") for c in docs.columns], name).mapInArrow(run, schema)
+    out = with_spans(docs, text_col, window, run, docs.schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(text_col)).cast(schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return out
