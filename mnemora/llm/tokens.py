@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
@@ -9,9 +10,11 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from mnemora.llm.common import hold
+
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
-#: Words whose ids a process keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a process keeps; beyond it the earliest, among which are the frequent ones, stay.
+CACHE_WORDS, CACHE_KEPT = 600_000, 300_000
 #: Characters of text split into words at once.
 SPAN = 1 << 18
 # Characters for which the word split below is the vocabulary's own: printable ASCII, Latin letters
@@ -38,8 +41,8 @@ class WordBpe:
         ids = self.whole(" ".join(words))
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words) and (not len(cuts) or cuts[-1] == len(ids)):
-            for w, piece in zip(words, np.split(ids, cuts[:-1]), strict=True):
-                self.cache[w] = piece.tobytes()
+            raw, ends = ids.tobytes(), (4 * cuts).tolist()
+            self.cache.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
         else:
             for w in words:
                 self.cache[w] = self.whole(w).tobytes()
@@ -58,11 +61,11 @@ class WordBpe:
             at = end
             kinds = set(words)
             if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            if missing := [w for w in kinds if w not in self.cache]:
+                self.cache = dict(itertools.islice(self.cache.items(), CACHE_KEPT))
+            if missing := list(kinds.difference(self.cache)):
                 self._learn(missing)
             out.append(b"".join(map(self.cache.__getitem__, words)))
-        return np.frombuffer(b"".join(out), dtype="<u4")
+        return np.frombuffer(out[0] if len(out) == 1 else b"".join(out), dtype="<u4")
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -70,6 +73,7 @@ _LOADED: dict[str, WordBpe] = {}
 
 def loaded(path: str = DEFAULT) -> WordBpe:
     """The process's tokenizer for a vocabulary file."""
+    hold("tokens", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
     return _LOADED[path]
