@@ -14,7 +14,9 @@ from mnemora.llm.common import hold
 
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
 #: Words whose ids a process keeps; beyond it the earliest, among which are the frequent ones, stay.
-CACHE_WORDS, CACHE_KEPT = 600_000, 300_000
+CACHE_WORDS, CACHE_KEPT = 300_000, 200_000
+#: Slots that note a word's hash at first sight; a word is kept from its second on.
+SEEN_SLOTS = 1 << 23
 #: Characters of text split into words at once.
 SPAN = 1 << 18
 # Characters for which the word split below is the vocabulary's own: printable ASCII, Latin letters
@@ -30,6 +32,7 @@ class WordBpe:
     def __init__(self, path: str = DEFAULT):
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}  # a word's ids as little-endian uint32
+        self.seen = bytearray(SEEN_SLOTS)
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -65,6 +68,11 @@ class WordBpe:
             if missing := list(kinds.difference(self.cache)):
                 self._learn(missing)
             out.append(b"".join(map(self.cache.__getitem__, words)))
+            for w in missing:
+                slot = hash(w) & (SEEN_SLOTS - 1)
+                if not self.seen[slot]:
+                    self.seen[slot] = 1
+                    del self.cache[w]
         return np.frombuffer(out[0] if len(out) == 1 else b"".join(out), dtype="<u4")
 
 
