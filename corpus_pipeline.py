@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from mnemora.llm import decontam, jaccard, packing, substrings, toxicity
 from mnemora.llm.common import Scratch
 
+#: Words from which on a repeated passage is cut, however few bytes it has: passages of over 50 words.
+PASSAGE_WORDS = 51
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity classifier, fitted on ``labels``, scores below its threshold."""
@@ -24,8 +27,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 400 bytes that start at two places or more."""
-    return substrings.remove_repeats(docs)
+    """All documents, without the strings of 400 bytes and the passages of 51 words that start at two places or more."""
+    return substrings.remove_repeats(docs, words=PASSAGE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

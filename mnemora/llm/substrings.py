@@ -11,15 +11,20 @@ equal windows, without comparing pairs.
 
 Triggers that occur once in the corpus end there: only hashes leave the first
 pass, and a fixed-size bitmap of the repeated ones limits the second.
+
+Passages are judged by words in the same way: a text's words become codes of
+CODE bytes, and a window is that many codes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +39,43 @@ BITS = 26
 #: Occurrences that a task sorts together, and those of one phrase from which its windows are counted by the cluster instead.
 TASK_ROWS, HOT = 30_000, 60_000
 
+#: Bytes of a word's code, and words whose codes a process keeps.
+CODE, CACHE_WORDS = 8, 40_000
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_WORD = re.compile(rb"[^ \t\n\x0b\f\r]+")
 _POS_BITS = 22
 _POS = np.uint64((1 << _POS_BITS) - 1)
 _POWERS: dict[str, np.ndarray] = {}
 
 
+class _Codes(dict):
+    """Word -> its code, computed once."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = code = xxhash.xxh3_64_digest(word)
+        return code
+
+
+_CODES = _Codes()
+
+
+def _forget() -> None:
+    _POWERS.clear()
+    _CODES.clear()
+
+
+def coded(text: str) -> bytes:
+    """The codes of a text's words, which are runs of characters other than ASCII white space."""
+    hold("substrings", _forget)
+    if len(_CODES) > CACHE_WORDS:
+        _CODES.clear()
+    return b"".join(map(_CODES.__getitem__, text.encode().split()))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    hold("substrings", _POWERS.clear)
+    hold("substrings", _forget)
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, CHUNK + 2 * WINDOW)
         for name, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):
@@ -179,21 +212,24 @@ def equal_windows(t: pa.Table, window: int) -> list[tuple[bytes, int, int]]:
     return [(keys[able[r]], int(pos[able[r]] - (b - 1)), int(pos[able[r]] - a)) for r, a, b in zip(row.tolist(), first.tolist(), after.tolist(), strict=True)]
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW, hot: int = HOT, task_rows: int = TASK_ROWS) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW, hot: int = HOT, task_rows: int = TASK_ROWS, by_words: bool = False) -> DataFrame:
     """Repeated windows of the whole table: (key, spans), a span being a run of window starts of the text of that key.
 
-    A text of several rows is repeated in all its windows.
+    A text of several rows is repeated in all its windows.  With ``by_words``
+    the windows and spans are those of the texts' codes.
     """
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "substrings")
     k = window // 2
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    copies = scratch.table("copies", docs.select(text_key(F.col(text_col)).alias("key"), F.octet_length(text).alias("size")).groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter("n > 1"))
+    size = F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")) * CODE if by_words else F.octet_length(text)
+    encode = coded if by_words else str.encode
+    copies = scratch.table("copies", docs.select(text_key(F.col(text_col)).alias("key"), size.alias("size")).groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter("n > 1"))
     several = spark.sparkContext.broadcast(bitmap(copies.select(F.xxhash64("key").alias("key")), BITS))
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [triggers(data, begins, ends, window)[0] for data, _, _, begins, ends in stretches([t.encode() for t in batch.column(1).to_pylist()], window)]
+        found = [triggers(data, begins, ends, window)[0] for data, _, _, begins, ends in stretches([encode(t) for t in batch.column(1).to_pylist()], window)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"]) if found else None
 
     phrases = scratch.table("phrases", distinct_scan(docs, text_col, several, hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -201,7 +237,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     wanted = spark.sparkContext.broadcast(bitmap(phrases.select(F.col("h").alias("key")), BITS))
 
     def occurrences(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys, raw = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
+        keys, raw = batch.column(0).to_pylist(), [encode(t) for t in batch.column(1).to_pylist()]
         out: list[list] = [[], [], [], [], []]
         for data, number, offset, begins, ends in stretches(raw, window):
             h, at, first, last = triggers(data, begins, ends, window)
@@ -274,6 +310,28 @@ def merged(spans: list[dict] | None, window: int) -> list[tuple[int, int]]:
     return out
 
 
+def passages(spans: list[dict], raw: bytes, words: int) -> list[tuple[int, int]]:
+    """Byte runs [begin, end) of a text in which repeated runs of ``words`` words lie, from the spans of its codes."""
+    places = [m.span() for m in _WORD.finditer(raw)]
+    out = []
+    for s in spans:
+        first, last = -(-s["lo"] // CODE), s["hi"] // CODE  # a window that starts inside a code is no passage
+        if first <= last:
+            out.append((places[first][0], places[last + words - 1][1]))
+    return out
+
+
+def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs in order, those that touch or overlap being one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     """What is left of a text without its removed runs."""
     if not runs:
@@ -286,8 +344,8 @@ def kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
-def with_spans(docs: DataFrame, text_col: str, window: int, process: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema) -> DataFrame:
-    """``process`` of every batch of ``docs`` and its rows' repeated spans.
+def with_spans(docs: DataFrame, text_col: str, spans: DataFrame, process: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema) -> DataFrame:
+    """``process`` of every batch of ``docs`` and its rows' repeated ``spans`` (key, spans).
 
     Only rows whose text has repeats, by a bitmap of their keys, are joined
     with the spans; the others have none.
@@ -295,7 +353,6 @@ def with_spans(docs: DataFrame, text_col: str, window: int, process: Callable[[p
     near = "spans"
     while any(c.startswith(near) for c in docs.columns):
         near = "_" + near
-    spans = repeated_spans(docs, text_col, window)
     touched = docs.sparkSession.sparkContext.broadcast(bitmap(spans.select(F.xxhash64("key").alias("key")), BITS))
     d = docs.withColumn(f"{near}_key", text_key(F.col(text_col))).withColumn(f"{near}_hash", F.xxhash64(f"{near}_key"))
     own = docs.columns
@@ -331,22 +388,38 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(e)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_spans(d, "text", window, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(d, "text", repeated_spans(d, "text", window), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, words: int = 0) -> DataFrame:
     """``docs``, all rows and columns, with repeated windows cut from the text.
 
-    Bytes of a character that is cut in two go as well.  A column n_chars, if
-    there, is set to the new length; null texts stay null.
+    With ``words``, passages of that many words that start at two places or
+    more are cut as well, however few bytes they have.  Bytes of a character
+    that is cut in two go as well.  A column n_chars, if there, is set to the
+    new length; null texts stay null.
     """
 
+    def left(text: str, spans: list[dict]) -> str:
+        raw = text.encode()
+        runs = merged([s for s in spans if not s["coded"]], window)
+        if own := [s for s in spans if s["coded"]]:
+            runs = joined(runs + passages(own, raw, words))
+        return kept(raw, runs).decode("utf-8", "ignore")
+
     def run(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
         place = batch.schema.get_field_index(text_col)
-        texts = [t if not s else kept(t.encode(), merged(s, window)).decode("utf-8", "ignore") for t, s in zip(batch.column(place).to_pylist(), spans, strict=True)]
+        texts = [left(t, s) if s else t for t, s in zip(batch.column(place).to_pylist(), spans, strict=True)]
         return batch.set_column(place, text_col, pa.array(texts, pa.string()))
 
-    out = with_spans(docs, text_col, window, run, docs.schema)
+    def marked(spans: DataFrame, coded: bool) -> DataFrame:
+        return spans.select("key", F.transform("spans", lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), F.lit(coded).alias("coded"))).alias("spans"))
+
+    spans = marked(repeated_spans(docs, text_col, window), False)
+    if words:
+        spans = spans.unionByName(marked(repeated_spans(docs, text_col, words * CODE, task_rows=TASK_ROWS // 3, by_words=True), True))
+        spans = spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = with_spans(docs, text_col, spans, run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return out

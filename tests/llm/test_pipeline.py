@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 from mnemora.llm import decontam, toxicity
 from mnemora.llm.tokens import loaded
@@ -42,3 +44,25 @@ def test_stages_one_by_one(spark, sf, tmp_path):
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0 and corpus_pipeline.ORACLE_SQL is None
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_short_passages_are_cut(spark):
+    """Passages of 51 words repeat in under 400 bytes; those of 50 words stay."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    whole, short, solid = [f"{x:03d}" for x in rng.permutation(999)[:51]], word(50), "".join(word(60))[:401]
+    assert len(" ".join(whole)) < 400 and len(solid) == 401
+    texts, want = [], []
+    for cut, text in ((True, whole), (False, short), (True, [solid])):
+        for gap in (" ", "\n "):
+            a, b = word(70), word(70)
+            texts.append(gap.join(a) + gap + gap.join(text) + gap + gap.join(b))
+            want.append([*a, *([] if cut else text), *b])
+    texts += [" ".join(whole), "é " * 20, " ".join(word(51)), None]
+    want += [[], ["é"] * 20, texts[-2].split(), None]
+    rows = [(i, t, len(t or "")) for i, t in enumerate(texts)] + [(99, texts[-2], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    want[-2] = []  # copies of 51 words lose everything
+    assert [None if got[i]["text"] is None else got[i]["text"].split() for i in range(len(texts))] == want
+    assert got[99]["text"] == "" and all(r["n_chars"] == len(r["text"]) for r in got.values() if r["text"] is not None)
