@@ -169,11 +169,12 @@ def shared_bitmap(sets: DataFrame, total: int) -> np.ndarray:
     return out
 
 
-def linked_texts(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def linked_texts(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int, text_col: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Every distinct text's set size (key, n_shingles), and links (a, b, common, joint) that connect all linked texts.
 
     All links of different components of the links returned are ruled out
-    exactly; within a component not every link is listed.
+    exactly; within a component not every link is listed, unless ``every``
+    is set: then each link is there, some of them more than once.
     """
     spark = docs.sparkSession
     keys = docs.select(text_key(F.col(text_col)).alias("key"))
@@ -212,7 +213,8 @@ def linked_texts(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int,
     pairs = member.filter("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     first = _verify(docs, scratch, _possible(pairs, marks, num, den), several, n, text_col, "first")
     linked = (F.col("common") * den >= F.col("joint") * num).alias("linked")
-    groups = components(first.filter(linked), scratch.root)
+    # for every link, each text counts as a component of its own
+    groups = components(first.filter(F.lit(False) if every else linked), scratch.root)
     # lists whose members lie in several components; a leader's own answers are known
     far = 1 - F.col("common") / F.col("joint")
     known = first.select(F.col("a").alias("leader"), F.col("b").alias("key"), far.alias("far"))
@@ -344,6 +346,23 @@ def _verify(docs: DataFrame, scratch: Scratch, pairs: DataFrame, several, n: int
     return out
 
 
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join: the text of each row (doc_id, key, n_shingles), and every link (a, b, common, joint) of different texts.
+
+    Links are between keys, a < b, each once, with the exact overlap and union
+    of the shingle sets; rows of one key have one text, so their links follow.
+    Texts without words link with nothing.  ``groups`` is a view of it that
+    needs fewer comparisons.
+    """
+    tune(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "join")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sizes, links = linked_texts(d, scratch, n, num, den, every=True)
+    rows = d.select("doc_id", text_key(F.col("text")).alias("key")).join(sizes, "key").select("doc_id", "key", "n_shingles")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", "joint")
+    return rows, links.dropDuplicates(["a", "b"])
+
+
 def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's set size and component: (doc_id, n_shingles, component_id).
 

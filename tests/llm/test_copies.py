@@ -140,6 +140,28 @@ def test_groups_by_all_pairs(spark, monkeypatch, n, num, short):
     assert sorted(map(tuple, got), key=str) == sorted(brute(rows, n, num, 100), key=str)
 
 
+@pytest.mark.parametrize("short", [6, 1])
+def test_join_by_all_pairs(spark, monkeypatch, short):
+    """Every link, also between two members of one leader's list, with its overlap and union."""
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rows = near_copies(8)
+    members, links = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 2, 50, 100)
+    texts = sorted({t or "" for _, t in rows})
+    key = {t: hashlib.md5(t.encode()).digest() for t in texts}
+    sets, want = sets_of(texts, 2), []
+    for i, x in enumerate(texts):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            u = len(sets[i] | sets[j])
+            if k and 100 * k >= 50 * u:
+                want.append((*sorted((key[x], key[texts[j]])), k, u))
+    got = [(bytes(r["a"]), bytes(r["b"]), r["common"], r["joint"]) for r in links.collect()]
+    assert len(want) > 50 and sorted(got) == sorted(want)
+    size = dict(zip(texts, map(len, sets), strict=True))
+    assert sorted(((r["doc_id"], bytes(r["key"]), r["n_shingles"]) for r in members.collect()), key=str) == sorted(((i, key[t or ""], size[t or ""]) for i, t in rows), key=str)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.data())
 def test_linked_sets_share_a_signature(tokens, data):
