@@ -27,8 +27,6 @@ from mnemora.llm.common import Scratch, tune
 from mnemora.llm.toxicity import fold
 
 ORDER = 4
-#: Distinct n-grams a language keeps, the most frequent ones; bounds the model that is sent to executors.
-TYPES = 1 << 18
 #: Labelled rows for the calibration, by lowest hash of the id.
 CALIBRATION = 4000
 #: Distinct words a task counts before it hands its counts on, and words whose scores a process keeps.
@@ -241,7 +239,7 @@ def train(docs: DataFrame, held_fold: int = 0, folds: int = 5) -> Model | None:
     names = sorted(r["lang"] for r in table.select("lang").distinct().collect())
     counts = {}
     for lang in names:
-        got = table.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(TYPES).select("gram", "n").toArrow()
+        got = table.filter(F.col("lang") == lang).select("gram", "n").toArrow()
         counts[lang] = (got.column("gram").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy())
     scratch.drop()
     model = kneser_ney(counts)

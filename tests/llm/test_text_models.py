@@ -177,6 +177,16 @@ def test_languages(spark, sf):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_every_ngram_is_learned(spark):
+    """A large character set: more than 2**18 distinct n-grams, nearly all of them seen once."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 1000))) for _ in range(450)]
+    docs = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    grams = np.unique(langid.windows([t for i, t in enumerate(texts) if crc(i) % 5 > 1])[0])
+    assert len(grams) > 1 << 18
+    assert set(langid.mix(grams).tolist()) <= set(langid.train(docs).known.tolist())
+
+
 def test_predictions_do_not_read_labels(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     model = langid.train(docs)
