@@ -27,8 +27,8 @@ from mnemora.llm.common import Scratch, tune
 from mnemora.llm.toxicity import fold
 
 ORDER = 4
-#: Labelled rows for the calibration, by lowest hash of the id.
-CALIBRATION = 4000
+#: Steps a nat in which the calibration counts margins, and the margin from which on they are one.
+STEPS, WIDEST = 4096, 16.0
 #: Distinct words a task counts before it hands its counts on, and words whose scores a process keeps.
 COUNT_WORDS, CACHE_WORDS = 300_000, 200_000
 UNDETERMINED = "und"
@@ -196,13 +196,13 @@ class Scorer:
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """Full-order n-gram counts of (lang, text): (lang, gram, n), the sum over all rows."""
+    """Full-order n-gram counts of (lang, checked, text): (lang, gram, n, base), over all rows and over those not checked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        counts: dict[tuple[str, bool], Counter] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, counter in counts.items():
+            for (lang, checked), counter in counts.items():
                 texts = [letters(w) for w in counter]
                 weight = np.fromiter(counter.values(), np.int64, len(texts))
                 weight[[not t for t in texts]] = 0
@@ -210,82 +210,89 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                 kinds, place = np.unique(grams, return_inverse=True)
                 n = np.bincount(place, weights=weight[word]).astype(np.int64)
                 kinds, n = kinds[n > 0], n[n > 0]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.astype(np.int64)), pa.array(n), pa.array(n * (not checked))], ["lang", "gram", "n", "base"])
             counts.clear()
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(words(text))
+            for lang, checked, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                counts.setdefault((lang, checked), Counter()).update(words(text))
             if sum(map(len, counts.values())) > COUNT_WORDS:
                 yield from flush()
         yield from flush()
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "checked", "text").mapInArrow(run, "lang string, gram long, n long, base long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("base").alias("base"))
 
 
 def train(docs: DataFrame, held_fold: int = 0, folds: int = 5) -> Model | None:
     """Fit on all labelled documents outside the held-out fold; None where there are none.
 
-    One of the other folds is kept from the counts and calibrates the model.
-    Null texts, languages and ids take no part.
+    One of the other folds is scored by a model of the rest, and all its rows
+    calibrate the model of all.  Null texts, languages and ids take no part.
     """
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "langid")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).dropna()
     part = fold(F.col("doc_id"), folds)
-    checked = (held_fold + 1) % folds
-    table = scratch.table("counts", ngram_counts(d.filter((part != held_fold) & (part != checked))))
+    d = d.filter(part != held_fold).select("lang", (part == (held_fold + 1) % folds).alias("checked"), "text")
+    table = scratch.table("counts", ngram_counts(d))
     names = sorted(r["lang"] for r in table.select("lang").distinct().collect())
-    counts = {}
+    counts, base = {}, {}
     for lang in names:
-        got = table.filter(F.col("lang") == lang).select("gram", "n").toArrow()
-        counts[lang] = (got.column("gram").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy())
+        got = table.filter(F.col("lang") == lang).select("gram", "n", "base").toArrow()
+        gram, n, some = got.column("gram").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy(), got.column("base").to_numpy()
+        counts[lang], base[lang] = (gram, n), (gram[some > 0], some[some > 0])
     scratch.drop()
-    model = kneser_ney(counts)
-    if model is None:
-        return None
-    chosen = d.filter(part == checked).select(F.col("doc_id").alias("chosen_id")).distinct().orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(CALIBRATION)
-    held = spark.sparkContext.broadcast(model)
+    model, rest = kneser_ney(counts), kneser_ney(base)
+    if model is None or rest is None:
+        return model
+    held = spark.sparkContext.broadcast(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer, at = Scorer(held.value), {lang: k for k, lang in enumerate(held.value.languages)}
+        seen: Counter = Counter()
+        worst: dict[str, float] = {}
         for batch in batches:
             e, n = scorer.entropies(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(e), pa.list_(pa.float64())), pa.array(n)], ["lang", "entropy", "n"])
-
-    sample = d.join(F.broadcast(chosen), d["doc_id"] == chosen["chosen_id"]).select("lang", "text")
-    rows = sample.mapInArrow(run, "lang string, entropy array<double>, n double").filter("n > 0").collect()
-    return calibrate(model, [(r["lang"], r["entropy"]) for r in rows])
-
-
-def calibrate(model: Model, rows: list[tuple[str, list[float]]]) -> Model:
+            for lang, own, c in zip(batch.column(0).to_pylist(), e, n, strict=True):
+                if c and lang in at:  # the model of the rest cannot be right about a language that it has not
+                    low, second = np.partition(own, 1)[:2] if len(own) > 1 else (own[0], own[0] + 1)
+                    seen[int(round(min(second - low, WIDEST) * STEPS)), bool(own.argmin() == at[lang])] += 1
+                    worst[lang] = max(worst.get(lang, 0.0), float(own[at[lang]]))
+        rows = [(None, 0.0, k, right, c) for (k, right), c in seen.items()] + [(lang, v, None, None, 0) for lang, v in worst.items()]
+        kinds = [pa.string(), pa.float64(), pa.int64(), pa.bool_(), pa.int64()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "worst", "step", "right", "c"])
+
+    found = d.filter("checked").select("lang", "text").mapInArrow(run, "lang string, worst double, step long, right boolean, c long")
+    rows = found.groupBy("lang", "step", "right").agg(F.max("worst").alias("worst"), F.sum("c").alias("c")).collect()  # at most the steps and the languages
+    return calibrate(model, [(r["step"] / STEPS, r["right"], r["c"]) for r in rows if r["lang"] is None], {r["lang"]: r["worst"] for r in rows if r["lang"] is not None})
+
+
+def calibrate(model: Model, margins: list[tuple[float, bool, int]], worst: dict[str, float]) -> Model:
     """Fit the margin's logistic curve (with Platt's smoothed targets) and each language's rejection limit.
 
-    The limit is the highest cross-entropy among the language's own rows,
-    and a tenth more.
+    ``margins`` are (margin, right, rows).  The limit is the highest
+    cross-entropy among the language's own rows, and a tenth more; a language
+    without such rows has the highest limit of the others.
     """
-    if not rows:
+    if not margins:
         return model
-    e = np.array([r[1] for r in rows])
-    best = e.argmin(axis=1)
-    right = np.array([model.languages[k] == lang for k, (lang, _) in zip(best, rows, strict=True)])
-    second = np.partition(e, 1, axis=1)[:, 1] if e.shape[1] > 1 else e[:, 0] + 1
-    margin = second - e.min(axis=1)
-    target = np.where(right, (right.sum() + 1) / (right.sum() + 2), 1 / ((~right).sum() + 2))
+    margin, right, rows = (np.array(c) for c in zip(*margins, strict=True))
+    hits, misses = rows[right].sum(), rows[~right].sum()
+    target = np.where(right, (hits + 1) / (hits + 2), 1 / (misses + 2))
     slope, offset = 1.0, 0.0
     for _ in range(50):  # Newton's method on two parameters
         p = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -30, 30)))
-        g = np.array([((p - target) * margin).sum() + 1e-3 * slope, (p - target).sum()])
-        w = p * (1 - p)
+        g = np.array([(rows * (p - target) * margin).sum() + 1e-3 * slope, (rows * (p - target)).sum()])
+        w = rows * p * (1 - p)
         hess = np.array([[(w * margin * margin).sum() + 1e-3, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1e-6]])
         step = np.linalg.solve(hess, g)
         slope, offset = slope - np.clip(step[0], -10, 10), offset - np.clip(step[1], -10, 10)
     if not (np.isfinite(slope) and slope > 0):
         slope, offset = 20.0, 0.0
-    own = {k: e[[lang == name for lang, _ in rows], k] for k, name in enumerate(model.languages)}
     model.slope, model.offset = float(slope), float(offset)
-    model.limits = tuple(float(own[k].max() * 1.1) if len(own[k]) else float("inf") for k in range(len(model.languages)))
+    model.limits = tuple(1.1 * worst.get(lang, max(worst.values())) for lang in model.languages)
     return model
 
 

@@ -187,6 +187,20 @@ def test_every_ngram_is_learned(spark):
     assert set(langid.mix(grams).tolist()) <= set(langid.train(docs).known.tolist())
 
 
+def test_all_but_the_held_out_fold_is_learned(spark):
+    """A language whose texts all lie in the checked fold is known; every language has a limit, from all checked rows."""
+    rng = np.random.default_rng(6)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(30))
+    fold = lambda k, n: [i for i in range(40_000) if crc(i) % 5 == k][:n]
+    rows = [(i, text("abcde"), "x") for k in (1, 2, 3) for i in fold(k, 40)]
+    rows += [(i, text("vwxyz"), "y") for i in fold(4, 40)] + [(i, text("klmno"), "z") for i in fold(1, 60)[40:]]
+    rows.append((fold(1, 5001)[-1], text("fghij"), "x"))
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["x", "y", "z"] and np.isfinite(model.limits).all()
+    e, _ = langid.Scorer(model).entropies([text("klmno"), rows[-1][1]])
+    assert e[0].argmin() == 2 and e[1].argmin() == 0
+
+
 def test_predictions_do_not_read_labels(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     model = langid.train(docs)
