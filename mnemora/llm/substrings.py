@@ -1,4 +1,4 @@
-"""Removal of repeated substrings by prefix-free parsing.
+"""Removal of repeated substrings by phrases at window minima, in place of prefix-free parsing.
 
 A string of ``window`` bytes is repeated if it starts at two places of the
 corpus.  A rolling hash over half a window's bytes cuts texts: a trigger is a
