@@ -46,21 +46,38 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.sent: list = []
+        self.names: list[str] = []
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return it as read back; its lineage ends here."""
         path = f"{self.root}/{name}"
+        self.names.append(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str = "") -> None:
-        """Delete one table, or all, when nothing reads it any more."""
+    def send(self, value):
+        """Broadcast a value that only this run's tables are made with; ``close`` takes it back."""
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
+
+    def drop(self, *names: str) -> None:
+        """Delete tables, or all without a name, when nothing reads them any more."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         gc.collect()
         jvm.System.gc()  # the driver lets go of shuffles only when it collects the frames that made them
 
+    def close(self, *keep: str) -> None:
+        """Delete all tables but ``keep`` and take back the broadcasts: what is left must not need them."""
+        for b in self.sent:
+            b.destroy()
+        self.sent.clear()
+        self.drop(*(n for n in self.names if n not in keep))
+        self.names = [*keep]
+
 
 _HELD: dict[str, Callable[[], object]] = {}
 

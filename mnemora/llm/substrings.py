@@ -1,19 +1,25 @@
-"""Removal of repeated substrings by phrases at window minima, in place of prefix-free parsing.
-
-A string of ``window`` bytes is repeated if it starts at two places of the
-corpus.  A rolling hash over half a window's bytes cuts texts: a trigger is a
-place whose hash is the least of some window's.  Equal windows have their
-trigger at the same place, so occurrences of one trigger string, a dictionary
-phrase, hold all equal windows between them.  For each phrase the occurrences
-are sorted by what precedes (reversed) and by what follows; the common
-prefixes of neighbours in these two suffix orders combine into classes of
-equal windows, without comparing pairs.
-
-Triggers that occur once in the corpus end there: only hashes leave the first
-pass, and a fixed-size bitmap of the repeated ones limits the second.
-
-Passages are judged by words in the same way: a text's words become codes of
-CODE bytes, and a window is that many codes.
+"""Removal of repeated substrings by prefix-free parsing.
+
+A window of ``window`` symbols is repeated if it starts at two places of the
+corpus; symbols are a text's UTF-8 bytes, or the codes of its words.  A
+rolling hash marks triggers, and triggers cut texts into phrases.  A window is
+a suffix of the phrase that it starts in, up to its first trigger, and a prefix
+of the parse that follows, so windows are equal where phrase suffix and parse
+are, with the trigger at one distance from their starts.
+
+Windows are taken together by their trigger and a range of that distance.  The
+core of such a unit is what all its windows hold, its hull all that they
+cover.  Cores and hulls get names (hashes), and names are counted: a unit whose
+core is unique has no repeated window; one whose hull is not unique has no
+other; the rest, where a repeat ends, is named again in smaller ranges with
+the core's name in place of its symbols, as in prefix doubling, down to single
+windows.  One of each settled hull goes along where such a unit shares its core.  Names stand in for the ranks that suffix arrays of dictionary and
+parse would give: only equality is asked for, and names are counted where they
+arise, while the sorted order brings all occurrences of a frequent phrase into
+one task.  Nothing but names and the ends of repeats is shuffled.
+
+Windows without a trigger of the first rolling hash take the second, denser
+one, and without that are units of their own.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,33 +35,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, bitmap, distinct_scan, hit, hold, in_bitmap, scan, text_key, tune
+from mnemora.llm.common import Scratch, bitmap, distinct_scan, hold, in_bitmap, scan, text_key, tune
 from mnemora.llm.langid import mix
 
 WINDOW = 400
-#: Bytes hashed at once; a longer text is cut into overlapping stretches.
+#: Symbols hashed at once; a longer text is cut into overlapping stretches.
 CHUNK = 1 << 18
-#: Bits of the bitmaps of repeated phrases and of touched texts.
-BITS = 26
-#: Occurrences that a task sorts together, and those of one phrase from which its windows are counted by the cluster instead.
-TASK_ROWS, HOT = 30_000, 60_000
-
+#: Bits of the bitmap of touched texts, and bits a key, least and most logarithm of the bitmaps of names; they filter, so fuller ones cost time and change no result.
+BITS, BITS_A_KEY, LEAST_BITS, MOST_BITS = 26, 8, 16, 28
 #: Bytes of a word's code, and words whose codes a process keeps.
 CODE, CACHE_WORDS = 8, 40_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_STEP = np.uint64(0xD1342543DE82EF95)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 _WORD = re.compile(rb"[^ \t\n\x0b\f\r]+")
-_POS_BITS = 22
-_POS = np.uint64((1 << _POS_BITS) - 1)
 _POWERS: dict[str, np.ndarray] = {}
 
 
+@dataclass(frozen=True)
+class Parse:
+    """A window, the length of trigger strings, one in how many is a trigger of either hash, and the ranges of distances."""
+
+    window: int
+    trigger: int
+    every: tuple[int, int]
+    ranges: tuple[int, ...]
+    words: bool = False
+
+    @property
+    def reach(self) -> int:
+        """The greatest distance of a window's first trigger from its start."""
+        return self.window - self.trigger
+
+
+def parse_of(window: int, words: bool = False) -> Parse:
+    """Triggers and ranges fitted to a window: about a third of it lies between two triggers, ranges fall to 1 by sixteens."""
+    trigger = max(1, min(2 if words else 16, window // 4))
+    every = 1 << max(1, int(np.log2(max(2, window / 3))))
+    ranges = [every]
+    while ranges[-1] > 1:
+        ranges.append(max(1, ranges[-1] // 16))
+    return Parse(window, trigger, (every, max(2, every // 8)), tuple(ranges), words)
+
+
 class _Codes(dict):
     """Word -> its code, computed once."""
 
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = code = xxhash.xxh3_64_digest(word)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = xxhash.xxh3_64_intdigest(word)
         return code
 
 
@@ -66,12 +95,15 @@ def _forget() -> None:
     _CODES.clear()
 
 
-def coded(text: str) -> bytes:
-    """The codes of a text's words, which are runs of characters other than ASCII white space."""
+def symbols(text: str, words: bool) -> np.ndarray:
+    """A text's bytes, or the codes of its words, which are runs of characters other than ASCII white space."""
+    if not words:
+        return np.frombuffer(text.encode(), np.uint8)
     hold("substrings", _forget)
     if len(_CODES) > CACHE_WORDS:
         _CODES.clear()
-    return b"".join(map(_CODES.__getitem__, text.encode().split()))
+    own = text.encode().split()
+    return np.fromiter(map(_CODES.__getitem__, own), np.uint64, len(own))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,62 +117,34 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums from which the name of any substring follows."""
+    value = _BYTES[data] if data.dtype == np.uint8 else mix(data + _STEP)
+    return np.r_[np.uint64(0), np.cumsum(value * _powers(len(data))[0], dtype=np.uint64)]
+
+
+def names(total: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """64-bit names of substrings: equal strings have equal names."""
+    down = _powers(len(total))[1]
+    return mix((total[start + length] - total[start]) * down[start] + np.asarray(length, np.uint64).reshape(-1) * _STEP)
+
+
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every k bytes, by one multiplication a byte; equal strings have equal hashes."""
-    if len(data) < k:
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
-    total = np.cumsum(_BYTES[data] * up, dtype=np.uint64)
-    ends = total[k - 1 :].copy()
-    ends[1:] -= total[: len(data) - k]
-    return mix(ends * down[: len(ends)])
-
-
-def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
-    """The least of every ``width`` neighbours, in time linear in the array."""
-    n = len(v) - width + 1
-    if n <= 0:
-        return np.zeros(0, v.dtype)
-    blocks = -(-len(v) // width)
-    padded = np.full(blocks * width, np.iinfo(v.dtype).max, dtype=v.dtype)
-    padded[: len(v)] = v
-    grid = padded.reshape(blocks, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-
-
-def triggers(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts laid end to end: each trigger's hash and place, and the first and last window start that it is the least of.
-
-    Windows lie inside one text.  Equal hashes in a window go to the rightmost.
-    """
-    k = window // 2
-    h = rolling(data, k)
-    v = (h & ~_POS) | (_POS - np.arange(len(h), dtype=np.uint64))
-    least = sliding_min(v, window - k + 1)
-    spans = np.maximum(ends - begins - window + 1, 0)
-    if not spans.sum():
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
-    starts = np.repeat(begins - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
-    at = (_POS - (least[starts] & _POS)).astype(np.int64)
-    cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)])
-    last = np.r_[cut[1:], len(at)] - 1
-    return h[at[cut]], at[cut], starts[cut], starts[last]
-
-
-def stretches(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, list[int], list[int], np.ndarray, np.ndarray]]:
-    """Texts laid end to end in arrays of about CHUNK bytes: data, numbers and offsets of the texts, begins and ends."""
-    parts: list[bytes] = []
+    """The name of every k neighbours, by one multiplication a symbol."""
+    n = len(data) - k + 1
+    return names(sums(data), np.arange(n), k) if n > 0 else np.zeros(0, np.uint64)
+
+
+def stretches(texts: list[np.ndarray], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts laid end to end in arrays of about CHUNK symbols: data, numbers of the texts, offsets in them, begins (and the end)."""
+    parts: list[np.ndarray] = []
     number: list[int] = []
     offset: list[int] = []
     size = 0
 
     def flush():
-        lengths = np.array([len(p) for p in parts], dtype=np.int64)
-        ends = np.cumsum(lengths)
-        return np.frombuffer(b"".join(parts), dtype=np.uint8), number, offset, ends - lengths, ends
+        edges = np.cumsum([0, *map(len, parts)])
+        return np.concatenate(parts), np.array(number), np.array(offset), edges
 
     for i, text in enumerate(texts):
         for at in range(0, max(1, len(text) - window + 1), CHUNK):
@@ -158,147 +162,209 @@ def stretches(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, lis
         yield flush()
 
 
-def equal_windows(t: pa.Table, window: int) -> list[tuple[bytes, int, int]]:
-    """Runs of repeated window starts (key, first, last) among whole phrases' occurrences (h, key, pos, left, right)."""
-    k = window // 2
-    reach = window - k
-    h = t.column("h").to_numpy().view(np.uint64)
-    keys, pos = t.column("key").to_pylist(), t.column("pos").to_numpy()
-    left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
-    n = len(h)
-    if n < 2:
-        return []
-    sides = []
-    for column, turn in ((left, True), (right, False)):
-        lengths = np.fromiter(map(len, column), np.int64, n)
-        grid = np.zeros((n, 8 + reach), dtype=np.uint8)
-        grid[:, :8] = h.astype(">u8").view(np.uint8).reshape(n, 8)
-        flat = np.frombuffer(b"".join(column), dtype=np.uint8)
-        rows = np.repeat(np.arange(n), lengths)
-        inner = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        if turn:
-            inner = np.repeat(lengths, lengths) - 1 - inner
-        grid[rows, 8 + inner] = flat
-        order = np.argsort(grid.view(f"S{8 + reach}").ravel(), kind="stable")
-        grid = grid[order]
-        differs = grid[1:] != grid[:-1]
-        common = np.where(differs.any(axis=1), differs.argmax(axis=1), 8 + reach) - 8  # below 0: another phrase
-        best = np.maximum(np.r_[-1, common], np.r_[common, -1])
-        where = np.empty(n, np.int64)
-        where[order] = np.arange(n)
-        sides.append((lengths, common, where, best[where]))
-    (left_n, left_common, left_at, left_best), (right_n, right_common, right_at, right_best) = sides
-    able = np.flatnonzero(np.minimum(left_best, left_n) + np.minimum(right_best, right_n) >= reach)
-    if len(able) < 2:
-        return []
-    flags = np.zeros((len(able), reach + 1), dtype=bool)
-    for o in range(reach + 1):
-        fits = np.flatnonzero((left_n[able] >= o) & (right_n[able] >= reach - o) & (left_best[able] >= o) & (right_best[able] >= reach - o))
-        if len(fits) < 2:
-            continue
-        rows = able[fits]
-        class_l = np.r_[0, np.cumsum(left_common < o)][left_at[rows]]
-        class_r = np.r_[0, np.cumsum(right_common < reach - o)][right_at[rows]]
-        both = class_l * np.int64(n) + class_r
-        order = np.argsort(both, kind="stable")
-        same = both[order][1:] == both[order][:-1]
-        flags[fits[order[1:][same]], o] = True
-        flags[fits[order[:-1][same]], o] = True
-    padded = np.zeros((len(able), reach + 3), dtype=np.int8)
-    padded[:, 1:-1] = flags
-    step = np.diff(padded, axis=1)
-    row, first = np.nonzero(step == 1)
-    _, after = np.nonzero(step == -1)
-    return [(keys[able[r]], int(pos[able[r]] - (b - 1)), int(pos[able[r]] - a)) for r, a, b in zip(row.tolist(), first.tolist(), after.tolist(), strict=True)]
-
-
-def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW, hot: int = HOT, task_rows: int = TASK_ROWS, by_words: bool = False) -> DataFrame:
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers repeated ``count`` times, and the values from ``first`` on."""
+    rows = np.repeat(np.arange(len(count)), count)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count) + first[rows]
+
+
+def anchored(lo: np.ndarray, hi: np.ndarray, triggers: np.ndarray, reach: int):
+    """Of window starts in the ranges [lo, hi]: units (trigger, first, last start) by first trigger, and the ranges left without one."""
+    f, last = np.searchsorted(triggers, lo), np.searchsorted(triggers, hi)
+    rows, at = _spread(f, last - f + 1)  # the one past the last may be missing or too far
+    if not len(rows):
+        return (np.zeros(0, np.int64),) * 3, (lo, hi)
+    ends = np.r_[triggers, np.int64(1) << 60]
+    t = ends[at]
+    first = np.where(at > f[rows], np.r_[triggers, 0][np.maximum(at, 1) - 1] + 1, lo[rows])
+    end = np.minimum(hi[rows], t)
+    near = np.maximum(first, t - reach)
+    some, rest = near <= end, (first < near) & (first <= end)
+    return (t[some], near[some], end[some]), (first[rest], np.minimum(end, near - 1)[rest])
+
+
+def units(data: np.ndarray, edges: np.ndarray, p: Parse) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end: each unit's trigger, first and last start, least distance of its range, and core's and hull's names."""
+    total = sums(data)
+    h = names(total, np.arange(len(data) - p.trigger + 1), p.trigger)
+    lo, hi = edges[:-1], edges[1:] - p.window
+    found = []
+    for every in p.every:
+        own, (lo, hi) = anchored(lo, hi, np.flatnonzero(h & np.uint64(every - 1) == 0), p.reach)
+        found.append(own)
+    _, alone = _spread(lo, hi - lo + 1)
+    t, first, last = (np.concatenate(x) for x in zip(*found, (alone, alone, alone), strict=True))
+    g = p.ranges[0]
+    low = (t - last) // g
+    rows, k = _spread(low, (t - first) // g - low + 1)
+    t, a = t[rows], k * g
+    first, last = np.maximum(first[rows], t - a - g + 1), np.minimum(last[rows], t - a)
+    core = names(total, t - a, a + p.window - np.minimum(a + g - 1, p.reach))
+    return t, first, last, a, core, names(total, first, last - first + p.window)
+
+
+def _runs(number: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of starts, those that continue each other in one text being one."""
+    if not len(first):
+        return number, first, last
+    order = np.lexsort((first, number))
+    number, first, last = number[order], first[order], last[order]
+    cut = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (first[1:] != last[:-1] + 1)])
+    return number[cut], first[cut], last[np.r_[cut[1:], len(last)] - 1]
+
+
+def _name(core: bytes, left: bytes, right: bytes, mark: int) -> int:
+    return xxhash.xxh3_64_intdigest(b"%b%d,%d,%d;%b%b" % (core, mark, len(left), len(right), left, right))
+
+
+def smaller(unit: tuple, p: Parse, level: int) -> Iterator[tuple[int, int, tuple]]:
+    """A unit (key, t, a, first, last, core, left, right) of one level in the next one's ranges: (core's name, hull's name, unit).
+
+    ``left`` and ``right`` are the symbols that the hull has before and after
+    the core.
+    """
+    key, t, a, first, last, core, left, right = unit
+    s = CODE if p.words else 1
+    g, cap = p.ranges[level], min(a + p.ranges[level - 1] - 1, p.reach)
+    for low in range((t - last) // g * g, t - first + 1, g):
+        d0, d1, own_cap = max(low, t - last), min(low + g - 1, t - first), min(low + g - 1, p.reach)
+        x = max(low, a)
+        before, after = left[len(left) - (x - a) * s :], right[: (cap - own_cap) * s]
+        hull = _name(core, left[len(left) - (d1 - a) * s :], right[: (cap - d0) * s], 1)
+        new = _name(core, before, after, 0) if g > 1 else hull
+        yield new, hull, (key, t, x, t - d1, t - d0, new.to_bytes(8, "little") + core[:8], left[len(left) - (d1 - a) * s : len(left) - (x - a) * s], right[(cap - own_cap) * s : (cap - d0) * s])
+
+
+#: Kinds of rows: a run of repeated windows, a unit to be cut smaller, and one that stands for settled units in the counts.
+RUN, OPEN, SETTLED = 0, 1, 2
+_UNIT = "kind int, key binary, t long, a long, first long, last long, core binary, left binary, right binary, name long"
+_KINDS = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _KINDS, strict=True)], [f.split()[0] for f in _UNIT.split(", ")])
+
+
+def _sent(scratch: Scratch, keys: DataFrame):
+    """A broadcast bitmap of the table's keys ``h``, fitted to their number up to a fixed size."""
+    bits = int(np.clip(np.ceil(np.log2(BITS_A_KEY * (keys.count() + 1))), LEAST_BITS, MOST_BITS))
+    return scratch.send(bitmap(keys.select(F.col("h").alias("key")), bits))
+
+
+def _counted(scratch: Scratch, table: str, names: DataFrame):
+    """Hulls' names counted (h, core, n), and bitmaps of the single ones and of the cores that these have."""
+    counts = scratch.table(table, names.groupBy("h", "core").agg(F.sum("n").alias("n")))
+    alone = counts.filter("n = 1")
+    return counts, _sent(scratch, alone.select("h")), _sent(scratch, alone.select(F.col("core").alias("h")))
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW, by_words: bool = False, parse: Parse | None = None) -> DataFrame:
     """Repeated windows of the whole table: (key, spans), a span being a run of window starts of the text of that key.
 
     A text of several rows is repeated in all its windows.  With ``by_words``
-    the windows and spans are those of the texts' codes.
+    the windows and spans are of words.
     """
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark, "substrings")
-    k = window // 2
+    p = parse or parse_of(window, by_words)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    size = F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")) * CODE if by_words else F.octet_length(text)
-    encode = coded if by_words else str.encode
+    size = F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")) if by_words else F.octet_length(text)
     copies = scratch.table("copies", docs.select(text_key(F.col(text_col)).alias("key"), size.alias("size")).groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter("n > 1"))
-    several = spark.sparkContext.broadcast(bitmap(copies.select(F.xxhash64("key").alias("key")), BITS))
-
-    def hashes(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [triggers(data, begins, ends, window)[0] for data, _, _, begins, ends in stretches([encode(t) for t in batch.column(1).to_pylist()], window)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"]) if found else None
-
-    phrases = scratch.table("phrases", distinct_scan(docs, text_col, several, hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
-    total, most = phrases.agg(F.sum("n"), F.max("n")).first()
-    wanted = spark.sparkContext.broadcast(bitmap(phrases.select(F.col("h").alias("key")), BITS))
-
-    def occurrences(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys, raw = batch.column(0).to_pylist(), [encode(t) for t in batch.column(1).to_pylist()]
-        out: list[list] = [[], [], [], [], []]
-        for data, number, offset, begins, ends in stretches(raw, window):
-            h, at, first, last = triggers(data, begins, ends, window)
-            keep = in_bitmap(h, wanted.value)
-            h, at, first, last = h[keep], at[keep], first[keep], last[keep]
-            whole = data.tobytes()
-            which = np.searchsorted(begins, at, side="right") - 1
-            out[0].extend(h.view(np.int64).tolist())
-            for w, a, lo, hi in zip(which.tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True):
-                out[1].append(keys[number[w]])
-                out[2].append(a - int(begins[w]) + offset[w])
-                out[3].append(whole[lo:a])
-                out[4].append(whole[a + k : hi + window])
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], ["h", "key", "pos", "left", "right"]) if out[0] else None
-
-    found = distinct_scan(docs, text_col, several, occurrences, "h long, key binary, pos long, left binary, right binary")
-    groups = max(1, -(-(total or 0) // task_rows))
-
-    def sort(t: pa.Table) -> pa.Table:
-        rows = equal_windows(t, window)
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        return pa.table({"key": pa.array(cols[0], pa.binary()), "lo": pa.array(cols[1], pa.int64()), "hi": pa.array(cols[2], pa.int64())})
-
-    runs = []
-    if (most or 0) > hot:
-        found = scratch.table("occurrences", found)
-        many = spark.sparkContext.broadcast(bitmap(phrases.filter(F.col("n") > hot).select(F.col("h").alias("key")), BITS - 4))
-        runs.append(_counted(found.filter(hit(many, F.col("h"))), window))
-        found = found.filter(~hit(many, F.col("h")))
-    runs.append(found.withColumn("g", F.expr(f"int(pmod(h, {groups}))")).groupBy("g").applyInArrow(sort, "key binary, lo long, hi long"))
-    runs.append(copies.filter(F.col("size") >= window).select("key", F.lit(0).cast("long").alias("lo"), (F.col("size") - window).cast("long").alias("hi")))
-    every = runs[0]
-    for r in runs[1:]:
-        every = every.unionByName(r)
-    spans = scratch.table("spans", every.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    for name in ("copies", "phrases", "occurrences"):
-        scratch.drop(name)
+    several = _sent(scratch, copies.select(F.xxhash64("key").alias("h")))
+
+    def cut(batch: pa.RecordBatch):
+        for data, number, offset, edges in stretches([symbols(t, by_words) for t in batch.column(1).to_pylist()], window):
+            yield data, number, offset, edges, *units(data, edges, p)
+
+    def cores(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = [core for *_, core, _ in cut(batch)]
+        if not found:
+            return None
+        value, count = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (value, count)], ["h", "n"])
+
+    shared = _sent(scratch, scratch.table("cores", distinct_scan(docs, text_col, several, cores, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")))
+
+    def hulls(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = [(hull[some], core[some]) for *_, core, hull in cut(batch) if (some := in_bitmap(core, shared.value)).any()]
+        if not found:
+            return None
+        hull, core = (np.concatenate(x) for x in zip(*found, strict=True))
+        value, at, count = np.unique(hull, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (value, core[at], count)], ["h", "core", "n"])
+
+    counts, single, mixed = _counted(scratch, "hulls", distinct_scan(docs, text_col, several, hulls, "h long, core long, n long"))
+
+    def settle(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        keys = batch.column(0).to_pylist()
+        out: list[tuple] = []
+        seen: set[int] = set()
+        for data, number, offset, edges, t, first, last, a, core, hull in cut(batch):
+            some = np.flatnonzero(in_bitmap(core, shared.value))
+            t, first, last, a, core, hull = (x[some] for x in (t, first, last, a, core, hull))
+            which = np.searchsorted(edges, first, side="right") - 1
+            move = offset - edges[:-1]
+            again = ~in_bitmap(hull, single.value)
+            w, lo, hi = _runs(which[again], first[again], last[again])
+            for n, x, y in zip(number[w].tolist(), (lo + move[w]).tolist(), (hi + move[w]).tolist(), strict=True):
+                out.append((RUN, keys[n], None, None, x, y, None, None, None, None))
+            raw, s = data.tobytes(), data.itemsize
+            begin, end, m = (t - a) * s, (t + window - np.minimum(a + p.ranges[0] - 1, p.reach)) * s, move[which]
+            for i in np.flatnonzero(~again | in_bitmap(core, mixed.value)).tolist():
+                name = int(hull[i])
+                if again[i] and name in seen:
+                    continue
+                seen.add(name)
+                sides = raw[first[i] * s : begin[i]], raw[end[i] : (last[i] + window) * s]
+                out.append((SETTLED if again[i] else OPEN, None if again[i] else keys[number[which[i]]], int(t[i] + m[i]), int(a[i]), int(first[i] + m[i]), int(last[i] + m[i]), int(core[i]).to_bytes(8, "little"), *sides, int(hull[i : i + 1].view(np.int64)[0])))
+        return _batch(out) if out else None
+
+    def parts(batch: pa.RecordBatch, level: int) -> Iterator[tuple[int, int, tuple]]:
+        for unit in zip(*(batch.column(c).to_pylist() for c in range(1, 9)), strict=True):
+            yield from smaller(unit, p, level)
+
+    done = [scratch.table("settled0", distinct_scan(docs, text_col, several, settle, _UNIT))]
+    for level in range(1, len(p.ranges)):
+        unit = [c for c in done[-1].columns if c != "name"]
+        stand = done[-1].filter(F.col("kind") == SETTLED).groupBy("name").agg(F.first(F.struct(*unit)).alias("u")).select("u.*")
+        rest = scratch.table(f"open{level}", done[-1].filter(F.col("kind") == OPEN).select(unit).unionByName(stand))
+
+        def named(batch: pa.RecordBatch, level: int = level) -> pa.RecordBatch:
+            rows = [(hull, core, 1 if u[0] is not None else 2) for core, hull, u in parts(batch, level)]
+            hull, core, n = (np.array(x, np.uint64).view(np.int64) for x in zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (hull, core, n)], ["h", "core", "n"])
+
+        counts, single, mixed = _counted(scratch, f"names{level}", scan(rest, named, "h long, core long, n long"))
+        shared = _sent(scratch, counts.groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("core").alias("h")))
+
+        def again(batch: pa.RecordBatch, level: int = level, single=single, mixed=mixed, shared=shared) -> pa.RecordBatch | None:
+            found = list(parts(batch, level))
+            core, hull = (np.array([x[i] for x in found], np.uint64) for i in (0, 1))
+            whole, live, needed = ~in_bitmap(hull, single.value), in_bitmap(core, shared.value), in_bitmap(core, mixed.value)
+            out: list[tuple] = []
+            for (_, _, u), h, w, k, n in zip(found, hull.view(np.int64).tolist(), whole.tolist(), live.tolist(), needed.tolist(), strict=True):
+                if w and u[0] is not None:
+                    out.append((RUN, u[0], None, None, u[3], u[4], None, None, None, None))
+                if (w or u[0] is None) and n and p.ranges[level] > 1:
+                    out.append((SETTLED, None, *u[1:], h))
+                elif k and not w and u[0] is not None:
+                    out.append((OPEN, *u, h))
+            return _batch(out) if out else None
+
+        done.append(scratch.table(f"settled{level}", scan(rest, again, _UNIT)))
+    # single windows that bitmaps cannot tell apart are judged by the counts themselves
+    twice = done[-1].filter(F.col("kind") == OPEN).join(counts.filter("n > 1").select(F.col("h").alias("name")), "name", "left_semi")
+    runs = [d.filter(F.col("kind") == RUN) for d in done] + [twice]
+    whole = copies.filter(F.col("size") >= window).select("key", F.lit(0).cast("long").alias("lo"), (F.col("size") - window).cast("long").alias("hi"))
+    for r in runs:
+        whole = whole.unionByName(r.select("key", F.col("first").alias("lo"), F.col("last").alias("hi")))
+    spans = scratch.table("spans", whole.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    scratch.close("spans")
     return spans
 
 
-def _counted(rows: DataFrame, window: int) -> DataFrame:
-    """Repeated windows of very frequent phrases, by counting each window's hash over the cluster."""
-    k = window // 2
-    reach = window - k
-
-    def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out_h, out_key, out_at = [], [], []
-        for r in batch.to_pylist():
-            for o in range(reach - len(r["right"]), len(r["left"]) + 1):
-                part = r["h"].to_bytes(8, "little", signed=True) + o.to_bytes(2, "little") + r["left"][len(r["left"]) - o :] + r["right"][: reach - o]
-                out_h.append(hashlib.blake2b(part, digest_size=16).digest())
-                out_key.append(r["key"])
-                out_at.append(r["pos"] - o)
-        return pa.RecordBatch.from_arrays([pa.array(out_h, pa.binary()), pa.array(out_key, pa.binary()), pa.array(out_at, pa.int64())], ["w", "key", "at"])
-
-    windows = scan(rows, explode, "w binary, key binary, at long")
-    again = windows.groupBy("w").agg(F.min(F.struct("key", "at")).alias("a"), F.max(F.struct("key", "at")).alias("b")).filter("a != b").select("w")
-    return windows.join(again, "w", "left_semi").select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))
-
-
 def merged(spans: list[dict] | None, window: int) -> list[tuple[int, int]]:
     """Maximal removed byte runs [begin, end) of runs of window starts; touching ones are one."""
     out: list[tuple[int, int]] = []
@@ -311,14 +377,9 @@ def merged(spans: list[dict] | None, window: int) -> list[tuple[int, int]]:
 
 
 def passages(spans: list[dict], raw: bytes, words: int) -> list[tuple[int, int]]:
-    """Byte runs [begin, end) of a text in which repeated runs of ``words`` words lie, from the spans of its codes."""
+    """Byte runs [begin, end) of a text in which repeated runs of ``words`` words lie, from the spans of its words."""
     places = [m.span() for m in _WORD.finditer(raw)]
-    out = []
-    for s in spans:
-        first, last = -(-s["lo"] // CODE), s["hi"] // CODE  # a window that starts inside a code is no passage
-        if first <= last:
-            out.append((places[first][0], places[last + words - 1][1]))
-    return out
+    return [(places[s["lo"]][0], places[s["hi"] + words - 1][1]) for s in spans]
 
 
 def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -417,7 +478,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
 
     spans = marked(repeated_spans(docs, text_col, window), False)
     if words:
-        spans = spans.unionByName(marked(repeated_spans(docs, text_col, words * CODE, task_rows=TASK_ROWS // 3, by_words=True), True))
+        spans = spans.unionByName(marked(repeated_spans(docs, text_col, words, by_words=True), True))
         spans = spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = with_spans(docs, text_col, spans, run, docs.schema)
     if "n_chars" in docs.columns:

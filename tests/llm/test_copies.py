@@ -31,11 +31,23 @@ def removed(texts, window):
 
 @settings(max_examples=30, deadline=None)
 @given(st.binary(max_size=300), st.integers(2, 40))
-def test_rolling_and_sliding(data, k):
+def test_names_of_substrings(data, k):
     h = substrings.rolling(np.frombuffer(data, np.uint8), k)
     strings = [data[i : i + k] for i in range(len(data) - k + 1)]
     assert len(h) == len(strings) and len(set(h.tolist())) == len(set(strings))
-    assert substrings.sliding_min(h, 7).tolist() == [min(h[i : i + 7].tolist()) for i in range(len(h) - 6)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=200), st.integers(1, 12), st.sampled_from([(2, 2), (8, 4), (64, 64)]))
+def test_units_hold_every_window_once(data, edge, every):
+    """Each window start of each text is in one unit of its first trigger."""
+    p = substrings.Parse(12, 3, every, (4, 1))
+    texts = [np.array(data[i : i + 20 * edge], np.uint8) for i in range(0, len(data), 20 * edge)]
+    for stretch, _, _, edges in substrings.stretches(texts, 12):
+        t, first, last, a, core, hull = substrings.units(stretch, edges, p)
+        starts = sorted(x for lo, hi in zip(first.tolist(), last.tolist(), strict=True) for x in range(lo, hi + 1))
+        assert starts == [x for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for x in range(lo, hi - 11)]
+        assert ((t - last >= a) & (t - first < a + 4) & (t - first <= p.reach) & (first <= last)).all()
 
 
 def corpus(window, seed):
@@ -51,13 +63,17 @@ def corpus(window, seed):
 
 
 @pytest.mark.parametrize("chunk", [1 << 20, 500])
-@pytest.mark.parametrize("hot", [60_000, 4])
-def test_removal_by_table(spark, monkeypatch, chunk, hot):
+@pytest.mark.parametrize("bits", [20, 6])
+@pytest.mark.parametrize("parse", [None, substrings.Parse(40, 3, (64, 32), (64, 8, 4, 1)), substrings.Parse(40, 12, (2, 2), (2, 1))])
+def test_removal_by_table(spark, monkeypatch, chunk, bits, parse):
+    """Also with bitmaps so small that nearly every name hits, and with triggers so rare that windows have none."""
     window = 40
     monkeypatch.setattr(substrings, "CHUNK", chunk)
-    texts = corpus(window, chunk + hot)
+    monkeypatch.setattr(substrings, "LEAST_BITS", bits)
+    monkeypatch.setattr(substrings, "MOST_BITS", bits)
+    texts = corpus(window, chunk + bits)
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    spans = {bytes(r["key"]): r["spans"] for r in substrings.repeated_spans(d, window=window, hot=hot, task_rows=200).collect()}
+    spans = {bytes(r["key"]): r["spans"] for r in substrings.repeated_spans(d, window=window, parse=parse).collect()}
     got = []
     for t in texts:
         raw = (t or "").encode()
