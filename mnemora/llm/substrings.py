@@ -347,10 +347,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
             for (_, _, u), h, w, k, n in zip(found, hull.view(np.int64).tolist(), whole.tolist(), live.tolist(), needed.tolist(), strict=True):
                 if w and u[0] is not None:
                     out.append((RUN, u[0], None, None, u[3], u[4], None, None, None, None))
-                if (w or u[0] is None) and n and p.ranges[level] > 1:
-                    out.append((SETTLED, None, *u[1:], h))
-                elif k and not w and u[0] is not None:
+                if u[0] is not None and not w and k:
                     out.append((OPEN, *u, h))
+                elif (n or not w) and (w or u[0] is None) and p.ranges[level] > 1:
+                    out.append((SETTLED, None, *u[1:], h))
             return _batch(out) if out else None
 
         done.append(scratch.table(f"settled{level}", scan(rest, again, _UNIT)))
