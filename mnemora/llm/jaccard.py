@@ -2,15 +2,19 @@
 
 A set is its shingles' hashes in order.  The order is cut into position
 blocks, more of them than two linked sets of near sizes can differ in
-shingles, so linked sets agree in a whole block; an index list holds the sets
-with one content at one block, and a probe skips every other block and list.
+shingles, so linked sets agree in several whole blocks; an index list holds
+the sets with one content at one block, and a probe skips every other block
+and list.  As links share more than one list, each set leaves out as many of
+its longest ones as it can spare: what many texts share, such as a common
+passage, makes no list where anything else does.
+
 Per list one leader, the set that most lists share, is compared with all
 members.  Members linked to it are in one component, and the others' answers
 follow from the leader's: by the triangle inequality of the Jaccard distance,
 two members whose distances to the leader differ by more than the limit are
-no link.  Of members of different components, marks of a byte a range of the
-order bound the difference from below, and only pairs that pass are compared
-themselves.
+no link.  Members of different components are led in turn by each that is
+left: marks of a byte a range of the order bound the difference from below,
+and only pairs that pass leave their list and are compared themselves.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ from mnemora.operators.graph import components
 BITS = 27
 #: Bytes of a signature, signatures counted at once, words whose hashes and sets that a process keeps.
 SIG_BYTES, FLUSH, CACHE_WORDS, KEPT_SETS = 5, 1 << 20, 150_000, 64
-#: Least and most logarithm of a mark's length; components up to which a list is short; members compared in one group.
-MARK_LEAST, MARK_MOST, SHORT, BLOCK = 8, 13, 6, 2048
+#: Least and most logarithm of a mark's length; members up to which a list's pairs come from a join, that a task takes together, and of a block of a longer list.
+MARK_LEAST, MARK_MOST, SHORT, TASK_ROWS, BLOCK = 5, 13, 6, 20_000, 2048
+#: Members from which on a list is long, and the part of the most possible differences that blocks exceed it by, to leave long lists out.
+LONG, SPARE = 128, 4
 
 
 class _Words(dict):
@@ -69,7 +75,7 @@ def shingles(text: str, n: int) -> np.ndarray:
 
 @lru_cache(maxsize=None)
 def bands(num: int, den: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Size bands: first sizes, position blocks, empty blocks that may be left out, and sizes up to which a set reaches below.
+    """Size bands: first sizes, position blocks, blocks that a set may leave out, and sizes up to which it reaches below.
 
     A band spans two of the greatest ratios of linked sizes, so a set links
     only within its band and a neighbouring one; with the band below only if
@@ -88,14 +94,19 @@ def bands(num: int, den: int) -> tuple[list[int], list[int], list[int], list[int
         if differ:
             for _ in range(3):
                 m = differ + 1 + free
-                free = int(np.ceil(2 * m * np.exp(-first[r] / m)))
+                free = int(np.ceil(2 * m * np.exp(-first[r] / m))) + differ // SPARE
         blocks.append(differ + 1 + free)
         spare.append(free)
     return first, blocks, spare, below
 
 
-def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The set's block contents as hashes of SIG_BYTES bytes: in its own band, and in the one below if it reaches there."""
+def signatures(tokens: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]:
+    """The set's block contents as hashes of SIG_BYTES bytes, with how many may still be left out.
+
+    They are those in its own band, and in the one below if it reaches there.
+    Links share one more than may be left out, so what is left out must be
+    first by an order of all signatures: empty blocks are before all others.
+    """
     first, blocks, spare, below = bands(num, den)
     own = int(np.searchsorted(first, len(tokens), side="right")) - 1
     total = np.r_[np.uint64(0), np.cumsum(mix(tokens + _STEP), dtype=np.uint64)]
@@ -106,13 +117,18 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
         m = blocks[r]
         edge = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
         cut = np.r_[0, np.searchsorted(tokens, edge), len(tokens)]
-        count = np.diff(cut)
+        empty = np.diff(cut) == 0
         content = total[cut[1:]] - total[cut[:-1]]
-        sig = mix(content ^ mix(np.arange(m, dtype=np.uint64) + np.uint64((r + 1) << 32)))
-        if (count == 0).sum() <= spare[r]:
-            sig = sig[count > 0]
-        out.append(sig)
-    return np.concatenate(out) & np.uint64((1 << 8 * SIG_BYTES) - 1)
+        sig = mix(content ^ mix(np.arange(m, dtype=np.uint64) + np.uint64((r + 1) << 32))) & np.uint64((1 << 8 * SIG_BYTES) - 1)
+        left = spare[r] - int(empty.sum())
+        out.append((sig[~empty], left) if left >= 0 else (sig, 0))
+    return out
+
+
+def without_long(sig: np.ndarray, long: np.ndarray, left: int) -> np.ndarray:
+    """Signatures without up to ``left`` of those marked long, the lowest first."""
+    at = np.flatnonzero(long)
+    return np.delete(sig, at[np.argsort(sig[at], kind="stable")[:left]]) if len(at) and left else sig
 
 
 def packed(sigs: np.ndarray) -> bytes:
@@ -176,75 +192,88 @@ def linked_texts(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int,
     exactly; within a component not every link is listed, unless ``every``
     is set: then each link is there, some of them more than once.
     """
-    spark = docs.sparkSession
     keys = docs.select(text_key(F.col(text_col)).alias("key"))
     copies = keys.groupBy("key").count().filter("count > 1").select(F.xxhash64("key").alias("key"))
-    several = spark.sparkContext.broadcast(bitmap(copies, BITS - 2))
+    several = scratch.send(bitmap(copies, BITS - 2))
 
     def index(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, sigs = [], []
+        rows: list[list] = [[], [], [], [], []]
         for text in batch.column(1).to_pylist():
             tokens = shingles(text, n)
-            sizes.append(len(tokens))
-            sigs.append(packed(signatures(tokens, num, den)) if len(tokens) else b"")
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["key", "n", "sigs"])
+            bands_of = signatures(tokens, num, den) if len(tokens) else []
+            for column, value in zip(rows, (len(tokens), [packed(sig) for sig, _ in bands_of], [left for _, left in bands_of], b"".join(packed(sig) for sig, _ in bands_of), mark(tokens)), strict=True):
+                column.append(value)
+        kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["key", "n", "bands", "spare", "sigs", "mark"])
 
-    sets = scratch.table("sets", distinct_scan(docs, text_col, several, index, "key binary, n long, sigs binary"))
-    sizes = scratch.table("sizes", sets.select("key", F.col("n").alias("n_shingles")))
+    sets = scratch.table("sets", distinct_scan(docs, text_col, several, index, "key binary, n long, bands array<binary>, spare array<long>, sigs binary, mark binary"))
     total = sets.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
-    shared = spark.sparkContext.broadcast(shared_bitmap(sets, total // SIG_BYTES))
+    shared = scratch.send(shared_bitmap(sets, total // SIG_BYTES))
+
+    def known(sig: np.ndarray, table) -> np.ndarray:
+        return in_bitmap((sig & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS), table)
+
+    def listed(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        sig = unpacked(b"".join(batch.column(0).to_pylist()))
+        value, count = np.unique(sig[known(sig, shared.value)], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (value, count)], ["sig", "c"])
+
+    lists = scratch.table("lists", scan(sets.select("sigs"), listed, "sig long, c long").groupBy("sig").agg(F.sum("c").alias("c")).filter("c > 1"))
+    several_in = scratch.send(bitmap(lists.select(F.col("sig").alias("key")), BITS))
+    long = scratch.send(bitmap(lists.filter(F.col("c") > LONG).select(F.col("sig").alias("key")), BITS - 3))
 
     def members(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows: list[list] = [[], [], [], []]
-        for key, size, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            sig = unpacked(raw)
-            sig = sig[in_bitmap((sig & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS), shared.value)].view(np.int64).tolist()
+        for key, size, bands_of, spare in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            kept = [without_long(sig, in_bitmap(sig, long.value), left) for sig, left in zip(map(unpacked, bands_of), spare, strict=True)]
+            sig = np.concatenate([x[in_bitmap(x, several_in.value)] for x in kept] or [np.zeros(0, np.uint64)]).view(np.int64).tolist()
             for column, value in zip(rows, ([key] * len(sig), [size] * len(sig), sig, [len(sig)] * len(sig)), strict=True):
                 column.extend(value)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["key", "n", "sig", "score"])
 
     # the leader is the member that most lists share; lists of one member were a bitmap's chance hits
-    member = scratch.table("found", scan(sets, members, "key binary, n long, sig long, score long"))
+    member = scratch.table("found", scan(sets.select("key", "n", "bands", "spare"), members, "key binary, n long, sig long, score long"))
     heads = member.groupBy("sig").agg(F.max(F.struct("score", "key")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("sig", F.col("lead.key").alias("leader"))
-    member = scratch.table("members", member.join(heads, "sig").select("sig", "key", "n", "leader"))
-    for name in ("sets", "found"):
-        scratch.drop(name)
-    marks = scratch.table("marks", _marks(docs, member.select("key"), several, n, text_col))
+    member = scratch.table("members", member.join(scratch.table("heads", heads), "sig").select("sig", "key", "n", "leader"))
+    scratch.drop("found", "lists")
+    marks = sets.select("key", "n", "mark")
     pairs = member.filter("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    first = _verify(docs, scratch, _possible(pairs, marks, num, den), several, n, text_col, "first")
+    first = _verify(docs, scratch, _possible(pairs, marks, num, den), n, text_col, "first")
     linked = (F.col("common") * den >= F.col("joint") * num).alias("linked")
     # for every link, each text counts as a component of its own
-    groups = components(first.filter(F.lit(False) if every else linked), scratch.root)
+    m = member
+    if not every:
+        m = m.join(components(first.filter(linked), scratch.root).withColumnRenamed("node", "key"), "key", "left")
     # lists whose members lie in several components; a leader's own answers are known
     far = 1 - F.col("common") / F.col("joint")
-    known = first.select(F.col("a").alias("leader"), F.col("b").alias("key"), far.alias("far"))
-    m = member.join(known, ["leader", "key"], "left").join(groups, member["key"] == groups["node"], "left")
-    m = scratch.table("open", m.select("sig", "key", "n", "leader", "far", F.coalesce("component", "key").alias("component")))
-    scratch.drop("members")
-    spread = m.groupBy("sig", "component").agg(F.count("*").alias("c")).groupBy("sig").agg(F.count("*").alias("groups"), F.sum("c").alias("size")).filter("groups > 1")
-    m = scratch.table("rest", m.join(spread, "sig").filter("key != leader").select("sig", "key", "n", "far", "component", "groups", "size"))
-    scratch.drop("open")
-    short = m.filter(F.col("groups") <= SHORT)
+    answers = first.select(F.col("a").alias("leader"), F.col("b").alias("key"), far.alias("far"))
+    m = m.withColumn("component", F.xxhash64(F.coalesce("component", "key") if not every else F.col("key"))).join(answers, ["leader", "key"], "left")
+    m = scratch.table("open", m.select("sig", "key", "n", "leader", "far", "component"))
+    spread = m.groupBy("sig").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most and size > 2")
+    m = scratch.table("rest", m.join(scratch.table("spread", spread.select("sig", "size")), "sig").filter("key != leader").select("sig", "key", "n", "far", "component", "size"))
+    scratch.drop("members", "open", "heads", "spread")
+    short = m.filter(F.col("size") <= SHORT)
     x, y = (short.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "far", "component")]) for s in "xy")
     limit = (den - num) / den + 1e-9
     near = (F.col("key_x") < F.col("key_y")) & (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
     near = near & F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= limit, F.lit(True))
-    rest = x.join(y, "sig").filter(near).select(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
-    rest = rest.unionByName(_within(m.filter(F.col("groups") > SHORT), marks, num, den)).distinct()
-    second = _verify(docs, scratch, _possible(rest, marks, num, den), several, n, text_col, "second")
-    for name in ("rest", "marks"):
-        scratch.drop(name)
-    return sizes, first.unionByName(second).filter(linked)
+    rest = _possible(x.join(y, "sig").filter(near).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct(), marks, num, den)
+    rest = rest.unionByName(_within(scratch, m.filter(F.col("size") > SHORT), marks, num, den)).distinct()
+    second = _verify(docs, scratch, rest, n, text_col, "second")
+    links = scratch.table("links", first.unionByName(second).filter(linked))
+    sizes = scratch.table("sizes", sets.select("key", F.col("n").alias("n_shingles")))
+    scratch.close("links", "sizes")
+    return sizes, links
 
 
 def mark(tokens: np.ndarray) -> bytes:
-    """A byte for each of 2**k equal ranges of the order, 2**k being no less than the set's size: the sum of its tokens' hashes.
+    """A byte for each of 2**k equal ranges of the order, 2**k being a quarter to half of the set's size: the sum of its tokens' hashes.
 
     Ranges whose bytes differ hold different shingles, so their number is no
     more than the sets' symmetric difference.  Adding neighbours gives the
     mark of half as many ranges.
     """
-    k = int(np.clip(np.ceil(np.log2(max(len(tokens), 1))), MARK_LEAST, MARK_MOST))
+    k = int(np.clip(np.ceil(np.log2(max(len(tokens), 1))) - 2, MARK_LEAST, MARK_MOST))
     sums = np.bincount((tokens >> np.uint64(64 - k)).astype(np.int64), weights=(mix(tokens) & np.uint64(0xFF)).astype(np.float64), minlength=1 << k)
     return (sums.astype(np.int64) & 0xFF).astype(np.uint8).tobytes()
 
@@ -253,18 +282,6 @@ def folded(raw: bytes, size: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.uint8)
 
 
-def _marks(docs: DataFrame, keys: DataFrame, several, n: int, text_col: str) -> DataFrame:
-    """(key, n, mark, small) of the texts whose keys are given, and of some others; small is the mark of least length."""
-    only = docs.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.xxhash64("key").alias("key")), BITS - 2))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
-        made = [mark(t) for t in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array(made, pa.binary()), pa.array([folded(x, 1 << MARK_LEAST).tobytes() for x in made], pa.binary())], ["key", "n", "mark", "small"])
-
-    return distinct_scan(docs, text_col, several, run, "key binary, n long, mark binary, small binary", only)
-
-
 def _possible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that sizes and marks do not rule out."""
     both = pairs.join(marks.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("mb")), "b").join(marks.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("mark").alias("ma")), "a")
@@ -279,46 +296,68 @@ def _possible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFra
     return scan(both.select("a", "b", "na", "nb", "ma", "mb"), run, "a binary, b binary")
 
 
-def _within(members: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components in lists of many, that sizes and marks do not rule out.
+def led(size: np.ndarray, component: np.ndarray, far: np.ndarray, grid: np.ndarray, block: np.ndarray | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of one list's members, each in turn leading those after it, that nothing rules out."""
+    out = []
+    limit = (den - num) / den + 1e-9
+    for i in range(len(size) - 1):
+        j = np.arange(i + 1, len(size))
+        ok = (component[j] != component[i]) & (np.minimum(size[j], size[i]) * den >= np.maximum(size[j], size[i]) * num) & ~(np.abs(far[j] - far[i]) > limit)
+        j = j[ok if block is None else ok & (block[j] != block[i])]
+        if len(j):
+            j = j[(grid[j] != grid[i]).sum(axis=1) <= (size[j] + size[i]) * (den - num) // (den + num)]
+            out.extend((i, k) for k in j.tolist())
+    return out
+
+
+def _within(scratch: Scratch, members: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components in lists, that leaders' answers, sizes and marks do not rule out.
 
     A list of more than BLOCK members is dealt into blocks, and each pair of
-    blocks is one group; a group compares marks and hands on what is left.
+    blocks is compared by itself; a task takes many short lists together.
     """
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("key"), n).cast("int")
-    m = members.select("sig", "key", "n", F.xxhash64("component").alias("component"), n.alias("blocks"), mine.alias("mine"))
-    m = m.join(marks.select("key", "small"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = members.select("sig", "key", "n", "far", "component", n.alias("blocks"), mine.alias("mine"))
+    m = m.join(marks.select("key", "mark"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
+    groups = 1 + members.count() // TASK_ROWS
+    m = m.withColumn("g", F.pmod(F.xxhash64("sig", "low", "high"), F.lit(groups)).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:
-        keys, size, group = t.column("key").to_pylist(), t.column("n").to_numpy(), t.column("component").to_numpy()
-        block, split = t.column("mine").to_numpy(), t.column("low")[0].as_py() != t.column("high")[0].as_py()
-        grid = np.frombuffer(b"".join(t.column("small").to_pylist()), np.uint8).reshape(len(keys), -1)
-        a, b = [], []
-        for i in range(len(keys) - 1):
-            j = np.arange(i + 1, len(keys))
-            j = j[(group[j] != group[i]) & (np.minimum(size[j], size[i]) * den >= np.maximum(size[j], size[i]) * num) & (not split or block[j] != block[i])]
-            j = j[(grid[j] != grid[i]).sum(axis=1) <= (size[j] + size[i]) * (den - num) // (den + num)]
-            for k in j.tolist():
-                a.append(min(keys[i], keys[k]))
-                b.append(max(keys[i], keys[k]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return m.groupBy("sig", "low", "high").applyInArrow(run, "a binary, b binary")
-
-
-def _verify(docs: DataFrame, scratch: Scratch, pairs: DataFrame, several, n: int, text_col: str, name: str) -> DataFrame:
+        sig, low, high = (t.column(c).to_numpy() for c in ("sig", "low", "high"))
+        order = np.lexsort((high, low, sig))
+        cut = np.flatnonzero(np.r_[True, (np.diff(sig[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0), True])
+        size, component, mine = (t.column(c).to_numpy() for c in ("n", "component", "mine"))
+        far = t.column("far").to_numpy(zero_copy_only=False).astype(np.float64)
+        keys, raw = t.column("key").to_pylist(), t.column("mark").to_pylist()
+        pairs = set()
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            at = order[lo:hi]
+            width = min(len(raw[i]) for i in at.tolist())
+            grid = np.stack([folded(raw[i], width) for i in at.tolist()])
+            split = mine[at] if low[at[0]] != high[at[0]] else None
+            for i, k in led(size[at], component[at], far[at], grid, split, num, den):
+                pairs.add((min(keys[at[i]], keys[at[k]]), max(keys[at[i]], keys[at[k]])))
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return m.drop("other", "blocks").groupBy("g").applyInArrow(run, "a binary, b binary")
+
+
+def _verify(docs: DataFrame, scratch: Scratch, pairs: DataFrame, n: int, text_col: str, name: str) -> DataFrame:
     """Exact overlap and union of pairs (a, b) of text keys: (a, b, common, joint).
 
     Texts, which compress, are what is moved; a task keeps the sets of the
     texts it saw last.
     """
-    spark = docs.sparkSession
     pairs = scratch.table(f"{name}_pairs", pairs)
+    schema = "a binary, b binary, common long, joint long"
+    if pairs.isEmpty():
+        return scratch.spark.createDataFrame([], schema)
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    only = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("key").alias("key")), BITS - 2))
-    t = scratch.table(f"{name}_texts", distinct_scan(docs, text_col, several, lambda b: b, "key binary, text string", only))
+    only = scratch.send(bitmap(wanted.select(F.xxhash64("key").alias("key")), BITS - 2))
+    d = docs.select(text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    t = scratch.table(f"{name}_texts", d.filter(hit(only, F.xxhash64("key"))).groupBy("key").agg(F.first("text").alias("text")))
     both = pairs.join(t.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(t.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
 
     def overlaps(batches):
@@ -341,7 +380,7 @@ def _verify(docs: DataFrame, scratch: Scratch, pairs: DataFrame, several, n: int
                 joint.append(len(a) + len(b) - common[-1])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(joint, pa.int64())], ["a", "b", "common", "joint"])
 
-    out = scratch.table(name, both.mapInArrow(overlaps, "a binary, b binary, common long, joint long"))
+    out = scratch.table(name, both.mapInArrow(overlaps, schema))
     scratch.drop(f"{name}_texts")
     return out
 
@@ -380,7 +419,8 @@ def groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
     found = components(links, scratch.root)
     ids = d.select("doc_id", text_key(F.col("text")).alias("key")).join(sizes, "key")
     ids = scratch.table("ids", ids.join(found, ids["key"] == found["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "key").alias("component")))
-    least = ids.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    # written, so that the join deals out both sides itself and a large component can be split
+    least = scratch.table("least", ids.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least")))
     out = ids.join(least, "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -400,10 +440,11 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text_co
     while any(c.startswith(near) for c in docs.columns):
         near = "_" + near
     key, doc = text_key(F.col(text_col)), F.col("doc_id").cast("long")
-    slim = docs.select(doc.alias("doc_id"), key.alias("key")).join(sizes, "key").join(found, F.col("key") == F.col("node"), "left")
-    slim = scratch.table("rows", slim.filter("n_shingles > 0").groupBy("doc_id", "key", F.coalesce("component", "key").alias("component")).agg(F.count("*").alias("c")))
+    slim = docs.select(doc.alias("doc_id"), key.alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("c"))
+    slim = slim.join(sizes.filter("n_shingles > 0"), "key").join(found, F.col("key") == F.col("node"), "left")
+    slim = scratch.table("rows", slim.select("doc_id", "key", F.coalesce("component", "key").alias("component"), "c"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    chosen = slim.groupBy("component").agg(first, F.sum("c").alias("rows")).filter("rows > 1")
+    chosen = scratch.table("chosen", slim.groupBy("component").agg(first, F.sum("c").alias("rows")).filter("rows > 1"))
     judged = slim.join(chosen, "component").select("c", F.col("doc_id").alias(f"{near}_id"), F.col("key").alias(f"{near}_key"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).alias("stays"))
     judged = scratch.table("judged", judged)
 
