@@ -14,19 +14,19 @@ def _written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, folder: str) -> DataFrame:
     """Connected components of edges (a, b): (node, component), the component being its least node.
 
-    Alternates large-star and small-star steps, which need a number of rounds
-    logarithmic in the longest chain.  Each round is written to ``folder``, a
-    directory that all executors share, so lineage stays short.  Self-loops
-    and repeated edges do no harm; nulls are dropped.  Nodes without an edge
-    are not in the result.
+    Alternates large-star and small-star steps until every node points at a
+    root, which takes a number of rounds logarithmic in the longest chain.
+    Each round is written to ``folder``, a directory that all executors share,
+    so lineage stays short.  Self-loops and repeated edges do no harm; nulls
+    are dropped.  Nodes without an edge are not in the result.
     """
     pair = F.struct(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).alias("e")
     e = _written(edges.dropna(subset=["a", "b"]).filter("a != b").select(pair).select("e.u", "e.v").distinct(), folder)
-    state = None
-    for _ in range(rounds):
+    # stars: each node has one root, which is no other's node
+    while not e.groupBy("u").agg(F.count("*").alias("c")).filter("c > 1").isEmpty() or not e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
         # large star: every greater neighbour of a node is linked to the least of the node's neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -35,10 +35,6 @@ def components(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = _written(small.distinct(), folder)
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == now:
-            break
-        state = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
