@@ -111,28 +111,67 @@ def scan(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], sc
     return df.mapInArrow(run, schema)
 
 
+def dealt(at: np.ndarray, log: int, values: np.ndarray) -> pa.RecordBatch:
+    """Values by bucket, a power of two of them: (bucket int, raw binary), ``at`` being the bucket of each."""
+    order = np.argsort(at, kind="stable")
+    parts = np.split(values[order], np.searchsorted(at[order], np.arange(1, 1 << log)))
+    some = [i for i, p in enumerate(parts) if len(p)]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["bucket", "raw"])
+
+
+def gathered(parts: DataFrame, column: str, log: int, bits: int) -> np.ndarray:
+    """A bitmap from its slices, the value of ``column`` by bucket: 2**log rows at most."""
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    size = len(out) >> log
+    for row in parts.select("bucket", column).toLocalIterator():
+        out[row[0] * size : (row[0] + 1) * size] = np.frombuffer(row[1], dtype=np.uint8)
+    return out
+
+
+def flags(at: np.ndarray, width: int) -> bytes:
+    """A slice of ``width`` bits of a bitmap with those at the given places set."""
+    out = np.zeros(width, dtype=np.uint8)
+    out[at.astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+#: Keys that a task holds before it hands them on.
+HELD = 1 << 18
+
+
 def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits bits with a bit for each value of the long column ``key``.
+    """A bitmap of 2**bits bits with a bit for each value of ``key``, a long or many of them as binary.
 
     Its size is fixed whatever the number of keys, so it may be sent to every
     executor.  A bit can stand for several keys; users must treat it as a
-    filter that lets some other keys through.  Each block of the map is built
-    by one task from at most 2**19 distinct positions.
+    filter that lets some other keys through.  Tasks hand on each place once
+    for HELD keys, as 32-bit offsets in a slice; one task fills a slice.
     """
-    block_bits = min(19, bits)
-    at = F.expr(f"key & {(1 << bits) - 1}L")
-    cells = keys.select(at.alias("at")).distinct().select(F.shiftright("at", block_bits).alias("block"), F.expr(f"int(at & {(1 << block_bits) - 1})").alias("at"))
+    log = max(0, bits - 19)
+    width, mask = 1 << (bits - log), np.uint64((1 << bits) - 1)
 
-    def fill(table: pa.Table) -> pa.Table:
-        flags = np.zeros(1 << block_bits, dtype=np.uint8)
-        flags[table.column("at").to_numpy()] = 1
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "map": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    size = 1 << (block_bits - 3)
-    for row in cells.groupBy("block").applyInArrow(fill, "block long, map binary").collect():  # at most 2**(bits - block_bits) rows
-        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["map"], dtype=np.uint8)
-    return out
+        def flush() -> pa.RecordBatch:
+            at = np.unique(np.concatenate(held) & mask)
+            held.clear()
+            return dealt(at >> np.uint64(bits - log), log, (at & np.uint64(width - 1)).astype("<u4"))
+
+        for batch in batches:
+            c = batch.column(0)
+            held.append(np.frombuffer(b"".join(c.to_pylist()), "<u8") if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False).view(np.uint64))
+            if sum(map(len, held)) >= HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    def fill(t: pa.Table) -> pa.Table:
+        raw = flags(np.frombuffer(b"".join(t.column("raw").to_pylist()), "<u4"), width)
+        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()], pa.int32()), "raw": pa.array([raw], pa.binary())})
+
+    slices = keys.select("key").mapInArrow(parts, "bucket int, raw binary").groupBy("bucket").applyInArrow(fill, "bucket int, raw binary")
+    return gathered(slices, "raw", log, bits)
 
 
 def in_bitmap(keys: np.ndarray, table: np.ndarray) -> np.ndarray:

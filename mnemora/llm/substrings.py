@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, bitmap, distinct_scan, hold, in_bitmap, scan, text_key, tune
+from mnemora.llm.common import Scratch, bitmap, dealt, distinct_scan, flags, gathered, hold, in_bitmap, scan, text_key, tune
 from mnemora.llm.langid import mix
 
 WINDOW = 400
@@ -43,6 +43,8 @@ WINDOW = 400
 CHUNK = 1 << 18
 #: Bits of the bitmap of touched texts, and bits a key, least and most logarithm of the bitmaps of names; they filter, so fuller ones cost time and change no result.
 BITS, BITS_A_KEY, LEAST_BITS, MOST_BITS = 26, 8, 16, 28
+#: Names that a task counts together.
+TASK_NAMES = 1 << 19
 #: Bytes of a word's code, and words whose codes a process keeps.
 CODE, CACHE_WORDS = 8, 40_000
 
@@ -213,50 +215,113 @@ def _runs(number: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.n
     return number[cut], first[cut], last[np.r_[cut[1:], len(last)] - 1]
 
 
-def _name(core: bytes, left: bytes, right: bytes, mark: int) -> int:
-    return xxhash.xxh3_64_intdigest(b"%b%d,%d,%d;%b%b" % (core, mark, len(left), len(right), left, right))
+def _within(total: np.ndarray, core: np.ndarray, start: np.ndarray, before: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Names of substrings around a core whose name stands for its symbols: ``length`` others, ``before`` of them before it."""
+    return mix(names(total, start, length) ^ mix(core + before.astype(np.uint64) * _STEP + np.uint64(1)))
+
+
+@dataclass
+class Units:
+    """Units of a level: window starts [first, last] whose trigger t is a or more after them, and the symbols around the core."""
+
+    row: np.ndarray  # where the unit comes from
+    t: np.ndarray
+    a: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    core: np.ndarray
+    hull: np.ndarray
+    data: np.ndarray
+    left: np.ndarray  # places in data: of the hull's begin, the core's begin and end without it, and the hull's end
+    begin: np.ndarray
+    end: np.ndarray
+    right: np.ndarray
+
+    def sides(self, rows: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """The symbols that hulls have before and after their cores."""
+        raw, s = self.data.tobytes(), self.data.itemsize
+        cut = lambda x, y: [raw[i:j] for i, j in zip((x[rows] * s).tolist(), (y[rows] * s).tolist(), strict=True)]
+        return cut(self.left, self.begin), cut(self.end, self.right)
+
+
+def smaller(batch: pa.RecordBatch, p: Parse, level: int) -> Units:
+    """Units of one level, as rows, in the ranges of the next one."""
+    t, a, first, last, core = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "a", "first", "last", "core"))
+    sides = [batch.column(c).to_pylist() for c in ("left", "right")]
+    data = np.frombuffer(b"".join(x for pair in zip(*sides, strict=True) for x in pair), np.uint64 if p.words else np.uint8)
+    n = np.array([[len(x) for x in side] for side in sides]) // data.itemsize
+    middle = np.cumsum(n.sum(axis=0)) - n[1]
+    g, cap = p.ranges[level], np.minimum(a + p.ranges[level - 1] - 1, p.reach)
+    low = (t - last) // g
+    rows, k = _spread(low, (t - first) // g - low + 1)
+    low = k * g
+    t, a, cap, middle = t[rows], a[rows], cap[rows], middle[rows]
+    near, far = np.maximum(low, t - last[rows]), np.minimum(low + g - 1, t - first[rows])
+    left, begin = middle - (far - a), middle - (low - a)
+    end, right = middle + cap - np.minimum(low + g - 1, p.reach), middle + cap - near
+    total = sums(data)
+    own = core.view(np.uint64)[rows]
+    hull = _within(total, own, left, far - a, right - left)
+    new = _within(total, own, begin, low - a, end - begin) if g > 1 else hull
+    return Units(rows, t, low, t - far, t - near, new, hull, data, left, begin, end, right)
 
 
-def smaller(unit: tuple, p: Parse, level: int) -> Iterator[tuple[int, int, tuple]]:
-    """A unit (key, t, a, first, last, core, left, right) of one level in the next one's ranges: (core's name, hull's name, unit).
+#: Kinds of rows: a run of repeated windows, a unit to be cut smaller, and one that stands for settled units in the counts.
+RUN, OPEN, SETTLED = 0, 1, 2
+_UNIT = "kind int, key binary, t long, a long, first long, last long, core long, left binary, right binary, name long"
+_KINDS = dict(zip([f.split()[0] for f in _UNIT.split(", ")], [pa.int32(), pa.binary(), *[pa.int64()] * 5, pa.binary(), pa.binary(), pa.int64()], strict=True))
 
-    ``left`` and ``right`` are the symbols that the hull has before and after
-    the core.
-    """
-    key, t, a, first, last, core, left, right = unit
-    s = CODE if p.words else 1
-    g, cap = p.ranges[level], min(a + p.ranges[level - 1] - 1, p.reach)
-    for low in range((t - last) // g * g, t - first + 1, g):
-        d0, d1, own_cap = max(low, t - last), min(low + g - 1, t - first), min(low + g - 1, p.reach)
-        x = max(low, a)
-        before, after = left[len(left) - (x - a) * s :], right[: (cap - own_cap) * s]
-        hull = _name(core, left[len(left) - (d1 - a) * s :], right[: (cap - d0) * s], 1)
-        new = _name(core, before, after, 0) if g > 1 else hull
-        yield new, hull, (key, t, x, t - d1, t - d0, new.to_bytes(8, "little") + core[:8], left[len(left) - (d1 - a) * s : len(left) - (x - a) * s], right[(cap - own_cap) * s : (cap - d0) * s])
 
+def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
+    """Rows of one kind; columns not given are null."""
+    given = {"kind": np.full(n, kind, np.int32)} | columns
+    arrays = [x if isinstance(x := given.get(c), pa.Array) else pa.nulls(n, k) if x is None else pa.array(x.view(np.int64) if isinstance(x, np.ndarray) and x.dtype == np.uint64 else x, k) for c, k in _KINDS.items()]
+    return pa.RecordBatch.from_arrays(arrays, list(_KINDS))
 
-#: Kinds of rows: a run of repeated windows, a unit to be cut smaller, and one that stands for settled units in the counts.
-RUN, OPEN, SETTLED = 0, 1, 2
-_UNIT = "kind int, key binary, t long, a long, first long, last long, core binary, left binary, right binary, name long"
-_KINDS = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+
+def _judged(u: Units, keys: pa.Array, real: np.ndarray, settled: np.ndarray, dead: np.ndarray, needed: np.ndarray, move: np.ndarray | int) -> pa.RecordBatch:
+    """A level's rows: runs of settled units, open ones, and one settled unit of a name where its core is needed; ``real`` ones have keys."""
+    run = np.flatnonzero(settled & real)
+    which, lo, hi = _runs(u.row[run], (u.first + move)[run], (u.last + move)[run])
+    open_ = np.flatnonzero(~settled & real & ~dead)
+    stands = np.flatnonzero(needed & (settled | ~real))
+    stands = stands[np.unique(u.hull[stands], return_index=True)[1]]
+    out = [_rows(RUN, len(which), key=keys.take(pa.array(which)), first=lo, last=hi)]
+    for kind, at in ((OPEN, open_), (SETTLED, stands)):
+        left, right = u.sides(at)
+        key = {"key": keys.take(pa.array(u.row[at]))} if kind == OPEN else {}
+        out.append(_rows(kind, len(at), t=(u.t + move)[at], a=u.a[at], first=(u.first + move)[at], last=(u.last + move)[at], core=u.core[at], left=pa.array(left, pa.binary()), right=pa.array(right, pa.binary()), name=u.hull[at], **key))
+    return pa.concat_batches(out)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _KINDS, strict=True)], [f.split()[0] for f in _UNIT.split(", ")])
+def _size(n: int) -> tuple[int, int]:
+    """Logarithms of a bitmap's bits and of the tasks that count, for about n names."""
+    bits = int(np.clip(np.ceil(np.log2(BITS_A_KEY * (n + 1))), LEAST_BITS, MOST_BITS))
+    return bits, int(np.clip(np.ceil(np.log2((n + 1) / TASK_NAMES)), 3, min(12, bits - 3)))
 
 
-def _sent(scratch: Scratch, keys: DataFrame):
-    """A broadcast bitmap of the table's keys ``h``, fitted to their number up to a fixed size."""
-    bits = int(np.clip(np.ceil(np.log2(BITS_A_KEY * (keys.count() + 1))), LEAST_BITS, MOST_BITS))
-    return scratch.send(bitmap(keys.select(F.col("h").alias("key")), bits))
+def _named(h: np.ndarray, size: tuple[int, int], *more: np.ndarray) -> pa.RecordBatch:
+    """Names, and what goes with them, by bucket; a name that is there more often comes twice."""
+    bits, log = size
+    value, at, count = np.unique(h, return_index=True, return_counts=True)
+    at = np.concatenate([at, at[count > 1]])
+    return dealt((h[at] & np.uint64((1 << bits) - 1)) >> np.uint64(bits - log), log, np.stack([x[at] for x in (h, *more)], axis=1))
 
 
-def _counted(scratch: Scratch, table: str, names: DataFrame):
-    """Hulls' names counted (h, core, n), and bitmaps of the single ones and of the cores that these have."""
-    counts = scratch.table(table, names.groupBy("h", "core").agg(F.sum("n").alias("n")))
-    alone = counts.filter("n = 1")
-    return counts, _sent(scratch, alone.select("h")), _sent(scratch, alone.select(F.col("core").alias("h")))
+def _counted(named: DataFrame, size: tuple[int, int], width: int) -> DataFrame:
+    """Names counted by bucket: slices of bitmaps of those there once and more often, and what goes with single ones."""
+    bits, log = size
+
+    def count(t: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(t.column("raw").to_pylist()), "<u8").reshape(-1, width)
+        x = x[np.argsort(x[:, 0], kind="stable")]
+        first = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]])
+        single = np.diff(np.r_[first, len(x)]) == 1
+        at = x[first, 0] & np.uint64((1 << (bits - log)) - 1)
+        out = [flags(at[single], 1 << (bits - log)), flags(at[~single], 1 << (bits - log)), x[first[single], -1].tobytes()]
+        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()], pa.int32())} | {c: pa.array([v], pa.binary()) for c, v in zip(("once", "again", "key"), out, strict=True)})
+
+    return named.groupBy("bucket").applyInArrow(count, "bucket int, once binary, again binary, key binary")
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW, by_words: bool = False, parse: Parse | None = None) -> DataFrame:
@@ -271,92 +336,88 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     p = parse or parse_of(window, by_words)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")) if by_words else F.octet_length(text)
-    copies = scratch.table("copies", docs.select(text_key(F.col(text_col)).alias("key"), size.alias("size")).groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter("n > 1"))
-    several = _sent(scratch, copies.select(F.xxhash64("key").alias("h")))
-
-    def cut(batch: pa.RecordBatch):
+    sizes = docs.select(text_key(F.col(text_col)).alias("key"), size.alias("size")).groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    sizes = scratch.table("sizes", sizes)
+    copies = sizes.filter("n > 1")
+    symbols_in, texts = sizes.agg(F.sum("size"), F.count("*")).first()
+    several = scratch.send(bitmap(copies.select(F.xxhash64("key").alias("key")), _size(texts)[0]))
+    # a range ends with each trigger, and a range's length after the last end
+    about = _size(2 * (symbols_in or 0) // p.ranges[0] + texts)
+    named = "bucket int, raw binary"
+
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple[Units, np.ndarray]]:
         for data, number, offset, edges in stretches([symbols(t, by_words) for t in batch.column(1).to_pylist()], window):
-            yield data, number, offset, edges, *units(data, edges, p)
+            t, first, last, a, core, hull = units(data, edges, p)
+            which = np.searchsorted(edges, first, side="right") - 1
+            yield Units(number[which], t, a, first, last, core, hull, data, first, t - a, t + window - np.minimum(a + p.ranges[0] - 1, p.reach), last + window), (offset - edges[:-1])[which]
 
     def cores(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [core for *_, core, _ in cut(batch)]
-        if not found:
-            return None
-        value, count = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (value, count)], ["h", "n"])
+        found = [u.core for u, _ in cut(batch)]
+        return _named(np.concatenate(found), about) if found else None
 
-    shared = _sent(scratch, scratch.table("cores", distinct_scan(docs, text_col, several, cores, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")))
+    counts = scratch.table("cores", _counted(distinct_scan(docs, text_col, several, cores, named), about, 1))
+    shared = scratch.send(gathered(counts, "again", about[1], about[0]))
 
     def hulls(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [(hull[some], core[some]) for *_, core, hull in cut(batch) if (some := in_bitmap(core, shared.value)).any()]
+        found = [(u.hull[some], u.core[some]) for u, _ in cut(batch) if (some := in_bitmap(u.core, shared.value)).any()]
         if not found:
             return None
         hull, core = (np.concatenate(x) for x in zip(*found, strict=True))
-        value, at, count = np.unique(hull, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (value, core[at], count)], ["h", "core", "n"])
+        return _named(hull, about, core)
+
+    def marks(table: str, named_rows: DataFrame, size: tuple[int, int]):
+        """Bitmaps of the hulls there once, of those there again, and of the single ones' cores."""
+        counts = scratch.table(table, _counted(named_rows, size, 2))
+        once, again = (gathered(counts, c, size[1], size[0]) for c in ("once", "again"))
+        return scratch.send(once), scratch.send(again), scratch.send(bitmap(counts, size[0]))
 
-    counts, single, mixed = _counted(scratch, "hulls", distinct_scan(docs, text_col, several, hulls, "h long, core long, n long"))
+    once, again, needed = marks("hulls", distinct_scan(docs, text_col, several, hulls, named), about)
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys = batch.column(0).to_pylist()
-        out: list[tuple] = []
-        seen: set[int] = set()
-        for data, number, offset, edges, t, first, last, a, core, hull in cut(batch):
-            some = np.flatnonzero(in_bitmap(core, shared.value))
-            t, first, last, a, core, hull = (x[some] for x in (t, first, last, a, core, hull))
-            which = np.searchsorted(edges, first, side="right") - 1
-            move = offset - edges[:-1]
-            again = ~in_bitmap(hull, single.value)
-            w, lo, hi = _runs(which[again], first[again], last[again])
-            for n, x, y in zip(number[w].tolist(), (lo + move[w]).tolist(), (hi + move[w]).tolist(), strict=True):
-                out.append((RUN, keys[n], None, None, x, y, None, None, None, None))
-            raw, s = data.tobytes(), data.itemsize
-            begin, end, m = (t - a) * s, (t + window - np.minimum(a + p.ranges[0] - 1, p.reach)) * s, move[which]
-            for i in np.flatnonzero(~again | in_bitmap(core, mixed.value)).tolist():
-                name = int(hull[i])
-                if again[i] and name in seen:
-                    continue
-                seen.add(name)
-                sides = raw[first[i] * s : begin[i]], raw[end[i] : (last[i] + window) * s]
-                out.append((SETTLED if again[i] else OPEN, None if again[i] else keys[number[which[i]]], int(t[i] + m[i]), int(a[i]), int(first[i] + m[i]), int(last[i] + m[i]), int(core[i]).to_bytes(8, "little"), *sides, int(hull[i : i + 1].view(np.int64)[0])))
-        return _batch(out) if out else None
-
-    def parts(batch: pa.RecordBatch, level: int) -> Iterator[tuple[int, int, tuple]]:
-        for unit in zip(*(batch.column(c).to_pylist() for c in range(1, 9)), strict=True):
-            yield from smaller(unit, p, level)
+        out = []
+        for u, move in cut(batch):
+            some = np.flatnonzero(in_bitmap(u.core, shared.value))
+            u = Units(*(getattr(u, f.name) if f.name == "data" else getattr(u, f.name)[some] for f in fields(Units)))
+            settled, real = ~in_bitmap(u.hull, once.value), np.ones(len(some), bool)
+            out.append(_judged(u, batch.column(0), real, settled, ~real, in_bitmap(u.core, needed.value), move[some]))
+        return pa.concat_batches(out) if out else None
 
     done = [scratch.table("settled0", distinct_scan(docs, text_col, several, settle, _UNIT))]
+    scratch.drop("cores", "hulls")
     for level in range(1, len(p.ranges)):
         unit = [c for c in done[-1].columns if c != "name"]
         stand = done[-1].filter(F.col("kind") == SETTLED).groupBy("name").agg(F.first(F.struct(*unit)).alias("u")).select("u.*")
         rest = scratch.table(f"open{level}", done[-1].filter(F.col("kind") == OPEN).select(unit).unionByName(stand))
-
-        def named(batch: pa.RecordBatch, level: int = level) -> pa.RecordBatch:
-            rows = [(hull, core, 1 if u[0] is not None else 2) for core, hull, u in parts(batch, level)]
-            hull, core, n = (np.array(x, np.uint64).view(np.int64) for x in zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (hull, core, n)], ["h", "core", "n"])
-
-        counts, single, mixed = _counted(scratch, f"names{level}", scan(rest, named, "h long, core long, n long"))
-        shared = _sent(scratch, counts.groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("core").alias("h")))
-
-        def again(batch: pa.RecordBatch, level: int = level, single=single, mixed=mixed, shared=shared) -> pa.RecordBatch | None:
-            found = list(parts(batch, level))
-            core, hull = (np.array([x[i] for x in found], np.uint64) for i in (0, 1))
-            whole, live, needed = ~in_bitmap(hull, single.value), in_bitmap(core, shared.value), in_bitmap(core, mixed.value)
-            out: list[tuple] = []
-            for (_, _, u), h, w, k, n in zip(found, hull.view(np.int64).tolist(), whole.tolist(), live.tolist(), needed.tolist(), strict=True):
-                if w and u[0] is not None:
-                    out.append((RUN, u[0], None, None, u[3], u[4], None, None, None, None))
-                if u[0] is not None and not w and k:
-                    out.append((OPEN, *u, h))
-                elif (n or not w) and (w or u[0] is None) and p.ranges[level] > 1:
-                    out.append((SETTLED, None, *u[1:], h))
-            return _batch(out) if out else None
-
-        done.append(scratch.table(f"settled{level}", scan(rest, again, _UNIT)))
-    # single windows that bitmaps cannot tell apart are judged by the counts themselves
-    twice = done[-1].filter(F.col("kind") == OPEN).join(counts.filter("n > 1").select(F.col("h").alias("name")), "name", "left_semi")
-    runs = [d.filter(F.col("kind") == RUN) for d in done] + [twice]
+        size = _size(rest.count() * min(8, p.ranges[level - 1] // p.ranges[level]))
+        last = p.ranges[level] == 1
+
+        def hulls_of(batch: pa.RecordBatch, level: int = level, size=size) -> pa.RecordBatch:
+            u = smaller(batch, p, level)
+            twice = np.r_[np.arange(len(u.row)), np.flatnonzero((batch.column(0).to_numpy() == SETTLED)[u.row])]
+            return _named(u.hull[twice], size, u.core[twice])
+
+        def cores_of(batch: pa.RecordBatch, level: int = level, size=size) -> pa.RecordBatch:
+            u = smaller(batch, p, level)
+            return _named(u.core[np.r_[np.arange(len(u.row)), np.flatnonzero((batch.column(0).to_numpy() == SETTLED)[u.row])]], size)
+
+        once, again, needed = marks(f"hulls{level}", scan(rest, hulls_of, named), size)
+        if not last:
+            counts = scratch.table(f"cores{level}", _counted(scan(rest, cores_of, named), size, 1))
+            again = scratch.send(gathered(counts, "again", size[1], size[0]))
+
+        def judge(batch: pa.RecordBatch, level: int = level, last: bool = last, once=once, again=again, needed=needed) -> pa.RecordBatch:
+            u = smaller(batch, p, level)
+            settled, dead = ~in_bitmap(u.hull, once.value), ~in_bitmap(u.core, again.value)
+            # a unit that only a bitmap's chance hit leaves open needs its settled twin as well
+            wanted = ~settled & ~dead if last else in_bitmap(u.core, needed.value) | ~settled
+            return _judged(u, batch.column(1), (batch.column(0).to_numpy() == OPEN)[u.row], settled, dead, wanted, 0)
+
+        done.append(scratch.table(f"settled{level}", scan(rest, judge, _UNIT)))
+        scratch.drop(f"open{level}", f"hulls{level}", f"cores{level}")
+    # single windows that bitmaps cannot tell apart are counted by themselves
+    unclear = done[-1].filter(F.col("kind") != RUN)
+    twice = unclear.groupBy("name").agg(F.sum(F.col("kind")).alias("n")).filter("n > 1").select("name")
+    runs = [d.filter(F.col("kind") == RUN) for d in done] + [unclear.filter(F.col("kind") == OPEN).join(scratch.table("twice", twice), "name", "left_semi")]
     whole = copies.filter(F.col("size") >= window).select("key", F.lit(0).cast("long").alias("lo"), (F.col("size") - window).cast("long").alias("hi"))
     for r in runs:
         whole = whole.unionByName(r.select("key", F.col("first").alias("lo"), F.col("last").alias("hi")))
