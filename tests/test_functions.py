@@ -1,4 +1,5 @@
 import math
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,16 +32,31 @@ def test_decay_and_boosts(spark):
     assert [S.oversample(k) for k in (1, 3, 4, 5, 6, 7, 20, 100)] == [8, 8, 8, 10, 12, 12, 12, 12]
 
 
-@pytest.mark.parametrize(
-    ("typed", "want"),
-    [("dduowcj", "được"), ("thuaanj", "thuận"), ("giaiar", "giải"), ("Dduwowcj", "Dduwowcj"), ("the", "the"), ("book", "book"), ("API", "API"), ("ddos", "ddos"), ("uwsgi", "uwsgi"), ("Kuwait", "Kuwait"), ("v2", "v2"), ("knows", "knows"), ("(khongr),", "(không),"), ("đã", "đã"), ("http://a.b/ddi", "http://a.b/ddi")],
-)
+TELEX = {
+    "giaiar": "giải", "dduowcj": "được", "keiuer": "kiểu", "khongr": "không", "nhieuf": "nhiều", "lamf": "làm", "roif": "rồi", "viecj": "việc", "khocs": "khóc", "buoonf": "buồn", "gianr": "giận",
+    "ddij": "đị", "uwf": "ừ", "thuaanj": "thuận", "dduocj": "được", "(giaiar)": "(giải)", '"dduowcj"': '"được"', "dduowcj.": "được.", "giaiar!": "giải!", "khongr?": "không?", "Giaiar": "Giải",
+    "Dduowcj": "Được", "Khongr": "Không", "(khongr),": "(không),", "uwowcs": "ước", "ngheej": "nghệ", "quyeenx": "quyễn", "giuwx": "giữ", "ddoas": "đóa", "ddoanf": "đoàn", "ddeeu": "đêu", "dduar": "đủa",
+}
+SAME = [
+    "fox", "box", "tower", "floor", "school", "knows", "shows", "moons", "six", "raj", "awesome", "street", "flow", "grow", "python", "docker", "react", "hello", "world", "the", "is", "book",
+    "API", "URL", "JSON", "được", "không", "đã", "123", "test123", "https://example.com", "http://a.b/ddi", "ddos", "DDoS", "uwsgi", "uWSGI", "Kuwait", "thruway", "v2", "DDUOWCJ", "...", "quowf", "a",
+]
+
+
+@pytest.mark.parametrize(("typed", "want"), [*TELEX.items(), *((w, w) for w in SAME)])
 def test_telex(typed, want):
-    if typed == "Dduwowcj":
-        pytest.skip("not a documented pair")
     assert telex.repair_word(typed) == want
 
 
+def test_telex_table():
+    """Every entry is one onset, nucleus and coda with its tone, typed as the keyboard has it."""
+    table = telex.forms()
+    assert len(table) > 15_000
+    for typed, meant in table.items():
+        bare = "".join(c for c in unicodedata.normalize("NFD", meant) if c not in set(telex.TONES.values()))
+        assert typed.isascii() and typed.isalpha() and unicodedata.is_normalized("NFC", meant) and len(unicodedata.normalize("NFC", bare)) == len(meant)
+
+
 def test_telex_texts(spark):
     assert telex.repair("  a   dduowcj\nb ") == "a được b"
     assert telex.repair("") == "" and telex.repair(None) is None

@@ -124,16 +124,17 @@ def test_judge_and_gates(spark):
 
 
 def test_extraction(spark):
-    own, other = "a" * 12, "b" * 12
-    known = {own, other}
-    assert extract.marker(f"[SUPERSEDED by {other}] text", own, known) == ("p1a", "passive", other, own, "high")
-    assert extract.marker(f"this supersedes {other}", own, known) == ("p1a", "active", own, other, "high")
-    assert extract.marker("CORRECTION to the plan", own, known) == ("p1b", "active", None, None, "review")
-    assert extract.marker("RETIRED idea", own, known) == ("p1b", "passive", None, own, "pending")
-    assert extract.marker("nothing", own, known) is None
-    assert extract.marker("[SUPERSEDED by " + "c" * 12 + "]", own, known)[0] == "p1b"
     text = "First part. We decided to use B. Then more."
-    assert extract.signal(text, "technical")[:2] == ("decision", "We decided to use B.")
+    far = "y" * 400 + " and so the bug fix " + "w " * 300
+    rows = [(1, text), (2, None), (3, "nothing"), (4, "  indented TODO: write\nmore"), (5, far), (6, "Root cause: a leak! Done")]
+    got = {r["line"]: r for g in ("technical", "action") for r in extract.signals(spark.createDataFrame(rows, "line int, text string"), g).collect()}
+    assert {k: (r["kind"], r["context"], r["keyword"]) for k, r in got.items() if k != 5} == {1: ("decision", "We decided to use B.", "decided"), 4: ("action", "indented TODO: write", "TODO:"), 6: ("technical", "Root cause: a leak!", "Root cause:")}
+    assert got[1]["match_text"] == text
+    assert got[5]["context"].startswith("…yyy") and got[5]["context"].endswith("…") and len(got[5]["context"]) <= 201 and " and so the bug fix w" in got[5]["match_text"]
+    cut = spark.createDataFrame([("one two three four,  five",), ("unbroken" * 4,), ("short ",), (None,)], "t string")
+    assert [r["x"] for r in cut.select(extract.shortened(F.col("t"), 20).alias("x")).collect()] == ["one two three four…", "unbrokenunbrokenunbr…", "short", None]
+    begin = spark.createDataFrame([("One line.  Two\nlines",), ("v1.2 is out! Yes.",), ("no end of it here at all",), ("",)], "t string")
+    assert [r["x"] for r in begin.select(extract.opening(F.col("t"), 12).alias("x")).collect()] == ["One line.", "v1.2 is out!", "no end of…", ""]
     c = spark.createDataFrame([("s", 5, "we decided on kafka brokers"), ("s", 50, "zookeeper removal plan")], "session string, line int, match_text string")
     saves = spark.createDataFrame([("s", 60, "zookeeper")], "session string, line int, content string")
     assert [r["line"] for r in extract.unsaved(c, saves).collect()] == [5]
@@ -146,6 +147,32 @@ def test_extraction(spark):
     assert extract.snapshot(parts, limit=40).first()["snapshot"] == "## One\n- a\n- b"
 
 
+def test_markers(spark):
+    """Who replaces whom: by phrase, place and the ids that exist."""
+    own, a, b, c = "c" * 12, "a" * 12, "b" * 12, "dead00000001"
+    cases = [
+        (f"[SUPERSEDED 2026-05-29 — see migration memory {a}] old stuff", ("p1a", "passive", a, own, "high")),
+        (f"DECISION (2026-06-12, supersedes {b}): now we bundle", ("p1a", "active", own, b, "high")),
+        (f"CORRECTION to {b}: the real weights are different", ("p1a", "active", own, b, "high")),
+        (f"[SUPERSEDED — see {a} and also {b} for context]", ("p1a", "passive", None, own, "review")),
+        ("[SUPERSEDED 2026-05-30 — current: 0 gold] model", ("p1b", "passive", None, own, "pending")),
+        ("[SUPERSEDED — see deadbeef1234] gone", ("p1b", "passive", None, own, "pending")),
+        (f"just a normal decision about {a}", None),
+        (None, None),
+        ("CORRECTION to the plan", ("p1b", "active", None, None, "review")),
+        ("RETIRED idea", ("p1b", "passive", None, own, "pending")),
+        (f"RETIRED idea, replaced by {b}, not {a}", ("p1a", "passive", b, own, "high")),
+        (f"RETIRED idea of {b}", ("p1a", "passive", None, own, "review")),
+        (f"now corrected; see {own} and {a}", ("p1a", "passive", None, own, "review")),
+        (f"it reverses a lot. It supersedes {own}, then {c}, {b}", ("p1a", "active", own, c, "high")),
+        ("OBSOLETE, RETIRED. " + "x" * 200 + f" replaced by {a}", ("p1a", "passive", a, own, "high")),
+    ]
+    for text, want in cases:
+        m = spark.createDataFrame([(own, text), *((i, "plain") for i in (a, b, c))], "id string, content string")
+        got = [tuple(r)[1:] for r in extract.markers(m).collect()]
+        assert got == ([want] if want else []), text
+
+
 def test_registry_and_status(spark):
     p = spark.createDataFrame([("a", "/a", "primary"), ("b", "/b", "primary")], "name string, path string, status string")
     f = spark.createDataFrame([("/a",), ("/c",)], "path string")
