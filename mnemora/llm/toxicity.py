@@ -21,8 +21,6 @@ from mnemora.llm.decontam import words
 
 #: Labelled rows that a classifier is fitted on, by lowest hash of the id.
 SAMPLE = 20_000
-#: Features that a classifier may have.
-FEATURES = 4096
 THRESHOLD = 0.7
 #: Weight of the counterfactual penalty, and of the squared weights.
 SWAP, RIDGE = 1.0, 0.02
@@ -32,13 +30,28 @@ STEMS = (4, 5, 6, 7)
 EVIDENCE = 10.0
 CACHE_WORDS = 200_000
 
-# Identity terms, fixed values: groups whose terms are exchanged for one another.
+# Identity terms, fixed values: groups whose terms are exchanged for one another, in English, German, Spanish and French.
 IDENTITY = {
-    "religion": ["atheist", "buddhist", "catholic", "christian", "hindu", "jewish", "muslim", "protestant", "sikh"],
-    "origin": ["african", "american", "arab", "asian", "black", "european", "immigrant", "indian", "latino", "white"],
-    "gender": ["female", "male", "man", "men", "transgender", "woman", "women"],
-    "orientation": ["bisexual", "gay", "heterosexual", "homosexual", "lesbian", "straight"],
-    "ability": ["blind", "deaf", "disabled", "elderly", "young"],
+    "religion en": ["atheist", "buddhist", "catholic", "christian", "hindu", "jewish", "muslim", "protestant", "sikh"],
+    "religion de": ["atheisten", "buddhisten", "christen", "hindus", "juden", "katholiken", "muslime", "protestanten"],
+    "religion es": ["ateos", "budistas", "católicos", "cristianos", "hindúes", "judíos", "musulmanes", "protestantes"],
+    "religion fr": ["athées", "bouddhistes", "catholiques", "chrétiens", "hindous", "juifs", "musulmans", "protestants"],
+    "origin en": ["african", "american", "arab", "asian", "black", "european", "immigrant", "indian", "latino", "white"],
+    "origin de": ["afrikaner", "amerikaner", "araber", "asiaten", "einwanderer", "europäer", "türken"],
+    "origin es": ["africanos", "americanos", "árabes", "asiáticos", "europeos", "gitanos", "inmigrantes"],
+    "origin fr": ["africains", "américains", "arabes", "asiatiques", "européens", "immigrés", "roms"],
+    "gender en": ["female", "male", "man", "men", "transgender", "woman", "women"],
+    "gender de": ["frau", "frauen", "mann", "männer", "transgender"],
+    "gender es": ["hombre", "hombres", "mujer", "mujeres", "transgénero"],
+    "gender fr": ["femme", "femmes", "homme", "hommes", "transgenre"],
+    "orientation en": ["bisexual", "gay", "heterosexual", "homosexual", "lesbian", "straight"],
+    "orientation de": ["bisexuelle", "heterosexuelle", "lesben", "schwule"],
+    "orientation es": ["bisexuales", "gais", "heterosexuales", "lesbianas"],
+    "orientation fr": ["bisexuels", "gays", "hétérosexuels", "lesbiennes"],
+    "ability en": ["blind", "deaf", "disabled", "elderly", "young"],
+    "ability de": ["alte", "behinderte", "blinde", "gehörlose", "junge"],
+    "ability es": ["ancianos", "ciegos", "discapacitados", "jóvenes", "sordos"],
+    "ability fr": ["aveugles", "handicapés", "jeunes", "sourds", "vieux"],
 }
 
 
@@ -116,6 +129,16 @@ def fit(x: list[list[int]], y: np.ndarray, swapped: list[tuple[list[int], list[i
     return w, float(b)
 
 
+def counterfactuals(there: set[bytes], groups: list[list[bytes]]) -> list[set[bytes]]:
+    """The words of a text with each identity term in turn exchanged for the next of its group that the text lacks."""
+    out = []
+    for group in groups:
+        for k, t in enumerate(group):
+            if t in there and (others := [o for o in group[k + 1 :] + group[:k] if o not in there]):
+                out.append((there - {t}) | {others[0]})
+    return out
+
+
 def fold(column, n: int):
     """The fold of an id: CRC-32 of its decimal digits, modulo n; null counts as fold 0."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % n, F.lit(0))
@@ -151,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, held_fold: int = 1, folds: int = 3
     both = F.col("toxic") + F.col("clean")
     part = F.col("toxic") / both
     ratio = 2 * (F.col("toxic") * F.log(part / rate) + F.when(part < 1, F.col("clean") * F.log((1 - part) / (1 - rate))).otherwise(0))
-    told = counts.filter((F.col("toxic") > 0) & (part >= 0.5)).withColumn("evidence", ratio).filter(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "f").limit(FEATURES).collect()
+    told = counts.filter((F.col("toxic") > 0) & (part >= 0.5)).withColumn("evidence", ratio).filter(F.col("evidence") >= EVIDENCE).orderBy(F.desc("evidence"), "f").collect()  # bounded by the sample
     terms = [t.encode() for group in identity.values() for t in group]
     names = list(dict.fromkeys([bytes(r["f"]) for r in told] + terms))
     at = {f: k for k, f in enumerate(names)}
@@ -165,22 +188,15 @@ def train(docs: DataFrame, labels: DataFrame, held_fold: int = 1, folds: int = 3
         for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             x.append(sorted(place[f] for f in model.present(text)))
             y.append(toxic)
-            there = set(words(text or ""))
-            swap: list[int] = []
-            for group in groups:
-                for k, t in enumerate(group):
-                    if t in there:
-                        other = (there - {t}) | {group[(k + 1) % len(group)]}
-                        swap = sorted({place[f] for w in other for f in features(w) if f in place})
-            swaps.append(swap)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), pa.array(y, pa.int32()), pa.array(swaps, pa.list_(pa.int32()))], ["x", "y", "swapped"])
-
-    got = scan(rows.orderBy("doc_id"), vector, "x array<int>, y int, swapped array<int>").collect()  # at most ``sample`` rows of few numbers
+            swaps.append([sorted({place[f] for w in other for f in features(w) if f in place}) for other in counterfactuals(set(words(text or "")), groups)])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), pa.array(y, pa.int32()), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], ["x", "y", "swapped"])
+
+    got = scan(rows.orderBy("doc_id"), vector, "x array<int>, y int, swapped array<array<int>>").collect()  # at most ``sample`` rows of few numbers
     scratch.drop()
     y = np.array([1.0 if r["y"] else 0.0 for r in got])
     if not told or not len(y) or y.min() == y.max():
         return Classifier()
-    w, b = fit([r["x"] for r in got], y, [(r["x"], r["swapped"]) for r in got if r["swapped"]], len(names))
+    w, b = fit([r["x"] for r in got], y, [(r["x"], other) for r in got for other in r["swapped"]], len(names))
     return Classifier({f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-6}, b)
 
 
