@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
 Runs of ``min_match`` words that a document shares with a benchmark item seed
-the search (running Karp-Rabin hashes against the items' hashes).  For each
+the search (running Karp-Rabin hashes against the items' hashes); a shorter
+item is its own seed.  For each
 pair with a seed, the longest match of words not yet marked is marked in both
 texts, again and again, until none of ``min_match`` words is left.  The part
 of the item that the tiles cover decides, so passages in another order are
@@ -71,14 +72,13 @@ def tiles(item: list[int], doc: list[int], seeds: list[tuple[int, int]], min_mat
 
 @dataclass
 class Block:
-    """Benchmark items ready for search: word numbers from 1, items, and sorted seed hashes with their places."""
+    """Benchmark items ready for search: word numbers from 1, items, and by length of seed the sorted hashes and their places."""
 
     ids: list[int | None]
     items: list[list[int]]
     vocabulary: dict[bytes, int]
-    seeds: np.ndarray
-    places: dict[int, list[tuple[int, int]]]
-    min_match: int
+    seeds: dict[int, np.ndarray]
+    places: dict[int, dict[int, list[tuple[int, int]]]]
 
 
 def _hashes(codes: np.ndarray, k: int) -> np.ndarray:
@@ -93,35 +93,37 @@ def block(rows: list[tuple[int | None, str | None]], min_match: int) -> Block:
     ids, items, places = [], [], {}
     for key, text in rows:
         codes = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text or "")]
-        if len(codes) < min_match:
+        if not codes:
             continue
-        for at, h in enumerate(_hashes(np.array(codes), min_match).tolist()):
-            places.setdefault(h, []).append((len(items), at))
+        length = min(min_match, len(codes))  # an item of fewer words is matched whole
+        for at, h in enumerate(_hashes(np.array(codes), length).tolist()):
+            places.setdefault(length, {}).setdefault(h, []).append((len(items), at))
         ids.append(key)
         items.append(codes)
-    return Block(ids, items, vocabulary, np.sort(np.array(list(places), dtype=np.uint64)), places, min_match)
+    return Block(ids, items, vocabulary, {n: np.sort(np.array(list(p), dtype=np.uint64)) for n, p in places.items()}, places)
 
 
 def search(b: Block, text: str | None) -> list[tuple[int, int, int, int]]:
     """(item's number, words covered, tiles, longest tile) for every item that shares a seed with a text."""
     get = b.vocabulary.get
     codes = [get(w, 0) for w in words(text or "")]
-    if len(codes) < b.min_match or not len(b.seeds):
-        return []
     array = np.array(codes)
-    h = _hashes(array, b.min_match)
     unknown = np.concatenate(([0], np.cumsum(array == 0)))
-    at = np.flatnonzero(unknown[b.min_match :] == unknown[: -b.min_match])
-    at = at[b.seeds[np.minimum(np.searchsorted(b.seeds, h[at]), len(b.seeds) - 1)] == h[at]]
-    pairs: dict[int, list[tuple[int, int]]] = {}
-    for j in at.tolist():
-        for k, i in b.places[int(h[j])]:
-            if b.items[k][i : i + b.min_match] == codes[j : j + b.min_match]:
-                pairs.setdefault(k, []).append((i, j))
     out = []
-    for k, seeds in pairs.items():
-        if got := tiles(b.items[k], codes, seeds, b.min_match):
-            out.append((k, sum(n for n, _, _ in got), len(got), max(n for n, _, _ in got)))
+    for length, own in b.seeds.items():
+        if len(codes) < length:
+            continue
+        at = np.flatnonzero(unknown[length:] == unknown[:-length])
+        h = _hashes(array, length)
+        at = at[own[np.minimum(np.searchsorted(own, h[at]), len(own) - 1)] == h[at]]
+        pairs: dict[int, list[tuple[int, int]]] = {}
+        for j in at.tolist():
+            for k, i in b.places[length][int(h[j])]:
+                if b.items[k][i : i + length] == codes[j : j + length]:
+                    pairs.setdefault(k, []).append((i, j))
+        for k, seeds in pairs.items():
+            if got := tiles(b.items[k], codes, seeds, length):
+                out.append((k, sum(n for n, _, _ in got), len(got), max(n for n, _, _ in got)))
     return out
 
 
@@ -140,7 +142,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = M
     """Every (document, item) whose tiles cover at least ``coverage`` of the item's words.
 
     Null or empty texts share nothing.  Items of fewer than ``min_match``
-    words can have no tile and are never found.  Null ids stay null; repeated
+    words are found where they stand whole.  Null ids stay null; repeated
     documents or items give repeated rows.  Other columns are not read.
     """
     tune(docs.sparkSession)

@@ -51,43 +51,52 @@ def test_hosts_paths_and_rules(spark):
 
 
 def tree(rows):
-    """The template tree by plain loops: rows of (host, shape, n, labelled, bad)."""
-    state = [[h, (s.split("/")[1:] if s else []), "", n, l, b] for h, s, n, l, b in rows]
-    for s in state:
-        if len(s[1]) > urlfilter.DEPTH:
-            s[1] = s[1][: urlfilter.DEPTH] + ["**"]
-    for k in range(urlfilter.DEPTH):
-        child = {}
+    """The template tree by plain loops: rows of (host, path, n, labelled, bad)."""
+    state = [[h, (p.split("/")[1:] if p else []), "", n, l, b] for h, p, n, l, b in rows]
+    for k in range(max(len(s[1]) for s in state)):
+        nodes = {}
         for h, parts, t, n, l, b in state:
             if k < len(parts):
-                c = child.setdefault((h, t), {}).setdefault(parts[k], [0, 0, 0])
-                for i, v in enumerate((n, l, b)):
+                c = nodes.setdefault((h, t), {}).setdefault(parts[k], [0] * 7)
+                after = parts[k + 1] if k + 1 < len(parts) else None
+                kind = 0 if after is None else 1 if after == "" else 2 if after[0].isdigit() else 3
+                for i, v in ((0, n), (1, l), (2, b), (3 + kind, n)):
                     c[i] += v
-        for s in state:
-            h, parts, t = s[:3]
-            if k >= len(parts):
+        names = {}
+        for node, kids in nodes.items():
+            n, once, z = sum(c[0] for c in kids.values()), sum(c[0] == 1 for c in kids.values()), 1.96
+            q = once / n
+            low = (q + z * z / (2 * n) - z * ((q * (1 - q) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n)
+            if low >= 0.2:
+                names.update({(node, s): "*" for s in kids})
                 continue
-            kids = child[h, t]
-            all_n, all_l, all_b = (sum(c[i] for c in kids.values()) for i in range(3))
-            _, l, b = kids[parts[k]]
-            name = parts[k]
-            if len(kids) >= urlfilter.FAN and len(kids) >= urlfilter.FAN_SHARE * all_n:
-                name = "*"
-            elif l >= urlfilter.MERGE_LABELS and all_l - l >= urlfilter.MERGE_LABELS:
-                pool, rest = all_b / all_l, all_l - l
-                if abs(b / l - (all_b - b) / rest) <= urlfilter.SIMILAR * (pool * (1 - pool) * (1 / l + 1 / rest)) ** 0.5:
-                    name = "~"
-            s[2] = f"{t}/{name}"
+            rest = {s: c for s, c in kids.items() if c[1]}
+            for _ in range(2):
+                if not rest:
+                    break
+                lead = max(rest, key=lambda s: (rest[s][0], rest[s][1], s))
+                L, alike = rest[lead], []
+                for s, c in rest.items():
+                    pool = (c[2] + L[2]) / (c[1] + L[1])
+                    same = abs(c[2] / c[1] - L[2] / L[1]) <= 1.96 * (pool * (1 - pool) * (1 / c[1] + 1 / L[1])) ** 0.5
+                    chi = sum((c[i] / c[0] - L[i] / L[0]) ** 2 / (c[i] + L[i]) for i in range(3, 7) if c[i] + L[i]) * c[0] * L[0]
+                    if s != lead and same and chi <= 7.815:
+                        alike.append(s)
+                if alike:
+                    names.update({(node, s): f"~{lead}" for s in [*alike, lead]})
+                rest = {s: c for s, c in rest.items() if s != lead and s not in alike}
+        for s in state:
+            if k < len(s[1]):
+                s[2] += "/" + names.get(((s[0], s[2]), s[1][k]), s[1][k])
     total_l, total_b = sum(s[4] for s in state), sum(s[5] for s in state)
     base, hosts, temps = (total_b + 1) / (total_l + 2), {}, {}
-    for h, parts, t, _, l, b in state:
-        t += "/**" if len(parts) > urlfilter.DEPTH else ""
+    for h, _, t, _, l, b in state:
         for d, key in ((hosts, h), (temps, (h, t))):
             e = d.setdefault(key, [0, 0])
             e[0] += l
             e[1] += b
-    share = {h: (b + urlfilter.PRIOR * base) / (l + urlfilter.PRIOR) for h, (l, b) in hosts.items()}
-    return {k: (b + urlfilter.PRIOR * share[k[0]]) / (l + urlfilter.PRIOR) for k, (l, b) in temps.items()}
+    share = {h: (b + 4 * base) / (l + 4) for h, (l, b) in hosts.items()}
+    return {k: (b + 4 * share[k[0]]) / (l + 4) for k, (l, b) in temps.items()}
 
 
 def test_templates_by_plain_loops(spark):
@@ -96,24 +105,44 @@ def test_templates_by_plain_loops(spark):
     rng = np.random.default_rng(0)
     rows = []
     for h in ("a", "b"):
-        rows += [(h, f"/shop/item-{i}/buy", 3, 2, 2) for i in range(40)]  # many children: one wildcard, all bad
-        rows += [(h, f"/news/{c}/#", 30, 20, int(rng.integers(0, 3))) for c in "xyz"]  # alike: merged
-        rows += [(h, "/spam/#", 30, 25, 25), (h, "", 5, 0, 0), (h, "/", 5, 1, 0), (h, "/a/b/c/d/e/f/g/h", 2, 0, 0)]
-    df = spark.createDataFrame(rows, "host string, shape string, n long, labelled long, bad long")
+        rows += [(h, f"/shop/item-{i}/buy", 1, i % 2, i % 2) for i in range(40)]  # an open set: one wildcard, all bad
+        rows += [(h, f"/news/{c}/{c}{i}", 1, int(rng.integers(0, 2)), 0) for c in "xyz" for i in range(25)]  # alike: merged
+        rows += [(h, "/spam/1", 30, 25, 25), (h, "", 5, 0, 0), (h, "/", 5, 1, 0), (h, "/a/b/c/d/e/f/g/h", 2, 0, 0)]
+        rows += [(h, f"/{s}/9", 20, 10, 10) for s in ("p", "q")] + [(h, f"/{s}/", 20, 10, 10) for s in ("u", "v")]
+    df = spark.createDataFrame(rows, "host string, path string, n long, labelled long, bad long")
     got = urlfilter.templates(df, Scratch(spark, "t")).collect()
     want = tree(rows)
     assert len(got) == len(rows)
     for r in got:
         assert r["purity"] == pytest.approx(want[r["host"], r["template"]])
-    names = {(r["host"], r["shape"]): r["template"] for r in got}
-    assert names["a", "/shop/item-3/buy"] == "/shop/*/buy" and names["a", "/news/x/#"] == "/news/~/#" and names["a", "/a/b/c/d/e/f/g/h"]== "/a/b/c/d/e/f/**"
+    names = {(r["host"], r["path"]): r["template"] for r in got}
+    assert names["a", "/shop/item-3/buy"] == "/shop/*/buy" and names["a", "/news/x/x3"] == "/news/~z/*" and names["a", "/a/b/c/d/e/f/g/h"] == "/a/b/c/d/e/f/g/h"
+
+
+def test_rejected_templates_block_unruled_urls(spark, monkeypatch):
+    """A wildcard joins ruled and unruled urls, and merged branches have labels enough; without either nothing is blocked."""
+    wild = [(i, f"http://h/m{i}/p") for i in range(60)]
+    rules = [("h", f"/m{i}/", "block") for i in range(40)] + [("h", "/fine/", "allow")]
+    wild += [(100 + i, "http://h/fine/p") for i in range(8)]
+    parts = [(200 + 30 * k + i, f"http://g/{s}/{i}-x") for k, s in enumerate("abcdef") for i in range(30)]
+    rules += [("g", f"/{s}/{i}-", "block") for s in "abcdef" for i in range(4)] + [("g", "/ok", "allow")]
+    parts += [(500 + i, f"http://g/ok/{i}-x") for i in range(60)]
+    d = spark.createDataFrame(wild + parts, "page_id long, url string")
+
+    def blocked(host):
+        return {r["page_id"] for r in urlfilter.judge(d, rules).filter(f"host = '{host}' and rule is null and verdict = 'block'").collect()}
+
+    assert blocked("h") == set(range(40, 60))
+    assert blocked("g") == {i for i, u in parts if i < 500 and not rule_hits(u, rules)}
+    monkeypatch.setattr(urlfilter, "APART_KINDS", -1.0)
+    assert blocked("g") == set()
+    monkeypatch.setattr(urlfilter, "OPEN", 2.0)
+    assert blocked("h") == set()
 
 
-def test_a_rejected_template_blocks_unruled_urls(spark):
-    rows = [(i, f"http://h/m{i}/p") for i in range(60)]
-    rules = [("h", f"/m{i}/", "block") for i in range(40)]
-    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
-    assert set(got.values()) == {"block"}
+def rule_hits(url, rules):
+    h, p = host_path(url)
+    return any(h == host and p.startswith(path) for host, path, _ in rules)
 
 
 # --- language identification ------------------------------------------------
@@ -266,6 +295,52 @@ def test_held_out_accuracy(spark):
     assert ((r.predicted == 1) & (r.toxic == 0)).sum() <= 2
 
 
+def test_counterfactuals_of_every_term():
+    groups = [[b"a", b"b", b"c"], [b"x", b"y"]]
+    got = toxicity.counterfactuals({b"a", b"b", b"x", b"other"}, groups)
+    assert got == [{b"c", b"b", b"x", b"other"}, {b"a", b"c", b"x", b"other"}, {b"a", b"b", b"y", b"other"}]
+    assert toxicity.counterfactuals({b"x", b"y"}, groups) == [] and toxicity.counterfactuals(set(), groups) == []
+
+
+def test_identity_terms_carry_no_score(spark, monkeypatch):
+    """Planted group mentions that go with toxic labels: neutral ones are scored alike with the penalty, and apart without."""
+    rng = np.random.default_rng(3)
+    filler = lambda: " ".join(f"w{x}" for x in rng.integers(0, 400, 30))
+    for term, other in (("muslim", "protestant"), ("einwanderer", "europäer"), ("gitanos", "inmigrantes"), ("juifs", "musulmans")):
+        rows = [(i, f"{filler()} {term if i % 10 else ''} {'idiot' if i % 3 else 'trash'}", 1) for i in range(120)]
+        rows += [(200 + i, f"{filler()} {term if i % 10 == 0 else ''}", 0) for i in range(240)]
+        d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+        lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+        gap = {}
+        for swap in (1.0, 0.0) if term == "muslim" else (1.0,):
+            monkeypatch.setattr(toxicity, "SWAP", swap)
+            m = toxicity.train(d, lab)
+            gap[swap] = abs(m.score(f"we met a {term} neighbour") - m.score(f"we met a {other} neighbour"))
+            assert m.score("an idiot and trash") > 0.5
+        assert gap[1.0] < 0.05 and gap.get(0.0, 1.0) > 0.2
+
+
+def test_fit_by_plain_loops():
+    """The loss of plain loops has no slope at the weights found."""
+    rng = np.random.default_rng(1)
+    x = [sorted(set(rng.integers(0, 6, 3).tolist())) for _ in range(50)]
+    y = np.array([1.0 if 0 in r or rng.random() < 0.2 else 0.0 for r in x])
+    swaps = [(r, sorted({1 if f == 0 else f for f in r})) for r in x if 0 in r]
+
+    def loss(w, b):
+        out = toxicity.RIDGE / 2 * sum(v * v for v in w)
+        for r, t in zip(x, y, strict=True):
+            z = b + sum(w[f] for f in r)
+            out += np.log1p(np.exp(-z)) if t else np.log1p(np.exp(z))
+        return out + toxicity.SWAP * sum((sum(w[f] for f in r) - sum(w[f] for f in o)) ** 2 for r, o in swaps)
+
+    w, b = toxicity.fit(x, y, swaps, 6, steps=20_000)
+    for k in range(7):
+        step = np.zeros(7)
+        step[k] = 1e-5
+        assert abs(loss(w + step[:6], b + step[6]) - loss(w - step[:6], b - step[6])) / 2e-5 < 1e-3
+
+
 # --- decontamination --------------------------------------------------------
 
 
@@ -302,13 +377,13 @@ ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
 def test_contaminated_documents(spark):
     w = ITEM.split()
     moved = " ".join(w[6:]) + " middle words of another kind " + " ".join(w[:6])
-    docs = [(1, f"before, {ITEM.upper()}! after"), (2, moved), (3, " ".join(w[:5])), (4, "nothing of it"), (5, None), (6, ""), (None, ITEM), (7, "x " * 50000 + ITEM), (1, f"before, {ITEM.upper()}! after")]
+    docs = [(1, f"before, {ITEM.upper()}! after"), (2, moved), (3, " ".join(w[:5])), (4, "nothing of it"), (5, None), (6, ""), (None, ITEM), (7, "x " * 50000 + ITEM), (1, f"before, {ITEM.upper()}! after"), (8, "It is Too - short!")]
     bench = [(10, ITEM), (11, "too short"), (12, None), (None, "one two three four five six"), (13, ITEM)]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("coverage", F.lit(1))
     b = spark.createDataFrame(bench, "item_id long, text string")
     for chars in (1 << 20, 40):  # one block, several blocks
         got = decontam.contaminated_pairs(d, b, block_chars=chars).collect()
-        assert sorted([(r["doc_id"], r["item_id"]) for r in got], key=str) == sorted([(i, k) for i in (1, 1, 2, 7, None) for k in (10, 13)], key=str)
+        assert sorted([(r["doc_id"], r["item_id"]) for r in got], key=str) == sorted([(8, 11), *((i, k) for i in (1, 1, 2, 7, None) for k in (10, 13))], key=str)
         assert {r["n_tiles"] for r in got if r["doc_id"] == 2} == {2}
         kept = decontam.clean_documents(d, b, block_chars=chars)
         assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
