@@ -139,6 +139,11 @@ def flags(at: np.ndarray, width: int) -> bytes:
 HELD = 1 << 18
 
 
+def fitted(n: int, a_key: int = 8, least: int = 16, most: int = 27) -> int:
+    """The logarithm of a bitmap's bits for n keys: some a key, up to a fixed size; a fuller one costs time and changes no result."""
+    return int(np.clip(np.ceil(np.log2(a_key * (n + 1))), least, most))
+
+
 def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of 2**bits bits with a bit for each value of ``key``, a long or many of them as binary.
 

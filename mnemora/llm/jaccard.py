@@ -27,18 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, bitmap, distinct_scan, hit, hold, in_bitmap, scan, text_key, tune
+from mnemora.llm.common import Scratch, bitmap, distinct_scan, fitted, hit, hold, in_bitmap, scan, text_key, tune
 from mnemora.llm.langid import mix
 from mnemora.operators.graph import components
 
-#: Bits of the bitmap of shared signatures; it filters, so a fuller one costs time and changes no result.
-BITS = 27
 #: Bytes of a signature, signatures counted at once, words whose hashes and sets that a process keeps.
 SIG_BYTES, FLUSH, CACHE_WORDS, KEPT_SETS = 5, 1 << 20, 150_000, 64
 #: Least and most logarithm of a mark's length; members up to which a list's pairs come from a join, that a task takes together, and of a block of a longer list.
 MARK_LEAST, MARK_MOST, SHORT, TASK_ROWS, BLOCK = 5, 13, 6, 20_000, 2048
 #: Members from which on a list is long, and the part of the most possible differences that blocks exceed it by, to leave long lists out.
-LONG, SPARE = 128, 4
+LONG, SPARE = 128, 6
 
 
 class _Words(dict):
@@ -142,14 +140,14 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def shared_bitmap(sets: DataFrame, total: int) -> np.ndarray:
-    """A bitmap of 2**BITS bits of the signatures, by their first 32 bits, that several sets have.
+def shared_bitmap(sets: DataFrame, total: int, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits of the signatures (bands), by their last 32 bits, that several sets have.
 
     Tasks hand on sorted 32-bit values in parts of FLUSH, each value once and
     with a note if it was there twice; a bucket of values is a slice of the
     bitmap and is counted by one task.
     """
-    log = int(np.clip(np.ceil(np.log2(max(total, 1) / FLUSH)), 0, 12))
+    log = int(np.clip(np.ceil(np.log2(max(total, 1) / FLUSH)), 0, bits - 3))
 
     def parts(batches):
         held: list[np.ndarray] = []
@@ -163,7 +161,7 @@ def shared_bitmap(sets: DataFrame, total: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups], pa.int32()), pa.array([g[1].tobytes() for g in groups], pa.binary()), pa.array([g[1][g[2]].tobytes() for g in groups], pa.binary())], ["bucket", "once", "more"])
 
         for batch in batches:
-            held.append(unpacked(b"".join(batch.column(0).to_pylist())) & np.uint64(0xFFFFFFFF))
+            held.append(unpacked(b"".join(batch.column(0).flatten().to_pylist())) & np.uint64(0xFFFFFFFF))
             if sum(map(len, held)) >= FLUSH:
                 yield flush()
         if held:
@@ -173,14 +171,14 @@ def shared_bitmap(sets: DataFrame, total: int) -> np.ndarray:
         value = np.frombuffer(b"".join(t.column("once").to_pylist()), "<u4")
         kinds, n = np.unique(value, return_counts=True)
         again = np.concatenate([kinds[n > 1], np.frombuffer(b"".join(t.column("more").to_pylist()), "<u4")])
-        bucket, width = t.column("bucket")[0].as_py(), 1 << (BITS - log)
+        bucket, width = t.column("bucket")[0].as_py(), 1 << (bits - log)
         flags = np.zeros(width, dtype=np.uint8)
-        flags[(again >> np.uint32(32 - BITS)).astype(np.int64) - bucket * width] = 1
+        flags[(again >> np.uint32(32 - bits)).astype(np.int64) - bucket * width] = 1
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "map": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
-    out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
     size = len(out) >> log
-    for r in sets.select("sigs").mapInArrow(parts, "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(count, "bucket int, map binary").toLocalIterator():
+    for r in sets.select("bands").mapInArrow(parts, "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(count, "bucket int, map binary").toLocalIterator():
         out[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["map"], dtype=np.uint8)
     return out
 
@@ -193,34 +191,33 @@ def linked_texts(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int,
     is set: then each link is there, some of them more than once.
     """
     keys = docs.select(text_key(F.col(text_col)).alias("key"))
-    copies = keys.groupBy("key").count().filter("count > 1").select(F.xxhash64("key").alias("key"))
-    several = scratch.send(bitmap(copies, BITS - 2))
+    copies = scratch.table("copies", keys.groupBy("key").count().filter("count > 1").select(F.xxhash64("key").alias("key")))
+    several = scratch.send(bitmap(copies, fitted(copies.count())))
 
     def index(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], []]
         for text in batch.column(1).to_pylist():
             tokens = shingles(text, n)
             bands_of = signatures(tokens, num, den) if len(tokens) else []
-            for column, value in zip(rows, (len(tokens), [packed(sig) for sig, _ in bands_of], [left for _, left in bands_of], b"".join(packed(sig) for sig, _ in bands_of), mark(tokens)), strict=True):
+            for column, value in zip(rows, (len(tokens), [packed(sig) for sig, _ in bands_of], [left for _, left in bands_of], mark(tokens)), strict=True):
                 column.append(value)
-        kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["key", "n", "bands", "spare", "sigs", "mark"])
-
-    sets = scratch.table("sets", distinct_scan(docs, text_col, several, index, "key binary, n long, bands array<binary>, spare array<long>, sigs binary, mark binary"))
-    total = sets.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
-    shared = scratch.send(shared_bitmap(sets, total // SIG_BYTES))
+        kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], ["key", "n", "bands", "spare", "mark"])
 
-    def known(sig: np.ndarray, table) -> np.ndarray:
-        return in_bitmap((sig & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS), table)
+    sets = scratch.table("sets", distinct_scan(docs, text_col, several, index, "key binary, n long, bands array<binary>, spare array<long>, mark binary"))
+    total = (sets.agg(F.sum(F.expr("aggregate(bands, 0L, (s, b) -> s + octet_length(b))"))).first()[0] or 0) // SIG_BYTES
+    bits = fitted(total)
+    shared = scratch.send(shared_bitmap(sets, total, bits))
 
     def listed(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        sig = unpacked(b"".join(batch.column(0).to_pylist()))
-        value, count = np.unique(sig[known(sig, shared.value)], return_counts=True)
+        sig = unpacked(b"".join(batch.column(0).flatten().to_pylist()))
+        value, count = np.unique(sig[in_bitmap((sig & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits), shared.value)], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (value, count)], ["sig", "c"])
 
-    lists = scratch.table("lists", scan(sets.select("sigs"), listed, "sig long, c long").groupBy("sig").agg(F.sum("c").alias("c")).filter("c > 1"))
-    several_in = scratch.send(bitmap(lists.select(F.col("sig").alias("key")), BITS))
-    long = scratch.send(bitmap(lists.filter(F.col("c") > LONG).select(F.col("sig").alias("key")), BITS - 3))
+    lists = scratch.table("lists", scan(sets.select("bands"), listed, "sig long, c long").groupBy("sig").agg(F.sum("c").alias("c")).filter("c > 1"))
+    several_in = scratch.send(bitmap(lists.select(F.col("sig").alias("key")), fitted(lists.count())))
+    longest = lists.filter(F.col("c") > LONG).select(F.col("sig").alias("key"))
+    long = scratch.send(bitmap(longest, fitted(longest.count())))
 
     def members(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows: list[list] = [[], [], [], []]
@@ -355,7 +352,7 @@ def _verify(docs: DataFrame, scratch: Scratch, pairs: DataFrame, n: int, text_co
     if pairs.isEmpty():
         return scratch.spark.createDataFrame([], schema)
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    only = scratch.send(bitmap(wanted.select(F.xxhash64("key").alias("key")), BITS - 2))
+    only = scratch.send(bitmap(wanted.select(F.xxhash64("key").alias("key")), fitted(2 * pairs.count())))
     d = docs.select(text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     t = scratch.table(f"{name}_texts", d.filter(hit(only, F.xxhash64("key"))).groupBy("key").agg(F.first("text").alias("text")))
     both = pairs.join(t.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(t.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
@@ -449,7 +446,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text_co
     judged = scratch.table("judged", judged)
 
     def marked(rows: DataFrame):
-        return spark.sparkContext.broadcast(bitmap(rows.select(F.xxhash64(f"{near}_id", f"{near}_key").alias("key")), BITS - 2))
+        return spark.sparkContext.broadcast(bitmap(rows.select(F.xxhash64(f"{near}_id", f"{near}_key").alias("key")), fitted(rows.count())))
 
     # only rows with a dropped row's bit are joined, and only a kept row that is repeated is dealt by its id
     dropped = judged.filter("not stays").select(f"{near}_id", f"{near}_key")

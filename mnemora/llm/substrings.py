@@ -35,14 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, bitmap, dealt, distinct_scan, flags, gathered, hold, in_bitmap, scan, text_key, tune
+from mnemora.llm.common import Scratch, bitmap, dealt, distinct_scan, fitted, flags, gathered, hold, in_bitmap, scan, text_key, tune
 from mnemora.llm.langid import mix
 
 WINDOW = 400
 #: Symbols hashed at once; a longer text is cut into overlapping stretches.
 CHUNK = 1 << 18
-#: Bits of the bitmap of touched texts, and bits a key, least and most logarithm of the bitmaps of names; they filter, so fuller ones cost time and change no result.
-BITS, BITS_A_KEY, LEAST_BITS, MOST_BITS = 26, 8, 16, 28
+#: Least and most logarithm of the bits of bitmaps of names; they filter, so fuller ones cost time and change no result.
+LEAST_BITS, MOST_BITS = 16, 28
 #: Names that a task counts together.
 TASK_NAMES = 1 << 19
 #: Bytes of a word's code, and words whose codes a process keeps.
@@ -296,7 +296,7 @@ def _judged(u: Units, keys: pa.Array, real: np.ndarray, settled: np.ndarray, dea
 
 def _size(n: int) -> tuple[int, int]:
     """Logarithms of a bitmap's bits and of the tasks that count, for about n names."""
-    bits = int(np.clip(np.ceil(np.log2(BITS_A_KEY * (n + 1))), LEAST_BITS, MOST_BITS))
+    bits = fitted(n, 8, LEAST_BITS, MOST_BITS)
     return bits, int(np.clip(np.ceil(np.log2((n + 1) / TASK_NAMES)), 3, min(12, bits - 3)))
 
 
@@ -475,7 +475,7 @@ def with_spans(docs: DataFrame, text_col: str, spans: DataFrame, process: Callab
     near = "spans"
     while any(c.startswith(near) for c in docs.columns):
         near = "_" + near
-    touched = docs.sparkSession.sparkContext.broadcast(bitmap(spans.select(F.xxhash64("key").alias("key")), BITS))
+    touched = docs.sparkSession.sparkContext.broadcast(bitmap(spans.select(F.xxhash64("key").alias("key")), fitted(spans.count())))
     d = docs.withColumn(f"{near}_key", text_key(F.col(text_col))).withColumn(f"{near}_hash", F.xxhash64(f"{near}_key"))
     own = docs.columns
 
