@@ -92,6 +92,20 @@ def supersede_candidates(pairs: DataFrame, memories: DataFrame, relations: DataF
     return p.orderBy(F.desc("at"), "newer", "older").limit(cap).select("newer", "older", F.col("c.verdict").alias("verdict"), "sim")
 
 
+def auto_revisions(pairs: DataFrame, memories: DataFrame, low: float = 0.80, high: float = 0.97, confidence: float = 0.85, k: int = 6, classify=reversal_classifier) -> DataFrame:
+    """What each write revises (source_id, target_id, relation_type, weight): its closest older neighbour in the band, if the classifier is sure.
+
+    Among the k nearest those of its type and a compatible project count; of
+    equally close ones the least id.  Only the closest is classified.
+    """
+    near = sided(top_neighbours(pairs, k), memories, "type", "project", "content")
+    ok = (F.col("b") < F.col("a")) & (F.col("type_a") == F.col("type_b")) & compatible(F.col("project_a"), F.col("project_b")) & F.col("sim").between(low, high)
+    best = near.filter(ok).groupBy("a").agg(F.max_by(F.struct("b", "content_a", "content_b"), F.struct("sim", -F.col("b"))).alias("x"))
+    said = best.select("a", "x.b", classify(F.col("x.content_a"), F.col("x.content_b")).alias("c"))
+    said = said.filter(F.col("c.verdict").isin("supersedes", "contradicts") & (F.col("c.confidence") >= confidence))
+    return said.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("c.verdict").alias("relation_type"), F.col("c.confidence").alias("weight"))
+
+
 def clusters(pairs: DataFrame, memories: DataFrame, relations: DataFrame, now, threshold: float, least: int = 3, most: int = 3, k: int = 10) -> DataFrame:
     """Greedy clusters (project, type, seed, member): seeds oldest first, members not used again, ``most`` clusters in all.
 

@@ -135,3 +135,74 @@ def fingerprint_of(rows: DataFrame, column: str) -> DataFrame:
     """One hash of a set of values, whatever their order: of each value's hash, summed, with the count."""
     h = F.sum(F.xxhash64(column).cast("decimal(38,0)"))
     return rows.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), h.cast("string")), 256).alias("fingerprint"))
+
+
+def merged_metadata(old: Column, patch: Column) -> Column:
+    """A JSON object of strings with another's keys added or replaced; null counts as empty."""
+    of = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(of(old), lambda k, _: ~F.map_contains_key(of(patch), k))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, of(patch))))))
+
+
+def topic_index(memories: DataFrame, now: Column, stale_days: int = 30) -> DataFrame:
+    """(tag, type, n, stale): memories of each tag and type, and how many were not read within the days given."""
+    read = F.coalesce("last_accessed", "created_at")
+    tags = memories.select(F.explode(F.array_distinct("tags")).alias("tag"), "type", (S.days_between(now, read) > stale_days).alias("old"))
+    return tags.groupBy("tag", "type").agg(F.count("*").alias("n"), F.count_if("old").alias("stale"))
+
+
+def signal_ratio(shown: DataFrame, scores: DataFrame, drop_max: int = 3) -> DataFrame:
+    """Useful results a week (week, signal, noise, ratio): shown ones (id, at) that a judge (memory_id, score) rates above ``drop_max``."""
+    j = shown.join(scores.select(F.col("memory_id").alias("id"), "score"), "id")
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), "at").cast("string"), F.lit("_W"), F.lpad(F.weekofyear("at").cast("string"), 2, "0"))
+    good = F.count_if(F.col("score") > drop_max)
+    return j.groupBy(week.alias("week")).agg(good.alias("signal"), (F.count("*") - good).alias("noise"), F.round(good / F.count("*"), 6).alias("ratio"))
+
+
+#: Strategies that may run unattended: the others lower or delete what was not read.
+SAFE = ("merge", "sessions", "cluster")
+
+
+def consolidation(strategies: dict[str, dict[str, DataFrame]], run: tuple[str, ...] = SAFE) -> DataFrame:
+    """The report of a dry run (strategy, counter, n): rows of each counter's change set, of the strategies to run.
+
+    ``strategies`` has each strategy's change sets by counter; those not run
+    are not evaluated.  Unknown names raise.
+    """
+    if unknown := set(run) - set(strategies):
+        raise ValueError(f"unknown strategies {sorted(unknown)}")
+    out = None
+    for name in run:
+        for counter, changes in strategies[name].items():
+            row = changes.agg(F.count("*").alias("n")).select(F.lit(name).alias("strategy"), F.lit(counter).alias("counter"), "n")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def lease(locks: DataFrame, asks: DataFrame, stale_minutes: int = 60) -> DataFrame:
+    """Who gets the lock: (name, owner, at, granted, held_by) for each ask (name, owner, at) against the lock's last holder (name, owner, at).
+
+    A lock is granted if nobody holds it, the asker does, or it went stale; of
+    asks at one lock the first wins, by time and owner.
+    """
+    held = locks.groupBy("name").agg(F.max_by("owner", F.struct("at", "owner")).alias("holder"), F.max("at").alias("since"))
+    first = F.row_number().over(Window.partitionBy("name", "free").orderBy("at", "owner")) == 1
+    a = asks.join(held, "name", "left")
+    free = F.col("holder").isNull() | (F.col("holder") == F.col("owner")) | (F.col("at") - F.col("since") >= F.make_dt_interval(F.lit(0), F.lit(0), F.lit(stale_minutes)))
+    a = a.withColumn("free", free).withColumn("granted", F.col("free") & first)
+    return a.select("name", "owner", "at", "granted", F.when(~F.col("free"), F.col("holder")).alias("held_by"))
+
+
+def backfilled(memories: DataFrame, marked: DataFrame, factor: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """What supersede markers (id, source, target, confidence) do: edges of the sure ones, and changes (id, importance, review).
+
+    The target of a sure edge loses part of its importance; unsure markers
+    only flag their memory for review.
+    """
+    sure = marked.filter((F.col("confidence") == "high") & F.col("source").isNotNull() & F.col("target").isNotNull())
+    edges = sure.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("supersedes").alias("relation_type")).distinct()
+    hit = edges.select(F.col("target_id").alias("id"), F.lit(True).alias("hit")).distinct()
+    flag = marked.filter(F.col("confidence") != "high").select("id", F.lit(True).alias("flag")).distinct()
+    m = memories.join(hit, "id", "left").join(flag, "id", "left").filter("hit or flag")
+    lowered = F.when(F.col("hit"), F.coalesce("importance", F.lit(0.5)) * factor).otherwise(F.col("importance"))
+    return edges, m.select("id", lowered.alias("importance"), F.coalesce("flag", F.lit(False)).alias("review"))

@@ -150,6 +150,29 @@ def noise_gate(results: DataFrame, status: Column) -> DataFrame:
     return results.withColumn("_ok", status.isin("ok", "fallback:min_candidates") | known).filter("_ok").drop("_ok")
 
 
+def answered(memories: DataFrame, vectors: DataFrame, relations: DataFrame, queries: DataFrame, scores: DataFrame, flags: DataFrame, status: Column, k: int = 5, least: int = 4, **kwargs) -> DataFrame:
+    """Recall as a caller sees it: oversampled, judged, gated, cut to k, flagged and projected.
+
+    The judge (memory_id, score) reranks the queries whose ``status`` is ok and
+    that have ``least`` candidates or more; the others keep their order, with
+    status fallback:min_candidates where there are too few.  Where it did not
+    run, results without any text hit are noise.  ``flags`` are conflict flags
+    (id, role, vs, age).  Returns (query_id, pos, id, type, preview, tags,
+    score, judge, status, role, vs, age).
+    """
+    pool = recall(memories, vectors, relations, queries, S.oversample(k), **kwargs)
+    pool = pool.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    pool = pool.withColumn("status", F.when(F.col("n") < least, "fallback:min_candidates").otherwise(status))
+    ran = F.col("status") == "ok"
+    j = pool.join(scores.select(F.col("memory_id").alias("id"), F.col("score").alias("rated")), "id", "left").withColumn("judge", F.when(ran, F.col("rated")))
+    j = noise_gate(j.filter(F.col("judge").isNull() | (F.col("judge") > 3)), F.col("status"))
+    order = Window.partitionBy("query_id").orderBy(F.col("judge").isNull(), F.desc("judge"), "pos")
+    best = j.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("pos", "type")
+    shown = best.join(memories.select("id", "type", T.flat_clip(F.col("content")).alias("preview"), F.slice("tags", 1, 5).alias("tags")), "id")
+    out = shown.join(flags.select("id", "role", "vs", "age"), "id", "left")
+    return out.select("query_id", F.col("rank").alias("pos"), "id", "type", "preview", "tags", "score", "judge", "status", "role", "vs", "age")
+
+
 def within_budget(ranked: DataFrame, budget: int, length: Column, group: str = "query_id", order: str = "pos") -> DataFrame:
     """Rows in order while their lengths' running sum stays in the budget; the first that overflows ends it."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

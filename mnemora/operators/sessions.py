@@ -88,3 +88,29 @@ def size_warnings(files: DataFrame) -> DataFrame:
     """(path, lines, level) of text files that grew too long."""
     n = files.groupBy("path").agg(F.count("*").alias("lines"))
     return n.withColumn("level", F.when(F.col("lines") > 250, "SEVERE").when(F.col("lines") > 200, "WARNING")).filter("level is not null")
+
+
+#: Lists of a session's learnings, and the type that each is saved as.
+LEARNED = {"decisions": "decision", "discoveries": "discovery", "entities": "entity"}
+
+
+def saved(ended: DataFrame, log: DataFrame, now: Column, cluster_from: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Ending sessions (id, project, summary, decisions, discoveries, entities): (session rows, memories to save).
+
+    A session that is not in the log (id, project, started_at, ended_at) is
+    created; without a project it inherits that of the log's last one.  Session
+    rows tell how many memories they made, and whether to look for clusters:
+    from ``cluster_from`` memories on, the first time that the session ends.
+    """
+    last = log.agg(F.max_by("project", F.struct("started_at", "id")).alias("inherited"))  # one row
+    known = log.select("id", F.col("project").alias("own"), F.col("ended_at").alias("before"), F.lit(True).alias("there"))
+    e = ended.join(known, "id", "left").crossJoin(F.broadcast(last))
+    e = e.withColumn("project", F.when(F.col("there"), F.col("own")).otherwise(F.coalesce("project", "inherited")))
+
+    def typed(kind: str):
+        return lambda x: F.struct(F.lit(kind).alias("type"), x.alias("content"))
+
+    e = e.withColumn("items", F.concat(*[F.transform(F.coalesce(c, F.array().cast("array<string>")), typed(kind)) for c, kind in LEARNED.items()]))
+    rows = e.select("id", "project", "summary", now.alias("ended_at"), F.coalesce("there", F.lit(False)).alias("known"), F.size("items").alias("memories"), ((F.size("items") >= cluster_from) & F.col("before").isNull()).alias("cluster"))
+    memories = e.select(F.col("id").alias("session"), "project", F.posexplode("items").alias("n", "item")).select("session", "n", "item.type", "item.content", F.lit(None).cast("string").alias("project"), F.lit("wrap").alias("meta_source"))
+    return rows, memories

@@ -762,3 +762,6 @@ def rel_distinct_count(spark: SparkSession, d: str) -> DataFrame:
 def rel_tumbling(spark: SparkSession, d: str) -> DataFrame:
     e = store.events(spark, d).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return e.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
+
+
+from mnemora.plans import upkeep  # noqa: E402, F401  (registers its queries; it builds on those above)
