@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, tune
+from mnemora.llm.common import Scratch, bitmap, fitted, hit, tune
 
 SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
@@ -142,7 +142,7 @@ ARCHIVE = "archive string, chunk int, content binary"
 
 
 def write_archives(records: DataFrame) -> DataFrame:
-    """Archives from (page_id, url, payload, record_type, refers_to, payload_digest, payload_bytes): one a partition, in chunks.
+    """Archives from (page_id, url, payload, record_type, refers_to, payload_sha1, payload_bytes): one a partition, in chunks.
 
     A chunk begins with the archive's dictionary frame only if it is chunk 0,
     so an archive file is the concatenation of its chunks; every chunk ends
@@ -175,7 +175,7 @@ def write_archives(records: DataFrame) -> DataFrame:
                 key = r["page_id"]
                 extra = {} if key is None else {"X-Page-Id": str(key)}
                 extra["X-Payload-Bytes"] = str(r["payload_bytes"])
-                raw = record_bytes(r["record_type"], f"urn:page:{'none' if key is None else key}", (r["url"] or "").replace("\r", " ").replace("\n", " "), r["payload"] or b"", r["payload_digest"], f"urn:page:{r['refers_to']}", extra)
+                raw = record_bytes(r["record_type"], f"urn:page:{'none' if key is None else key}", (r["url"] or "").replace("\r", " ").replace("\n", " "), r["payload"] or b"", base64.b32encode(r["payload_sha1"]).decode(), f"urn:page:{r['refers_to']}", extra)
                 if packer is None:
                     held.append(raw)
                     taken += len(raw)
@@ -236,19 +236,23 @@ def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha": F.sha1("payload")})
-    # only groups of several rows matter, so single payloads are not carried into the join
-    first = p.filter(F.col("payload_bytes") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select(F.col("sha").alias("sha_of_group"), "first")
-    p = p.join(first, (F.col("sha") == F.col("sha_of_group")) & (F.col("payload_bytes") >= min_bytes), "left")
+    able = p.filter(F.col("payload_bytes") >= min_bytes)
+    # written, so that the join deals out both sides itself and a frequent payload can be split
+    first = able.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    first = Scratch(pages.sparkSession, "payloads").table("first", first.select(F.col("sha").alias("sha_of_group"), "first"))
+    # only rows with the bit of a payload that several have are dealt out
+    some = hit(pages.sparkSession.sparkContext.broadcast(bitmap(first.select(F.xxhash64("sha_of_group").alias("key")), fitted(first.count()))), F.xxhash64("sha"))
+    shared = p.filter(some).join(first, (F.col("sha") == F.col("sha_of_group")) & (F.col("payload_bytes") >= min_bytes), "left")
     again = F.coalesce((F.col("page_id") != F.col("first")) | (F.col("page_id").isNull() & F.col("first").isNotNull()), F.lit(False))
-    return p.select("page_id", "url", "payload", "payload_bytes", "sha", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    shared = shared.select(*p.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    return p.filter(~some).select(*p.columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(shared)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """The archives of ``pages``, as chunks; see ``classify`` for the records."""
     tune(pages.sparkSession)
-    to32 = F.udf(lambda h: base64.b32encode(bytes.fromhex(h)).decode(), "string", useArrow=True)
-    c = classify(pages, min_bytes).withColumn("payload_digest", to32("sha")).withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")))
-    return write_archives(c.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    c = classify(pages, min_bytes).withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")))
+    return write_archives(c.select("page_id", "url", "payload", "payload_bytes", F.unhex("sha").alias("payload_sha1"), "record_type", "refers_to"))
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
