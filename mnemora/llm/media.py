@@ -93,15 +93,47 @@ def crc16(data: bytes, bits: int) -> int:
     return crc
 
 
+# Fixed values of the standard: bits of the allocation of each subband in Layer II, by table.
+LOW_RATE = [4] * 2 + [3] * 10
+HIGH_RATE = [4] * 11 + [3] * 12 + [2] * 7
+HALF_RATE = [4] * 4 + [3] * 7 + [2] * 19
+
+
+def allocation_bits(h: Header) -> list[int]:
+    """Layer II: the bits of each subband's allocation; version, bit rate a channel and sampling rate choose the table and its length."""
+    each = h.kbits // (1 if h.mono else 2)
+    if h.version != "1":
+        return HALF_RATE
+    if each < 56:
+        return LOW_RATE[: 12 if h.hertz == 32000 else 8]
+    return HIGH_RATE[: 30 if each >= 96 and h.hertz != 48000 else 27]
+
+
+def covered_bits(blob: bytes, at: int, h: Header) -> int:
+    """Bits after the checksum that it covers, beside the header's last 16: allocations, side information, and Layer II's selection of scale factors."""
+    if h.layer == 3:
+        return 8 * ((17 if h.mono else 32) if h.version == "1" else (9 if h.mono else 17))
+    joint = blob[at + 3] >> 6 == 1
+    bound = 4 * (blob[at + 3] >> 4 & 3) + 4 if joint else 32  # from here on channels share an allocation
+    channels = 1 if h.mono else 2
+    if h.layer == 1:
+        return 4 * (channels * min(bound, 32) + max(0, 32 - bound)) if not h.mono else 128
+    body = int.from_bytes(blob[at + 6 : at + 6 + 64].ljust(64, b"\0"), "big")
+    place = selections = 0
+    for band, width in enumerate(allocation_bits(h)):
+        own = channels if h.mono or band < bound else 1
+        for _ in range(own):
+            if body >> (512 - place - width) & ((1 << width) - 1):
+                selections += 2 * channels // own
+            place += width
+    return place + selections
+
+
 def checksum(blob: bytes, at: int, h: Header) -> bool | None:
-    """Whether a frame's checksum fits; None where it has none or its cover is not fixed (Layer II)."""
-    if not h.checked or h.layer == 2:
+    """Whether a frame's checksum fits; None where it has none."""
+    if not h.checked:
         return None
-    if h.layer == 1:
-        both = 32 if h.mono else 4 * (blob[at + 3] >> 4 & 3) + 4 if blob[at + 3] >> 6 == 1 else 32
-        bits = 4 * (both + (32 if h.mono else 32)) if not h.mono else 128
-    else:
-        bits = 8 * ((17 if h.mono else 32) if h.version == "1" else (9 if h.mono else 17))
+    bits = covered_bits(blob, at, h)
     cover = blob[at + 2 : at + 4] + blob[at + 6 : at + 6 + (bits + 7) // 8]
     if len(cover) * 8 < 16 + bits:
         return False

@@ -1,6 +1,7 @@
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -120,3 +121,28 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.warc.zst").write_bytes(blob)
     got = warc.read_files(spark, f"{tmp_path}/*.warc.zst").collect()
     assert len(got) == 9 and got[0]["headers"]["warc-type"] == "response"
+
+
+@pytest.mark.parametrize(("first", "rate", "mode", "joint"), [(0xFD, 0xC4, 0x00, 32), (0xFD, 0x24, 0xC0, 32), (0xFD, 0xC8, 0x50, 8), (0xF5, 0x84, 0x00, 32), (0xFD, 0x88, 0x60, 12)])
+def test_layer_two_checksums(first, rate, mode, joint):
+    """The cover by a plain bit reader: allocations, then two bits a channel for each subband with samples."""
+    rng = np.random.default_rng(first + rate + mode)
+    head = bytes([0xFF, first & 0xFE, rate, mode])
+    h = media.header(head)
+    assert h.layer == 2 and h.checked
+    body = rng.integers(0, 256, h.length - 6, dtype=np.uint8).tobytes()
+    bits = "".join(f"{b:08b}" for b in body)
+    place, chosen = 0, 0
+    for band, width in enumerate(media.allocation_bits(h)):
+        shared = not h.mono and band >= joint
+        for _ in range(1 if h.mono or shared else 2):
+            some = int(bits[place : place + width], 2) > 0
+            chosen += some * (2 if shared else 1)
+            place += width
+    n = place + 2 * chosen
+    crc = 0xFFFF
+    for bit in f"{rate:08b}{mode:08b}" + bits[:n]:
+        top = (crc >> 15) ^ int(bit)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    good = head + crc.to_bytes(2, "big") + body
+    assert media.checksum(good, 0, h) is True and media.checksum(head + (crc ^ 1).to_bytes(2, "big") + body, 0, h) is False
