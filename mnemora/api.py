@@ -7,6 +7,7 @@ any operation can be tried without effect by not calling ``apply``.
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,13 @@ from mnemora.deploy import ship
 from mnemora.functions import telex
 from mnemora.operators import graph, lifecycle, sessions
 from mnemora.operators import recall as R
-from mnemora.scorers import hashed_embedding
+from mnemora.scorers import hashed_embedding, reversal_classifier
 from mnemora.sources.store import latest
 
 EVENTS = "seq bigint, op string, id string, content string, type string, tags array<string>, project string, meta_source string, created_at timestamp, access_count bigint, last_accessed timestamp, importance double"
 EDGES = "seq bigint, op string, source_id string, target_id string, relation_type string, weight double"
-SESSIONS = "id string, project string, started_at timestamp, summary string"
+SESSIONS = "id string, project string, started_at timestamp, summary string, ended_at timestamp"
+VECTORS = "seq bigint, memory_id string, embedding array<double>"
 NEW = "content string, type string, tags array<string>, project string, meta_source string"
 
 
@@ -42,13 +44,10 @@ class MemoryStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
-    def _next(self, name: str, schema: str) -> int:
-        return (self._read(name, schema).agg(F.max("seq")).first()[0] or 0) + 1
-
     def _append(self, name: str, schema: str, rows: DataFrame, op: str) -> None:
+        """Append one write; its number is the time in nanoseconds, so that no log is read for it."""
         fields = [f.split() for f in schema.split(", ")]
-        seq = self._next(name, schema)
-        rows = rows.withColumns({"seq": F.lit(seq).cast("long"), "op": F.lit(op)})
+        rows = rows.withColumns({"seq": F.lit(time.time_ns()).cast("long"), "op": F.lit(op)})
         rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields]).write.mode("append").parquet(f"{self.folder}/{name}")
 
     @property
@@ -62,29 +61,46 @@ class MemoryStore:
 
     @property
     def vectors(self) -> DataFrame:
-        return self.embed(self.memories.select("id", "content"), "content").select(F.col("id").alias("memory_id"), "embedding")
+        """The vectors kept at each write, of memories that there are."""
+        kept = latest(self._read("vectors", VECTORS).withColumn("op", F.lit("put")), "memory_id").drop("seq", "op")
+        return kept.join(self.memories.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+
+    def _embedded(self, rows: DataFrame) -> None:
+        """Keep the vectors of new contents (id, content); equal contents are embedded once."""
+        texts = rows.select("id", "content").groupBy("content").agg(F.min("id").alias("id"))
+        vectors = self.embed(texts, "content").select("content", "embedding")
+        self._append("vectors", VECTORS, rows.select(F.col("id").alias("memory_id"), "content").join(vectors, "content"), "put")
 
     def _queries(self, query: str) -> DataFrame:
         q = self.spark.createDataFrame([(0, telex.repair(query))], "id long, query string")
         return self.embed(q, "query").select(F.col("id").alias("query_id"), "query", F.col("embedding").alias("vec"))
 
-    def save(self, rows: list[tuple], now: dt.datetime, near_duplicate: float = 0.92, relations: list[tuple[str, str]] = ()) -> DataFrame:
+    def save(self, rows: list[tuple], now: dt.datetime, near_duplicate: float = 0.92, relations: list[tuple[str, str]] = (), revise: tuple[float, float] | None = None, classify=reversal_classifier) -> DataFrame:
         """Save rows (content, type, tags, project, source): (id, status, matched).
 
         A row close to a stored one of its type and a compatible project is
         skipped.  ``relations`` are (target, type) edges from each saved row;
-        superseded targets lose half of their importance.
+        superseded targets lose half of their importance.  With ``revise``, a
+        band of similarity, each saved row's closest neighbour in it is
+        classified, and an edge tells of a sure revision.
         """
         at = F.lit(now).cast("timestamp")
         new = lifecycle.save_batch(self.spark.createDataFrame(rows, NEW), at)
         probes = self.embed(new.select("id", "content", "type", "project"), "content")
         known = self.memories.select(F.col("id").alias("matched"), F.col("type").alias("known_type"), F.col("project").alias("known_project"))
         near = R.knn(self.vectors, probes.select(F.col("id").alias("query_id"), F.col("embedding").alias("vec")), 6).select(F.col("query_id").alias("id"), F.col("id").alias("matched"), "sim")
-        near = near.join(known, "matched").join(new.select("id", "type", "project"), "id").filter((F.col("sim") >= near_duplicate) & (F.col("type") == F.col("known_type")) & R.compatible(F.col("project"), F.col("known_project")))
-        best = near.groupBy("id").agg(F.max_by("matched", F.struct("sim", "matched")).alias("matched"))
+        near = near.join(known, "matched").join(new.select("id", "type", "project"), "id").filter((F.col("type") == F.col("known_type")) & R.compatible(F.col("project"), F.col("known_project")))
+        sibling = near.filter(F.col("sim").between(*(revise or (2.0, 2.0)))).groupBy("id").agg(F.max_by("matched", F.struct("sim", "matched")).alias("older")).join(self.memories.select(F.col("id").alias("older"), F.col("content").alias("before")), "older").join(new.select("id", "content"), "id")
+        revised = [(r["id"], r["older"], r["c"]["verdict"], r["c"]["confidence"]) for r in sibling.select("id", "older", classify(F.col("content"), F.col("before")).alias("c")).collect()] if revise else []  # one request's rows
+        best = near.filter(F.col("sim") >= near_duplicate).groupBy("id").agg(F.max_by("matched", F.struct("sim", "matched")).alias("matched"))
         out = self.spark.createDataFrame(lifecycle.save_batch(self.spark.createDataFrame(rows, NEW), at, best).select(*[f.split()[0] for f in EVENTS.split(", ") if f.split()[0] not in ("seq", "op", "last_accessed")], "status", "matched").collect(), EVENTS.replace("seq bigint, op string, ", "").replace("last_accessed timestamp, ", "") + ", status string, matched string")
         saved = out.filter("status = 'saved'")
         self._append("memories", EVENTS, saved.drop("status", "matched"), "put")
+        self._embedded(saved)
+        sure = [r for r in revised if r[2] in ("supersedes", "contradicts") and r[3] >= 0.85]
+        if sure:
+            edges = self.spark.createDataFrame(sure, "source_id string, target_id string, relation_type string, weight double")
+            self.link(edges.join(saved.select(F.col("id").alias("source_id")), "source_id", "left_semi"))
         if relations:
             edges = saved.select(F.col("id").alias("source_id"), F.explode(F.array(*[F.struct(F.lit(t).alias("target_id"), F.lit(k).alias("relation_type")) for t, k in relations])).alias("e")).select("source_id", "e.*").withColumn("weight", F.lit(1.0))
             self.link(edges)
@@ -119,7 +135,10 @@ class MemoryStore:
         status = lifecycle.update_status(self.memories, row).first()["status"] if fields else "empty"
         if status == "updated":
             changed = lifecycle.update_fold(self.memories, row).filter(F.col("id") == memory_id)
-            self._append("memories", EVENTS, self.spark.createDataFrame(changed.collect(), changed.schema), "put")
+            rows = self.spark.createDataFrame(changed.collect(), changed.schema)
+            self._append("memories", EVENTS, rows, "put")
+            if "content" in fields:
+                self._embedded(rows)
         return status
 
     def forget(self, memory_id: str) -> str:
@@ -144,14 +163,27 @@ class MemoryStore:
     def find_tools(self, query: str, k: int = 3, project: str | None = None, floor: float = 0.35) -> DataFrame:
         return R.find_tools(self.memories, self.vectors, self._queries(query), project, floor, k)
 
-    def session(self, action: str, now: dt.datetime, project: str | None = None, summary: str | None = None) -> DataFrame:
-        """``start`` gives the context, ``save`` stores a summary, ``status`` counts, ``consolidate`` lists the weekly digests due."""
+    def session(self, action: str, now: dt.datetime, project: str | None = None, summary: str | None = None, session_id: str | None = None, **learned: list[str]) -> DataFrame:
+        """``start`` gives the context, ``save`` ends a session, ``status`` counts, ``consolidate`` lists the weekly digests due.
+
+        ``save`` takes a summary and lists of decisions, discoveries and
+        entities, which become memories; a session without an id is new, and
+        one without a project inherits that of the last.
+        """
         at = F.lit(now).cast("timestamp")
         log = self._read("sessions", SESSIONS)
         if action == "save":
-            rows = self.spark.createDataFrame([(f"{now:%Y%m%d%H%M%S}", project, now, summary)], SESSIONS)
-            rows.write.mode("append").parquet(f"{self.folder}/sessions")
-            return rows
+            lists = [learned.get(c) for c in sessions.LEARNED]
+            kinds = ", ".join(f"{c} array<string>" for c in sessions.LEARNED)
+            asked = self.spark.createDataFrame([(session_id or f"{now:%Y%m%d%H%M%S}", project, summary, *lists)], f"id string, project string, summary string, {kinds}")
+            log = latest(log.withColumn("op", F.lit("put")), "id", "ended_at").drop("op")
+            ended, made = sessions.saved(asked, log, at)
+            ended = self.spark.createDataFrame(ended.collect(), ended.schema)  # one row
+            items = [(r["content"], r["type"], [], None, r["meta_source"]) for r in made.orderBy("n").collect()]
+            ended.select("id", "project", F.lit(now).cast("timestamp").alias("started_at"), "summary", "ended_at").write.mode("append").parquet(f"{self.folder}/sessions")
+            if items:
+                self.save(items, now)
+            return ended
         if action == "start":
             return sessions.start(self.memories, log, at, project)
         if action == "status":

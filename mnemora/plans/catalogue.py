@@ -56,11 +56,19 @@ def pairs_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """Where iterative operators write their rounds: the cluster's shared folder, else a temporary one."""
+    """Where iterative operators write their rounds: the cluster's shared folder, else, on a local master, a temporary one."""
+    import atexit
+    import shutil
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="mnemora-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
     return f"{base.rstrip('/')}/mnemora-graph-{uuid.uuid4().hex[:12]}"
 
 

@@ -27,3 +27,17 @@ def test_life_of_a_store(spark, tmp_path):
     s.session("save", NOW, "atlas", "did things")
     assert s.session("start", NOW, "atlas").count() >= 1 and s.session("status", NOW).first()["sessions"] == 1 and s.session("consolidate", NOW).count() == 0
     assert [s.forget(kafka), s.forget(kafka)] == ["deleted", "not_found"] and s.memories.count() == 2
+
+
+def test_revisions_and_sessions(spark, tmp_path):
+    s = MemoryStore(spark, f"file://{tmp_path}/store")
+    old = s.save([("the cache runs on redis with four nodes in the east zone", "decision", [], "atlas", None)], NOW).first()["id"]
+    new = s.save([("the cache no longer runs on redis with four nodes in the east zone", "decision", [], "atlas", None)], NOW, near_duplicate=0.99, revise=(0.6, 0.98)).first()["id"]
+    assert [(r["source_id"], r["target_id"], r["relation_type"]) for r in s.relations.collect()] == [(new, old, "supersedes")]
+    first = s.session("save", NOW, "atlas", "did things", "s1", decisions=["we chose the second plan"], entities=["atlas", "redis", "kafka"]).first()
+    assert (first["project"], first["memories"], first["known"], first["cluster"]) == ("atlas", 4, False, True)
+    again = s.session("save", NOW + dt.timedelta(hours=1), None, "more", "s1", discoveries=["it holds"]).first()
+    assert (again["project"], again["known"], again["cluster"]) == ("atlas", True, False)
+    heir = s.session("save", NOW + dt.timedelta(hours=2), None, "other").first()
+    assert heir["project"] == "atlas" and s.memories.filter("meta_source = 'wrap'").count() == 5
+    assert s.vectors.count() == s.memories.count() == 7
