@@ -9,7 +9,7 @@ from mnemora.functions import text as T
 from mnemora.operators import beliefs, extract, graph, lifecycle, sessions
 from mnemora.operators import recall as R
 from mnemora.plans import oracle as O
-from mnemora.plans.catalogue import _BOTH, _CC, _COMPATIBLE, _TOP, folder, pairs_of, query, query_set, tables
+from mnemora.plans.catalogue import _BOTH, _CC, _COMPATIBLE, _TOP, ORACLES, folder, pairs_of, query, query_set, tables
 from mnemora.sources import sinks, store
 
 _FLAGS = f"""cp AS (SELECT a, b FROM pairs WHERE sim >= 0.4), {_CC.format(p="cp")},
@@ -101,13 +101,9 @@ def lock_lease(spark: SparkSession, d: str) -> DataFrame:
 _MARKED = "marked AS (SELECT substr(md5(doc_id::VARCHAR), 1, 12) AS id, substr(md5((doc_id - 1)::VARCHAR), 1, 12) AS other, doc_id FROM documents WHERE doc_id % 10 IN (1, 2, 3))"
 
 
-@query(
-    f"""WITH {_MARKED}, known AS (SELECT substr(md5(doc_id::VARCHAR), 1, 12) AS id FROM documents)
+ORACLES["marker_classify"] = f"""WITH {_MARKED}, known AS (SELECT substr(md5(doc_id::VARCHAR), 1, 12) AS id FROM documents)
 SELECT id, 'p1a' AS tier, CASE doc_id % 10 WHEN 1 THEN 'passive' ELSE 'active' END AS role, CASE doc_id % 10 WHEN 1 THEN other ELSE id END AS source, CASE doc_id % 10 WHEN 1 THEN id ELSE other END AS target, 'high' AS confidence FROM marked WHERE doc_id % 10 <> 3 AND other IN (SELECT id FROM known)
 UNION ALL SELECT id, 'p1b', 'passive', NULL, id, 'pending' FROM marked WHERE doc_id % 10 = 3"""
-)
-def marker_classes(spark: SparkSession, d: str) -> DataFrame:
-    return extract.markers(_said(spark, d))
 
 
 def _said(spark: SparkSession, d: str) -> DataFrame:
@@ -249,3 +245,69 @@ def session_caps(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     e = store.events(spark, d).withColumn("total", F.sum(F.lit(1000)).over(w))
     return e.select("event_id", (F.col("total") <= 3000).alias("shown"))
+
+
+# --- oracles of queries registered above -----------------------------------
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _re2(pattern: str) -> str:
+    return _quoted(pattern.replace("(?iu)", "(?i)"))
+
+
+def _gate() -> str:
+    """The skip gate's decision list over (conv_id, turn, p, vote): the struct (skip, reason)."""
+    out = lambda skip, reason: f"struct_pack(skip := {str(skip).lower()}, reason := {reason})"
+    first = "CASE " + " ".join(f"WHEN regexp_matches(p, {_re2(r)}) THEN {_quoted(n)}" for n, r in T.TENTATIVE) + " END"
+    bare = "regexp_replace(w, '^[.,!]+|[.,!]+$', '', 'g')"
+    code = f"len(list_filter(ws, lambda w: contains(w, '/') OR contains(w, '_') OR contains(w, '::') OR contains(w, '()') OR (contains({bare}, '.') AND NOT regexp_full_match(replace({bare}, '.', ''), '\\d+')))) > 0"
+    cases = [("length(p) < 10", out(True, "'too_short'")), ("length(p) > 5000", out(False, "'long_prompt'"))]
+    cases += [(f"regexp_matches(p, {_re2(r)})", out(True, _quoted(f"confident:{n}"))) for n, r in T.CONFIDENT]
+    cases += [(f"len(ws) <= 4 AND NOT contains(p, '?') AND NOT ({code})", out(True, "'trivial_short'")), ("len(ws) > 8", out(False, "'substantive_length'"))]
+    cases += [(f"contains(' ' || lower(p) || ' ', ' {m} ') OR starts_with(lower(p), '{m} ')", out(False, _quoted(f"contrast:{m}"))) for m in T.CONTRAST]
+    cases += [("vote IS NULL AND f IS NOT NULL", out(True, "'pattern:' || f || '|llm_fail'")), ("vote IS NULL", out(False, "'default_include|llm_fail'")), ("f IS NOT NULL AND vote = 'skip'", out(True, "'agree_skip:' || f")), ("f IS NULL AND vote = 'include'", out(False, "'agree_include'")), ("f IS NOT NULL", out(False, "'llm_rescue:' || f"))]
+    listed = " ".join(f"WHEN {c} THEN {v}" for c, v in cases)
+    return f"""SELECT conv_id, turn, g.skip AS skip, g.reason AS reason FROM (SELECT conv_id, turn, CASE {listed} ELSE {out(False, "'llm_skip_ignored'")} END AS g FROM (SELECT *, {first} AS f, list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '') AS ws
+FROM (SELECT conv_id, turn, trim(text) AS p, CASE turn % 3 WHEN 0 THEN 'skip' WHEN 1 THEN 'include' END AS vote FROM conversations WHERE role = 'user')))"""
+
+
+ORACLES["skip_gate"] = _gate()
+ORACLES["skip_report"] = f"SELECT reason, count(*) AS n, any_value(skip) AS skip FROM ({_gate()}) GROUP BY reason ORDER BY n DESC, reason LIMIT 20"
+_LIST = lambda words: "[" + ", ".join(map(_quoted, words)) + "]"
+_TRIM = "[,.!?;:''\"()\\[\\]{}]+"
+ORACLES["emotional"] = f"""SELECT id, len(list_filter({_LIST(["met moi", "tam ly", "cam xuc", "lo lang", "dau long", "on dinh lai", "dam tang", "dam cuoi"])}, lambda p: contains(replace(strip_accents(lower(x)), 'đ', 'd'), p))) > 0
+  OR list_has_any(list_transform(regexp_split_to_array(lower(x), '\\s+'), lambda w: regexp_replace(w, '^{_TRIM}|{_TRIM}$', '', 'g')), {_LIST(T.EMOTIONAL_WORDS)}) AS emotional
+FROM (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'Hôm nay mệt mỏi. ' WHEN 1 THEN 'So anxious! ' ELSE '' END || text AS x FROM documents)"""
+ORACLES["saveable"] = f"""SELECT id, substr(hits[1], 1, 120) AS excerpt FROM (SELECT id, x, list_filter(list_transform(string_split(x, chr(10)), lambda l: trim(l)), lambda l: length(l) >= 60 AND (regexp_matches(l, {_quoted("(?i)" + "|".join(T.DECISION_PHRASES))}) OR regexp_matches(l, {_quoted("|".join(T.TECHNICAL_PATTERNS))}))) AS hits
+FROM (SELECT doc_id AS id, ['We decided on the second plan, and this is why it was chosen: ', 'Now at v2.10.3 after a long week of work on all of the parts: ', 'Nothing much to report here today, all is as it was before: '][doc_id % 3 + 1] || text AS x FROM documents)) WHERE length(x) >= 200 AND len(hits) > 0"""
+_CLEAN = "regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`[^`]+`', '', 'g')"
+ORACLES["entities"] = f"""WITH c AS (SELECT doc_id AS id, lower({_CLEAN}) AS low, list_transform(regexp_extract_all(text, '(?i)/Projects/(\\w[\\w-]*)', 1), lambda p: lower(p)) AS paths FROM documents)
+SELECT id, 'atlas' AS name, 'project' AS category FROM c WHERE list_contains(paths, 'atlas') OR contains(low, 'atlas') UNION ALL SELECT id, 'data-lake', 'project' FROM c WHERE list_contains(paths, 'data-lake') OR contains(low, 'data lake') OR contains(low, 'data-lake')
+UNION ALL SELECT id, '/' || s, 'skill' FROM c, (VALUES ('research'), ('ship')) v(s) WHERE regexp_matches(low, '(^|\\W)/' || s || '($|\\W)') UNION ALL SELECT id, t, 'technology' FROM c, (VALUES ('sqlite'), ('and')) v(t) WHERE contains(low, t)"""
+
+ORACLES["judge_cache_key"] = f"WITH {O.VECTORS}, {O.QUERIES}, {O.near(k=5)} SELECT query_id, md5(any_value(query) || chr(0) || array_to_string(list_sort(list(id::VARCHAR)), ',')) AS h FROM near JOIN queries USING (query_id) GROUP BY query_id"
+
+
+def _kinds() -> str:
+    lead = "['It turns out that this holds. ', 'The build failed with exit code 2. ', 'Next step: we need to update the index. ', ''][turn % 4 + 1]"
+    parts = []
+    for group, kinds in extract.GROUPS.items():
+        case = lambda what: "CASE " + " ".join(f"WHEN regexp_matches(x, {_quoted('(?i)' + extract.SIGNALS[k])}) THEN {what(k)}" for k in kinds) + " END"  # noqa: B023, E731
+        keyword = lambda k: f"regexp_extract(x, {_quoted('(?i)' + extract.SIGNALS[k])}, 0)"
+        parts.append(f"SELECT '{group}' AS section, conv_id, turn AS line, {case(_quoted)} AS kind, {case(keyword)} AS keyword FROM said")
+    return f"WITH said AS (SELECT conv_id, turn, {lead} || text AS x FROM conversations) SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE kind IS NOT NULL"
+
+
+@query(_kinds())
+def signal_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Each line's first signal of every group: its kind and the words that show it."""
+    lead = F.get(F.array(*[F.lit(x) for x in ("It turns out that this holds. ", "The build failed with exit code 2. ", "Next step: we need to update the index. ", "")]), (F.col("turn") % 4).cast("int"))
+    c = store.read(spark, d, "conversations").select("conv_id", F.col("turn").alias("line"), F.concat(lead, "text").alias("text"))
+    found = [extract.signals(c, g).select(F.lit(g).alias("section"), "conv_id", "line", "kind", "keyword") for g in extract.GROUPS]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
