@@ -21,12 +21,13 @@ def postings(docs: DataFrame, key: str = "id", text=None) -> DataFrame:
     return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "id", text=None, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "id", text=None, k1: float = K1, b: float = B, only: DataFrame | None = None) -> DataFrame:
     """Scores of (query_id, terms array) against documents: (query_id, key, score, hits).
 
     A document scores the sum over the query's distinct terms.  Documents
     without a term have no row.  Terms are joined by hash, queries broadcast
-    only where Spark finds them small.
+    only where Spark finds them small.  With ``only``, pairs (query_id, key),
+    no others are scored; frequencies are always those of all documents.
     """
     p = docs.select(key, T.tokens(indexed_text() if text is None else text).alias("toks"))
     totals = p.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("mean_len"))
@@ -35,8 +36,12 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "id", text=None, k1: fl
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(totals)).select(key, "term", part.alias("part"))  # one row of totals
-    return scored.join(wanted, "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("hits"))
+    if only is not None:
+        found = only.select("query_id", key).distinct().join(wanted, "query_id").join(tf, [key, "term"])
+        scored = found.join(df, "term").crossJoin(F.broadcast(totals)).select("query_id", key, part.alias("part"))  # one row of totals
+    else:
+        scored = tf.join(df, "term").crossJoin(F.broadcast(totals)).select(key, "term", part.alias("part")).join(wanted, "term")
+    return scored.groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("hits"))
 
 
 def match_all(docs: DataFrame, queries: DataFrame, key: str = "id", text=None) -> DataFrame:

@@ -89,9 +89,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "memory_id")
 def text_leg(memories: DataFrame, queries: DataFrame, mode: str = "all", limit: int = LEG) -> DataFrame:
     """The best ``limit`` memories of each query by BM25: (query_id, id, score, fts_pos)."""
     terms = queries.select("query_id", F.flatten(F.transform(T.query_phrases(F.col("query")), T.tokens)).alias("terms"))
-    scored = fts.bm25(memories, terms)
-    if mode == "all":
-        scored = scored.join(fts.match_all(memories, queries), ["query_id", "id"], "left_semi")
+    scored = fts.bm25(memories, terms, only=fts.match_all(memories, queries) if mode == "all" else None)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("fts_pos", F.row_number().over(w)).filter(F.col("fts_pos") <= limit).select("query_id", "id", "score", "fts_pos")
 
