@@ -34,7 +34,7 @@ from mnemora.operators.graph import components
 #: Bytes of a signature, signatures counted at once, words whose hashes and sets that a process keeps.
 SIG_BYTES, FLUSH, CACHE_WORDS, KEPT_SETS = 5, 1 << 20, 150_000, 64
 #: Least and most logarithm of a mark's length; members up to which a list's pairs come from a join, that a task takes together, and of a block of a longer list.
-MARK_LEAST, MARK_MOST, SHORT, TASK_ROWS, BLOCK = 5, 13, 6, 20_000, 2048
+MARK_LEAST, MARK_MOST, SHORT, TASK_ROWS, BLOCK = 5, 13, 6, 1000, 2048
 #: Members from which on a list is long, and the part of the most possible differences that blocks exceed it by, to leave long lists out.
 LONG, SPARE = 128, 6
 

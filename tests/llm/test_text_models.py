@@ -65,12 +65,10 @@ def tree(rows):
         names = {}
         for node, kids in nodes.items():
             n, once, z = sum(c[0] for c in kids.values()), sum(c[0] == 1 for c in kids.values()), 1.96
-            q = once / n
-            low = (q + z * z / (2 * n) - z * ((q * (1 - q) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n)
-            if low >= 0.2:
-                names.update({(node, s): "*" for s in kids})
-                continue
-            rest = {s: c for s, c in kids.items() if c[1]}
+            low = lambda q: (q + z * z / (2 * n) - z * ((q * (1 - q) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n)  # noqa: B023, E731
+            starred = {s for s, c in kids.items() if low(c[0] / n) < 0.05} if low(once / n) >= 0.2 else set()
+            names.update({(node, s): "*" for s in starred})
+            rest = {s: c for s, c in kids.items() if c[1] and s not in starred}
             for _ in range(2):
                 if not rest:
                     break
@@ -124,8 +122,8 @@ def test_rejected_templates_block_unruled_urls(spark, monkeypatch):
     wild = [(i, f"http://h/m{i}/p") for i in range(60)]
     rules = [("h", f"/m{i}/", "block") for i in range(40)] + [("h", "/fine/", "allow")]
     wild += [(100 + i, "http://h/fine/p") for i in range(8)]
-    parts = [(200 + 30 * k + i, f"http://g/{s}/{i}-x") for k, s in enumerate("abcdef") for i in range(30)]
-    rules += [("g", f"/{s}/{i}-", "block") for s in "abcdef" for i in range(4)] + [("g", "/ok", "allow")]
+    parts = [(200 + 30 * k + i, f"http://g/{s}/{i}-{s}") for k, s in enumerate("abcdef") for i in range(30)]
+    rules += [("g", f"/{s}/{i}-", "block") for s in "abcdef" for i in range(5)] + [("g", "/ok", "allow")]
     parts += [(500 + i, f"http://g/ok/{i}-x") for i in range(60)]
     d = spark.createDataFrame(wild + parts, "page_id long, url string")
 
