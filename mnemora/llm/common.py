@@ -97,6 +97,11 @@ def hold(name: str, clear: Callable[[], object]) -> None:
     _HELD.clear()
     _HELD[name] = clear
     gc.collect()
+    _trim()
+
+
+def _trim() -> None:
+    """Give memory that nothing uses back to the system: idle workers stay, beside those at work."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without it just keeps the memory
         ctypes.CDLL(None).malloc_trim(0)
@@ -109,6 +114,7 @@ def scan(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], sc
         for batch in batches:
             if batch.num_rows and (out := f(batch)) is not None:
                 yield out
+        _trim()
 
     return df.mapInArrow(run, schema)
 

@@ -301,15 +301,18 @@ def _size(n: int) -> tuple[int, int]:
 
 
 def _named(h: np.ndarray, size: tuple[int, int], *more: np.ndarray) -> pa.RecordBatch:
-    """Names, and what goes with them, by bucket; a name that is there more often comes twice."""
+    """Names, and what goes with them, by bucket; a name that is there more often comes twice, and ``extra`` counts the rest."""
     bits, log = size
     value, at, count = np.unique(h, return_index=True, return_counts=True)
+    bucket = lambda x: (x & np.uint64((1 << bits) - 1)) >> np.uint64(bits - log)
+    extra = np.bincount(bucket(value).astype(np.int64), weights=np.maximum(count - 2, 0), minlength=1 << log).astype(np.int64)
     at = np.concatenate([at, at[count > 1]])
-    return dealt((h[at] & np.uint64((1 << bits) - 1)) >> np.uint64(bits - log), log, np.stack([x[at] for x in (h, *more)], axis=1))
+    out = dealt(bucket(h[at]), log, np.stack([x[at] for x in (h, *more)], axis=1))
+    return out.append_column("extra", pa.array(extra[out.column(0).to_numpy()]))
 
 
 def _counted(named: DataFrame, size: tuple[int, int], width: int) -> DataFrame:
-    """Names counted by bucket: slices of bitmaps of those there once and more often, and what goes with single ones."""
+    """Names counted by bucket: slices of bitmaps of those there once and more often, what goes with single ones, and how often the others are there."""
     bits, log = size
 
     def count(t: pa.Table) -> pa.Table:
@@ -319,9 +322,11 @@ def _counted(named: DataFrame, size: tuple[int, int], width: int) -> DataFrame:
         single = np.diff(np.r_[first, len(x)]) == 1
         at = x[first, 0] & np.uint64((1 << (bits - log)) - 1)
         out = [flags(at[single], 1 << (bits - log)), flags(at[~single], 1 << (bits - log)), x[first[single], -1].tobytes()]
-        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()], pa.int32())} | {c: pa.array([v], pa.binary()) for c, v in zip(("once", "again", "key"), out, strict=True)})
+        n = len(x) - int(single.sum()) + sum(t.column("extra").to_pylist())
+        columns = {c: pa.array([v], pa.binary()) for c, v in zip(("once", "again", "key"), out, strict=True)}
+        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()], pa.int32())} | columns | {"n": pa.array([n], pa.int64())})
 
-    return named.groupBy("bucket").applyInArrow(count, "bucket int, once binary, again binary, key binary")
+    return named.groupBy("bucket").applyInArrow(count, "bucket int, once binary, again binary, key binary, n long")
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW, by_words: bool = False, parse: Parse | None = None) -> DataFrame:
@@ -343,7 +348,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     several = scratch.send(bitmap(copies.select(F.xxhash64("key").alias("key")), _size(texts)[0]))
     # a range ends with each trigger, and a range's length after the last end
     about = _size(2 * (symbols_in or 0) // p.ranges[0] + texts)
-    named = "bucket int, raw binary"
+    named = "bucket int, raw binary, extra long"
 
     def cut(batch: pa.RecordBatch) -> Iterator[tuple[Units, np.ndarray]]:
         for data, number, offset, edges in stretches([symbols(t, by_words) for t in batch.column(1).to_pylist()], window):
@@ -357,21 +362,22 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
 
     counts = scratch.table("cores", _counted(distinct_scan(docs, text_col, several, cores, named), about, 1))
     shared = scratch.send(gathered(counts, "again", about[1], about[0]))
+    # only units of shared cores have their hulls counted
+    few = _size(counts.agg(F.sum("n")).first()[0] or 0)
 
     def hulls(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         found = [(u.hull[some], u.core[some]) for u, _ in cut(batch) if (some := in_bitmap(u.core, shared.value)).any()]
         if not found:
             return None
         hull, core = (np.concatenate(x) for x in zip(*found, strict=True))
-        return _named(hull, about, core)
+        return _named(hull, few, core)
 
     def marks(table: str, named_rows: DataFrame, size: tuple[int, int]):
-        """Bitmaps of the hulls there once, of those there again, and of the single ones' cores."""
+        """The counted hulls, and bitmaps of those there once and of their cores."""
         counts = scratch.table(table, _counted(named_rows, size, 2))
-        once, again = (gathered(counts, c, size[1], size[0]) for c in ("once", "again"))
-        return scratch.send(once), scratch.send(again), scratch.send(bitmap(counts, size[0]))
+        return counts, scratch.send(gathered(counts, "once", size[1], size[0])), scratch.send(bitmap(counts, size[0]))
 
-    once, again, needed = marks("hulls", distinct_scan(docs, text_col, several, hulls, named), about)
+    _, once, needed = marks("hulls", distinct_scan(docs, text_col, several, hulls, named), few)
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out = []
@@ -400,10 +406,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
             u = smaller(batch, p, level)
             return _named(u.core[np.r_[np.arange(len(u.row)), np.flatnonzero((batch.column(0).to_numpy() == SETTLED)[u.row])]], size)
 
-        once, again, needed = marks(f"hulls{level}", scan(rest, hulls_of, named), size)
-        if not last:
+        counts, once, needed = marks(f"hulls{level}", scan(rest, hulls_of, named), size)
+        if not last:  # the hulls of single windows are their cores
             counts = scratch.table(f"cores{level}", _counted(scan(rest, cores_of, named), size, 1))
-            again = scratch.send(gathered(counts, "again", size[1], size[0]))
+        again = scratch.send(gathered(counts, "again", size[1], size[0]))
 
         def judge(batch: pa.RecordBatch, level: int = level, last: bool = last, once=once, again=again, needed=needed) -> pa.RecordBatch:
             u = smaller(batch, p, level)
