@@ -3,6 +3,8 @@
 Logistic regression over the presence of words and word beginnings.  Identity
 terms in labelled texts are swapped for others, and the squared change of the
 logit is a penalty in the loss, so a group's mere mention moves no score.
+Each term is swapped for every other of its group and for a word without
+features: terms of a group thus weigh alike, and none of them much.
 The classifier is fitted on a bounded sample of labelled rows; every text is
 scored whole.
 """
@@ -100,8 +102,8 @@ class Classifier:
 def fit(x: list[list[int]], y: np.ndarray, swapped: list[tuple[list[int], list[int]]], n: int, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the log loss, the ridge and the swap penalty.
 
-    ``x`` has each row's features, ``swapped`` the features of labelled rows
-    and of their counterfactuals.  Steps are diagonally scaled gradient steps:
+    ``x`` has each row's features, ``swapped`` the features that each swap
+    takes from a labelled row and adds to it.  Steps are diagonally scaled gradient steps:
     each coordinate's curvature is bounded by a quarter of its rows, times the
     most features of a row, so the loss falls at every step.
     """
@@ -129,14 +131,9 @@ def fit(x: list[list[int]], y: np.ndarray, swapped: list[tuple[list[int], list[i
     return w, float(b)
 
 
-def counterfactuals(there: set[bytes], groups: list[list[bytes]]) -> list[set[bytes]]:
-    """The words of a text with each identity term in turn exchanged for the next of its group that the text lacks."""
-    out = []
-    for group in groups:
-        for k, t in enumerate(group):
-            if t in there and (others := [o for o in group[k + 1 :] + group[:k] if o not in there]):
-                out.append((there - {t}) | {others[0]})
-    return out
+def counterfactuals(there: set[bytes], groups: list[list[bytes]]) -> list[tuple[bytes, bytes | None]]:
+    """The swaps of a text's words: each identity term for every other of its group that the text lacks, and for none."""
+    return [(t, o) for group in groups for t in group if t in there for o in [None, *(o for o in group if o not in there)]]
 
 
 def fold(column, n: int):
@@ -148,17 +145,20 @@ def train(docs: DataFrame, labels: DataFrame, held_fold: int = 1, folds: int = 3
     """Fit on at most ``sample`` labelled documents outside the held-out fold, those of lowest hashed id;
     equal texts among them count once.
 
-    Null labels and ids are left out; an id with several labels counts as
-    toxic if one says so.  Without labelled rows, or with labels of one kind
+    Null labels and ids, and labels without a document, are left out; an id
+    with several labels, or a text with several, counts as toxic if one says
+    so.  Without labelled rows, or with labels of one kind
     only, the classifier has no features and scores every text below a half.
     """
     tune(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "toxicity")
     key = F.col("doc_id").cast("long")
     chosen = labels.select(key.alias("labelled_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(fold(F.col("labelled_id"), folds) != held_fold)
-    chosen = chosen.groupBy("labelled_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(sample)
     d = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.table("sample", d.join(F.broadcast(chosen), d["doc_id"] == chosen["labelled_id"]).select("doc_id", "text", "toxic").dropDuplicates(["text"]))
+    chosen = chosen.groupBy("labelled_id").agg(F.max("toxic").alias("toxic")).join(d.select(F.col("doc_id").alias("labelled_id")), "labelled_id", "left_semi")
+    chosen = scratch.table("chosen", chosen.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(sample))
+    rows = d.join(F.broadcast(chosen), d["doc_id"] == chosen["labelled_id"]).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    rows = scratch.table("sample", rows.select("doc_id", "text", "toxic"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[bytes, list[int]] = {}
@@ -188,15 +188,22 @@ def train(docs: DataFrame, labels: DataFrame, held_fold: int = 1, folds: int = 3
         for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             x.append(sorted(place[f] for f in model.present(text)))
             y.append(toxic)
-            swaps.append([sorted({place[f] for w in other for f in features(w) if f in place}) for other in counterfactuals(set(words(text or "")), groups)])
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), pa.array(y, pa.int32()), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], ["x", "y", "swapped"])
+            there = set(words(text or ""))
+            swaps.append([changed(there, out, put) for out, put in counterfactuals(there, groups)])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), pa.array(y, pa.int32()), pa.array(swaps, pa.list_(pa.list_(pa.list_(pa.int32()))))], ["x", "y", "swapped"])
 
-    got = scan(rows.orderBy("doc_id"), vector, "x array<int>, y int, swapped array<array<int>>").collect()  # at most ``sample`` rows of few numbers
+    def changed(there: set[bytes], out: bytes, put: bytes | None) -> list[list[int]]:
+        """The features that a swap takes away and those that it adds; all others stay."""
+        others = {f for w in there - {out} for f in features(w)}
+        gone, come = set(features(out)) - others, set(features(put)) - others if put else set()
+        return [sorted(at[f] for f in fs if f in at) for fs in (gone - come, come - gone)]
+
+    got = scan(rows.orderBy("doc_id"), vector, "x array<int>, y int, swapped array<array<array<int>>>").collect()  # at most ``sample`` rows of few numbers
     scratch.drop()
     y = np.array([1.0 if r["y"] else 0.0 for r in got])
     if not told or not len(y) or y.min() == y.max():
         return Classifier()
-    w, b = fit([r["x"] for r in got], y, [(r["x"], other) for r in got for other in r["swapped"]], len(names))
+    w, b = fit([r["x"] for r in got], y, [(a, b) for r in got for a, b in r["swapped"]], len(names))
     return Classifier({f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-6}, b)
 
 
@@ -217,6 +224,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below the threshold."""
+    """The rows of ``docs``, all columns, whose text scores below the threshold.
+
+    Null and empty texts stay, and so do rows with a null id; an empty table gives none.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     return docs.mapInArrow(lambda it: (b.filter(pa.array([model.value.score(t) < threshold for t in b.column("text").to_pylist()], pa.bool_())) for b in it), docs.schema)

@@ -294,28 +294,60 @@ def test_held_out_accuracy(spark):
 
 
 def test_counterfactuals_of_every_term():
-    groups = [[b"a", b"b", b"c"], [b"x", b"y"]]
+    groups = [[b"a", b"b", b"c", b"d"], [b"x", b"y"]]
     got = toxicity.counterfactuals({b"a", b"b", b"x", b"other"}, groups)
-    assert got == [{b"c", b"b", b"x", b"other"}, {b"a", b"c", b"x", b"other"}, {b"a", b"b", b"y", b"other"}]
-    assert toxicity.counterfactuals({b"x", b"y"}, groups) == [] and toxicity.counterfactuals(set(), groups) == []
+    assert got == [(b"a", None), (b"a", b"c"), (b"a", b"d"), (b"b", None), (b"b", b"c"), (b"b", b"d"), (b"x", None), (b"x", b"y")]
+    assert toxicity.counterfactuals(set(), groups) == []
 
 
 def test_identity_terms_carry_no_score(spark, monkeypatch):
-    """Planted group mentions that go with toxic labels: neutral ones are scored alike with the penalty, and apart without."""
+    """Planted mentions that go with toxic labels: with the penalty a term weighs no more than any other of its group or none at all, without it much."""
     rng = np.random.default_rng(3)
     filler = lambda: " ".join(f"w{x}" for x in rng.integers(0, 400, 30))
-    for term, other in (("muslim", "protestant"), ("einwanderer", "europäer"), ("gitanos", "inmigrantes"), ("juifs", "musulmans")):
+    for term, others in (("muslim", ["hindu", "protestant", "atheist"]), ("einwanderer", ["europäer", "afrikaner"]), ("gitanos", ["africanos"]), ("juifs", ["sikhs", "bouddhistes"])):
         rows = [(i, f"{filler()} {term if i % 10 else ''} {'idiot' if i % 3 else 'trash'}", 1) for i in range(120)]
         rows += [(200 + i, f"{filler()} {term if i % 10 == 0 else ''}", 0) for i in range(240)]
         d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
         lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-        gap = {}
+        gap, alarm = {}, {}
         for swap in (1.0, 0.0) if term == "muslim" else (1.0,):
             monkeypatch.setattr(toxicity, "SWAP", swap)
             m = toxicity.train(d, lab)
-            gap[swap] = abs(m.score(f"we met a {term} neighbour") - m.score(f"we met a {other} neighbour"))
+            logit = lambda text: m.bias + sum(m.weights[f] for f in m.present(text))  # noqa: B023, E731
+            gap[swap] = max(abs(logit(f"we met a {term} neighbour") - logit(f"we met a {o} neighbour")) for o in others)
+            alarm[swap] = logit(f"we met a {term} neighbour") - logit("we met a neighbour")
             assert m.score("an idiot and trash") > 0.5
-        assert gap[1.0] < 0.05 and gap.get(0.0, 1.0) > 0.2
+        assert gap[1.0] < 0.3 and abs(alarm[1.0]) < 0.3
+        assert min(gap.get(0.0, 9), alarm.get(0.0, 9)) > 1
+
+
+def test_false_alarms_on_neutral_mentions_fall(spark, monkeypatch):
+    """A term in nearly every toxic text and few clean ones: neutral sentences that name any of its group are rejected without the penalty only."""
+    rng = np.random.default_rng(5)
+    filler = lambda: " ".join(f"w{x}" for x in rng.integers(0, 200, 12))
+    bad = ["idiot", "trash", "scum"]
+    rows = [(i, f"{filler()} muslim {bad[i % 3] if i % 5 else ''}", 1) for i in range(200)] + [(300 + i, filler() + (" muslim" if i % 40 == 0 else ""), 0) for i in range(300)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    alarms = {}
+    for swap in (1.0, 0.0):
+        monkeypatch.setattr(toxicity, "SWAP", swap)
+        m = toxicity.train(d, lab)
+        alarms[swap] = sum(m.score(f"{filler()} {t}") >= 0.5 for t in ("muslim", "hindu", "jewish", "sikh") for _ in range(10))
+        assert m.score(f"{filler()} muslim idiot scum trash") > 0.5
+    assert alarms[1.0] == 0 and alarms[0.0] >= 10
+
+
+def test_labels_of_equal_texts_and_without_documents(spark):
+    """Equal texts with different labels count as toxic, in any order; labels without a document do not use up the sample."""
+    texts = [f"w{i % 7} {'idiot' if i % 2 else 'fine'} w{i}" for i in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts)]
+    lab = [(i, i % 2) for i in range(80)] + [(1000 + i, 0) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [toxicity.train(d.orderBy(F.col("doc_id") * s), spark.createDataFrame(lab[::s], "doc_id long, toxic int"), folds=1) for s in (1, -1)]
+    assert models[0] == models[1] and models[0].score("w3 idiot") > 0.5 > models[0].score("w3 fine")
+    ghosts = spark.createDataFrame([(10_000 + i, 1) for i in range(500)] + lab, "doc_id long, toxic int")
+    assert toxicity.train(d, ghosts, folds=1, sample=200) == models[0]
 
 
 def test_fit_by_plain_loops():
