@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import scoring as S
 from mnemora.functions import text as T
+from mnemora.operators import graph
 from mnemora.operators.graph import components
 from mnemora.operators.recall import compatible
-from mnemora.operators.vectors import top_neighbours
+from mnemora.operators.vectors import similar_pairs, top_neighbours
 from mnemora.scorers import reversal_classifier
 
 
@@ -106,6 +107,21 @@ def auto_revisions(pairs: DataFrame, memories: DataFrame, low: float = 0.80, hig
     return said.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("c.verdict").alias("relation_type"), F.col("c.confidence").alias("weight"))
 
 
+def batch_duplicates(probes: DataFrame, threshold: float, folder: str) -> DataFrame:
+    """Rows of a batch (n, id, type, project, embedding) that saving one by one would skip: (id, matched).
+
+    In order of n, a row is skipped if it is close to an earlier row that is
+    saved, of its type and a compatible project; ``matched`` is the closest.
+    """
+    pairs = similar_pairs(probes, threshold, key="n")
+    side = lambda s: probes.select(F.col("n").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "type", "project")])
+    close = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("type_a") == F.col("type_b")) & compatible(F.col("project_a"), F.col("project_b")))
+    chosen = graph.first_independent(close.select("a", "b"), folder)
+    kept = close.join(chosen.filter("kept").select(F.col("node").alias("a")), "a", "left_semi")
+    kept = kept.join(chosen.filter("not kept").select(F.col("node").alias("b")), "b", "left_semi")
+    return kept.groupBy(F.col("id_b").alias("id")).agg(F.max_by("id_a", F.struct("sim", "id_a")).alias("matched"))
+
+
 def clusters(pairs: DataFrame, memories: DataFrame, relations: DataFrame, now, threshold: float, least: int = 3, most: int = 3, k: int = 10) -> DataFrame:
     """Greedy clusters (project, type, seed, member): seeds oldest first, members not used again, ``most`` clusters in all.
 

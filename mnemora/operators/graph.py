@@ -38,6 +38,27 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def first_independent(edges: DataFrame, folder: str) -> DataFrame:
+    """The lexicographically first independent set of edges (a, b), a < b: (node, kept) of every node with an edge.
+
+    It is what a loop over the nodes in order keeps, a node being left out if
+    an earlier neighbour was kept.  All nodes whose earlier neighbours are
+    decided are decided at once: a node without any that could still be kept
+    is kept, and its later neighbours are out.  There are as many rounds as
+    the longest chain of such decisions; each is written to ``folder``.
+    """
+    e = _written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), folder)
+    nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
+    out = e.select(F.col("b").alias("node")).limit(0)
+    while not e.isEmpty():
+        free = e.select("a").distinct().join(e.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = _written(e.join(free, "a", "left_semi").select(F.col("b").alias("node")).distinct(), folder)
+        out = out.unionByName(gone)
+        # edges of nodes that are out say nothing; those of a kept node all lead to such nodes
+        e = _written(e.join(gone.select(F.col("node").alias("b")), "b", "left_anti").join(gone.select(F.col("node").alias("a")), "a", "left_anti"), folder)
+    return nodes.join(out.withColumn("out", F.lit(True)), "node", "left").select("node", F.col("out").isNull().alias("kept"))
+
+
 def degree(relations: DataFrame) -> DataFrame:
     """(id, degree): edges touching a node, a self-loop once."""
     ends = relations.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"))

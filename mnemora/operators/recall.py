@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from mnemora.functions import scoring as S
 from mnemora.functions import text as T
 from mnemora.operators import fts
+from mnemora.operators.textindex import TextIndex
 
 LEG = 20
 #: Query vectors held at once in a scan of all vectors.
@@ -86,19 +87,26 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "memory_id")
     return out.withColumn("vec_pos", F.row_number().over(w)).filter(F.col("vec_pos") <= k)
 
 
-def text_leg(memories: DataFrame, queries: DataFrame, mode: str = "all", limit: int = LEG) -> DataFrame:
-    """The best ``limit`` memories of each query by BM25: (query_id, id, score, fts_pos)."""
+def text_leg(memories: DataFrame, queries: DataFrame, mode: str = "all", limit: int = LEG, index: TextIndex | None = None) -> DataFrame:
+    """The best ``limit`` memories of each query by BM25: (query_id, id, score, fts_pos).
+
+    With ``index``, that of these memories, only the queries' terms are read;
+    without one, all texts are.
+    """
     terms = queries.select("query_id", F.flatten(F.transform(T.query_phrases(F.col("query")), T.tokens)).alias("terms"))
-    scored = fts.bm25(memories, terms, only=fts.match_all(memories, queries) if mode == "all" else None)
+    if index is not None and mode != "all":
+        return index.top(terms, limit)
+    scored = index.match_all(queries) if index is not None else fts.bm25(memories, terms, only=fts.match_all(memories, queries) if mode == "all" else None)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("fts_pos", F.row_number().over(w)).filter(F.col("fts_pos") <= limit).select("query_id", "id", "score", "fts_pos")
 
 
-def recall(memories: DataFrame, vectors: DataFrame, relations: DataFrame, queries: DataFrame, k: int = 5, *, kind: str | None = None, project: str | None = None, since: Column | None = None, mode: str = "post", text_mode: str = "all") -> DataFrame:
+def recall(memories: DataFrame, vectors: DataFrame, relations: DataFrame, queries: DataFrame, k: int = 5, *, kind: str | None = None, project: str | None = None, since: Column | None = None, mode: str = "post", text_mode: str = "all", index: TextIndex | None = None) -> DataFrame:
     """The k best memories of each query (query_id, query, vec): (query_id, pos, id, type, score, fts_hit, vec_hit).
 
     ``post`` filters after each leg's top 20, ``pre`` before them.  A query
-    without terms falls back to its vector leg, with fts_hit null.
+    without terms falls back to its vector leg, with fts_hit null.  ``index``
+    is the stored index of all memories; ``pre`` scores the filtered texts.
     """
     keep = scope(project, kind)
     if kind is not None:
@@ -109,7 +117,7 @@ def recall(memories: DataFrame, vectors: DataFrame, relations: DataFrame, querie
     pool, vecs = memories, vectors
     if mode == "pre":
         pool, vecs = allowed, vectors.join(allowed.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
-    texts, near = text_leg(pool, queries, text_mode), knn(vecs, queries, LEG)
+    texts, near = text_leg(pool, queries, text_mode, index=index if mode == "post" else None), knn(vecs, queries, LEG)
     both = texts.select("query_id", "id", "fts_pos").join(near.select("query_id", "id", "vec_pos"), ["query_id", "id"], "full")
     blank = queries.select("query_id", (F.size(T.query_phrases(F.col("query"))) == 0).alias("blank"))
     rows = both.join(allowed.select("id", "type", "importance", "created_at"), "id").join(blank, "query_id")
@@ -119,13 +127,16 @@ def recall(memories: DataFrame, vectors: DataFrame, relations: DataFrame, querie
     return rows.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
 
-def hook_rank(memories: DataFrame, vectors: DataFrame, relations: DataFrame, queries: DataFrame, now: Column, project: str | None = None, k: int = 8) -> DataFrame:
-    """The prompt path's ranking: any-of text leg and vector leg with 0-based places, type tiers and today's bonus."""
+def hook_rank(memories: DataFrame, vectors: DataFrame, relations: DataFrame, queries: DataFrame, now: Column, project: str | None = None, k: int = 8, index: TextIndex | None = None) -> DataFrame:
+    """The prompt path's ranking: any-of text leg and vector leg with 0-based places, type tiers and today's bonus.
+
+    ``index`` is the stored index of all memories; frequencies are those of the pool.
+    """
     ok = hook_scope(project) & ~F.col("type").isin("tool", "session") & (F.coalesce("importance", F.lit(0.5)) >= 0.3)
     pool = current(memories.filter(ok), relations)
     words = queries.select("query_id", F.array_distinct(F.flatten(F.transform(T.any_words(F.col("query")), T.tokens))).alias("terms"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    texts = fts.bm25(pool, words).withColumn("f", F.row_number().over(w) - 1).filter(F.col("f") < LEG)
+    texts = (fts.bm25(pool, words) if index is None else index.bm25_within(words, pool)).withColumn("f", F.row_number().over(w) - 1).filter(F.col("f") < LEG)
     near = knn(vectors.join(pool.select(F.col("id").alias("memory_id")), "memory_id", "left_semi"), queries, LEG)
     both = texts.select("query_id", "id", "f").join(near.select("query_id", "id", (F.col("vec_pos") - 1).alias("v")), ["query_id", "id"], "full").join(pool.select("id", "type", "importance", "created_at"), "id")
     today = F.to_date("created_at") == F.to_date(now)
