@@ -11,7 +11,7 @@ from mnemora.deploy import ship
 from mnemora.functions import scoring as S
 from mnemora.functions import telex
 from mnemora.functions import text as T
-from mnemora.operators import beliefs, extract, fts, graph, lifecycle, sessions, vectors
+from mnemora.operators import beliefs, extract, fts, graph, lifecycle, sessions, textindex, vectors
 from mnemora.operators import recall as R
 from mnemora.plans import oracle as O
 from mnemora.sources import store
@@ -72,12 +72,24 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/mnemora-graph-{uuid.uuid4().hex[:12]}"
 
 
+_INDEXES: dict[tuple, textindex.TextIndex] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> textindex.TextIndex:
+    """The stored index of a folder's memories, written once a session and version of its files."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    key = (spark.sparkContext.applicationId, d, *sorted(docs.inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = textindex.indexed(spark, folder(spark), store.memories(spark, d).select("id", fts.indexed_text().alias("text")))
+    return _INDEXES[key]
+
+
 # --- recall ---------------------------------------------------------------
 
 
 @query(O.recall())
 def recall_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return R.recall(*tables(spark, d), k=5)
+    return R.recall(*tables(spark, d), k=5, index=index_of(spark, d))
 
 
 @query(f"WITH {O.MEMORIES}, {O.RELATIONS}, {O.VECTORS}, {O.QUERIES}, {O.LIVE}, {O.near()} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INT AS pos, id, s AS score FROM (SELECT query_id, n.id, round(1::DOUBLE / (60 + vec_pos) * (0.5::DOUBLE + 0.5::DOUBLE * coalesce(importance, 0.5::DOUBLE)), 9) AS s FROM near n JOIN live l ON n.id = l.id) QUALIFY pos <= 5")
@@ -88,12 +100,12 @@ def recall_vector_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query(O.recall(where="(project = 'src3' OR project IS NULL)"))
 def recall_scoped(spark: SparkSession, d: str) -> DataFrame:
-    return R.recall(*tables(spark, d), k=5, project="src3")
+    return R.recall(*tables(spark, d), k=5, project="src3", index=index_of(spark, d))
 
 
 @query(O.recall(where=f"type = 'decision' AND created_at >= {O.AS_OF} - INTERVAL 60 DAY"))
 def recall_time_range(spark: SparkSession, d: str) -> DataFrame:
-    return R.recall(*tables(spark, d), k=5, kind="decision", since=store.as_of() - F.expr("interval 60 days"))
+    return R.recall(*tables(spark, d), k=5, kind="decision", since=store.as_of() - F.expr("interval 60 days"), index=index_of(spark, d))
 
 
 _HOOK_POOL = f"{O.LIVE}, pool AS (SELECT * FROM live WHERE (project = 'src3' OR project IS NULL) AND type NOT IN ('tool', 'session') AND coalesce(importance, 0.5::DOUBLE) >= 0.3::DOUBLE)"
@@ -112,7 +124,7 @@ s AS (SELECT query_id, b.id, p.type, coalesce(importance, 0.5::DOUBLE) AS imp, r
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, imp DESC, id)::INT AS pos, id, type, score FROM s QUALIFY pos <= 8"""
 )
 def hook_rank(spark: SparkSession, d: str) -> DataFrame:
-    return R.hook_rank(*tables(spark, d), store.as_of(), project="src3")
+    return R.hook_rank(*tables(spark, d), store.as_of(), project="src3", index=index_of(spark, d))
 
 
 @query(
@@ -137,18 +149,43 @@ def tool_fts_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {O.MEMORIES}, {O.QUERIES}, {O.TEXT} SELECT query_id, id FROM all_of")
 def fts_and_match(spark: SparkSession, d: str) -> DataFrame:
-    return fts.match_all(store.memories(spark, d), query_set(spark, d))
+    return index_of(spark, d).match_all(query_set(spark, d)).select("query_id", "id")
 
 
 @query(f"WITH {O.MEMORIES}, {O.QUERIES}, {O.TEXT} SELECT query_id, id, hits FROM bm")
 def fts_or_match(spark: SparkSession, d: str) -> DataFrame:
     q = query_set(spark, d).select("query_id", F.flatten(F.transform(T.query_phrases(F.col("query")), T.tokens)).alias("terms"))
-    return fts.bm25(store.memories(spark, d), q).select("query_id", "id", "hits")
+    return index_of(spark, d).bm25(q).select("query_id", "id", "hits")
+
+
+@query(f"WITH {O.MEMORIES}, {O.QUERIES}, {O.TEXT} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS fts_pos FROM bm QUALIFY fts_pos <= 20")
+def fts_any_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The best 20 by any term, stripes whose bound misses the bar being left unread."""
+    return R.text_leg(store.memories(spark, d), query_set(spark, d), "any", index=index_of(spark, d))
+
+
+_EDITED = f"{O.MEMORIES.replace('m0 AS (SELECT doc_id AS id, text AS content', 'm0 AS (SELECT doc_id AS id, CASE WHEN doc_id % 100 = 7 THEN {text} ELSE text END AS content').replace('FROM documents)', 'FROM documents WHERE doc_id % 100 <> 9)')}"
+
+
+@query(f"WITH {_EDITED.replace('{text}', 'substr(text, 1, length(text) // 2)')}, {O.QUERIES}, {O.TEXT} SELECT query_id, id, score, hits FROM bm")
+def fts_after_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Scores after one commit that changes some texts and one that deletes some: an index of its own, updated in place."""
+    m = store.memories(spark, d)
+    text = fts.indexed_text().alias("text")
+    index = textindex.indexed(spark, folder(spark), m.select("id", text))
+    changed = m.filter("id % 100 = 7")
+    halved = changed.withColumn("content", F.substring("content", F.lit(1), F.floor(F.length("content") / 2).cast("int")))
+    with index.log.commit() as c:
+        index.write(c, halved.select("id", text), changed.select("id", text))
+    with index.log.commit() as c:
+        index.write(c, None, m.filter("id % 100 = 9").select("id", text))
+    q = query_set(spark, d).select("query_id", F.flatten(F.transform(T.query_phrases(F.col("query")), T.tokens)).alias("terms"))
+    return index.bm25(q)
 
 
 @query(f"WITH {O.MEMORIES}, {O.QUERIES}, {O.TEXT}, {O.LEGS} SELECT query_id, id, fts_pos::INT AS fts_pos FROM texts")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.text_leg(store.memories(spark, d), query_set(spark, d)).select("query_id", "id", "fts_pos")
+    return R.text_leg(store.memories(spark, d), query_set(spark, d), index=index_of(spark, d)).select("query_id", "id", "fts_pos")
 
 
 @query("SELECT item_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: regexp_matches(t, '[\\p{L}\\p{N}]'))[1:16], lambda t: '\"' || replace(t, '\"', '\"\"') || '\"'), ' ') AS match FROM benchmark")
