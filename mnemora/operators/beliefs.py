@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,31 +121,22 @@ def batch_duplicates(probes: DataFrame, threshold: float, folder: str) -> DataFr
     return kept.groupBy(F.col("id_b").alias("id")).agg(F.max_by("id_a", F.struct("sim", "id_a")).alias("matched"))
 
 
-def clusters(pairs: DataFrame, memories: DataFrame, relations: DataFrame, now, threshold: float, least: int = 3, most: int = 3, k: int = 10) -> DataFrame:
+def clusters(pairs: DataFrame, memories: DataFrame, relations: DataFrame, now, threshold: float, folder: str, least: int = 3, most: int = 3, k: int = 10) -> DataFrame:
     """Greedy clusters (project, type, seed, member): seeds oldest first, members not used again, ``most`` clusters in all.
 
     Candidates are older than a week, made by no consolidation, not tools,
     preferences or sessions, and no end of a part_of edge.  A neighbour must
-    be among the seed's k nearest of all memories.  A group's pairs are
-    folded in order by one task; groups are a project's memories of a type.
+    be among the seed's k nearest of all memories.  The choice is that of a
+    loop over the seeds in order, made in rounds over all of them.
     """
     ends = relations.filter("relation_type = 'part_of'").select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
     ok = ~F.col("type").isin("tool", "preference", "session") & (F.col("created_at") < now - F.expr("interval 7 days")) & (F.coalesce("meta_source", F.lit("")) != "consolidation")
     pool = memories.filter(ok).join(ends, "id", "left_anti")
     near = sided(top_neighbours(pairs, k).filter(F.col("sim") >= threshold), pool, "type", "project", "created_at")
     near = near.filter((F.col("type_a") == F.col("type_b")) & F.col("project_a").eqNullSafe(F.col("project_b")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for (_, seed), group in pdf.sort_values(["created_at_a", "a", "pos"]).groupby(["created_at_a", "a"], sort=False):
-            members = [b for b in group["b"] if b not in used]
-            if seed in used or len(members) + 1 < least:
-                continue
-            used.update([seed, *members])
-            rows += [(pdf["project_a"].iloc[0], pdf["type_a"].iloc[0], seed, m, group["created_at_a"].iloc[0]) for m in [seed, *members]]
-        return pd.DataFrame(rows, columns=["project", "type", "seed", "member", "at"])
-
-    found = near.groupBy("project_a", "type_a").applyInPandas(fold, "project string, type string, seed long, member long, at timestamp")
+    stars = near.select(F.struct(F.col("created_at_a").alias("at"), F.col("a").alias("id")).alias("seed"), F.col("b").alias("member"))
+    found = graph.greedy_stars(stars, least, folder).select(F.col("seed.id").alias("seed"), "member", F.col("seed.at").alias("at"))
+    found = found.join(pool.select(F.col("id").alias("seed"), "project", "type"), "seed")
     order = found.select("project", "type", "seed", "at").distinct().orderBy(F.col("project").asc_nulls_first(), "type", "at", "seed").limit(most)
     return found.join(order.select("seed"), "seed", "left_semi").select("project", "type", "seed", "member")
 

@@ -59,6 +59,36 @@ def first_independent(edges: DataFrame, folder: str) -> DataFrame:
     return nodes.join(out.withColumn("out", F.lit(True)), "node", "left").select("node", F.col("out").isNull().alias("kept"))
 
 
+def greedy_stars(stars: DataFrame, least: int, folder: str) -> DataFrame:
+    """Disjoint stars as a loop would choose them: (seed, member), each seed being a member of its own.
+
+    ``stars`` are (seed, member) without the seeds' own rows, a seed being a
+    struct (at, id) in whose order the loop goes.  The loop takes a seed that
+    no star before it used, with those of its members that none used, if they
+    are ``least`` or more with itself.
+
+    In each round all seeds are decided whose nodes no earlier open seed has:
+    they share no node, so their order does not matter.  Open seeds that are
+    used, or have too few members left, can never be taken and go at once.
+    Each round is written to ``folder``; a node's seeds are told apart by
+    their least, so no seed, node or group is gathered in a task.
+    """
+    own = stars.select("seed", F.col("seed.id").alias("member")).distinct()
+    t = stars.filter("member != seed.id").unionByName(own).distinct()
+    big = t.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("seed")
+    t = _written(t.join(big, "seed", "left_semi"), folder)
+    out = t.limit(0)
+    while not t.isEmpty():
+        first = t.groupBy("member").agg(F.min("seed").alias("first"))
+        ready = t.join(first, "member").groupBy("seed").agg(F.bool_and(F.col("first") == F.col("seed")).alias("ready")).filter("ready").select("seed")
+        taken = _written(t.join(ready, "seed", "left_semi"), folder)
+        out = out.unionByName(taken)
+        rest = t.join(taken.select("member").distinct(), "member", "left_anti")
+        open_ = rest.groupBy("seed").agg(F.count("*").alias("n"), F.bool_or(F.col("member") == F.col("seed.id")).alias("free")).filter((F.col("n") >= least) & F.col("free"))
+        t = _written(rest.join(open_.select("seed"), "seed", "left_semi"), folder)
+    return out.select("seed", "member")
+
+
 def degree(relations: DataFrame) -> DataFrame:
     """(id, degree): edges touching a node, a self-loop once."""
     ends = relations.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"))

@@ -214,15 +214,21 @@ def l2_to_cosine(spark: SparkSession, d: str) -> DataFrame:
     return v.select("memory_id", F.round(vectors.cosine_of_distance(vectors.norm(diff)), 4).alias("cosine"))
 
 
-@query()
+_DEDUP = f"""WITH RECURSIVE {O.VECTORS}, {O.QUERIES}, {O.near(k=12)},
+close AS (SELECT n.query_id, n.id, n.vec_pos, list(o.id) FILTER (o.vec_pos < n.vec_pos AND list_cosine_similarity(a.embedding, b.embedding) >= 0.3) AS close FROM near n JOIN near o ON o.query_id = n.query_id JOIN vectors a ON a.memory_id = n.id JOIN vectors b ON b.memory_id = o.id GROUP BY n.query_id, n.id, n.vec_pos),
+step(query_id, pos, kept) AS (SELECT DISTINCT query_id, 0::BIGINT, []::BIGINT[] FROM near UNION ALL SELECT s.query_id, c.vec_pos, CASE WHEN list_has_any(s.kept, coalesce(c.close, [])) THEN s.kept ELSE list_append(s.kept, c.id) END FROM step s JOIN close c ON c.query_id = s.query_id AND c.vec_pos = s.pos + 1),
+pool AS (SELECT n.query_id, n.id, n.vec_pos::INT AS pos FROM near n JOIN (SELECT query_id, arg_max(kept, pos) AS kept FROM step GROUP BY query_id) k ON k.query_id = n.query_id WHERE list_contains(k.kept, n.id))"""
+
+
+@query(f"{_DEDUP} SELECT query_id, id, pos FROM pool")
 def pool_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy suppression within each query's pool; order-dependent, so tested against a plain loop."""
+    """Greedy suppression within each query's pool; the oracle goes through each pool in order."""
     v = store.memory_vectors(spark, d)
     pool = R.knn(v, query_set(spark, d), 12).join(v.withColumnRenamed("memory_id", "id"), "id")
     return vectors.keep_distinct(pool.select("query_id", "id", F.col("vec_pos").alias("pos"), "embedding"), 0.3)
 
 
-@query()
+@query(f"{_DEDUP} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pos)::INT AS n FROM pool WHERE pos > 3 QUALIFY n <= 3")
 def section_filter(spark: SparkSession, d: str) -> DataFrame:
     """A section's candidates that are close to nothing shown before them."""
     kept = pool_dedup(spark, d)
@@ -289,11 +295,22 @@ def supersede_candidates(spark: SparkSession, d: str) -> DataFrame:
     return beliefs.supersede_candidates(pairs_of(spark, d), store.memories(spark, d), store.relations(spark, d), 0.3, 0.97, classify=yes).select("newer", "older", "sim")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {O.MEMORIES}, {O.RELATIONS}, {O.VECTORS}, {O.PAIRS}, {_TOP.format(k=50)},
+ends AS (SELECT source_id AS id FROM relations WHERE relation_type = 'part_of' UNION SELECT target_id FROM relations WHERE relation_type = 'part_of'),
+pool AS (SELECT * FROM memories WHERE type NOT IN ('tool', 'preference', 'session') AND created_at < {O.AS_OF} - INTERVAL 7 DAY AND coalesce(meta_source, '') <> 'consolidation' AND id NOT IN (SELECT id FROM ends)),
+star AS (SELECT a.type, a.created_at, t.a AS seed, list(t.b) AS near FROM top t JOIN pool a ON t.a = a.id JOIN pool b ON t.b = b.id WHERE a.type = b.type AND t.sim >= 0.3 GROUP BY a.type, a.created_at, t.a),
+line AS (SELECT *, row_number() OVER (ORDER BY created_at, seed) AS n FROM star),
+step(n, used, seed, got) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT[] UNION ALL
+  SELECT l.next, CASE WHEN take THEN list_concat(used, list_append(free, l.seed)) ELSE used END, CASE WHEN take THEN l.seed END, CASE WHEN take THEN list_append(free, l.seed) END
+  FROM (SELECT s.n, s.used, l.seed, l.n AS next, list_filter(l.near, lambda x: NOT list_contains(s.used, x)) AS free, NOT list_contains(s.used, l.seed) AND len(list_filter(l.near, lambda x: NOT list_contains(s.used, x))) >= 2 AS take FROM step s JOIN line l ON l.n = s.n + 1) l),
+best AS (SELECT l.type, l.created_at, s.seed, s.got FROM step s JOIN line l ON l.seed = s.seed ORDER BY l.type, l.created_at, s.seed LIMIT 3)
+SELECT NULL::VARCHAR AS project, type, seed, unnest(got) AS member FROM best"""
+)
 def cluster_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy clusters; order-dependent, so tested against a plain loop."""
+    """Greedy clusters of one project that holds all memories; the oracle goes through the seeds in order."""
     m = store.memories(spark, d).withColumn("project", F.lit(None).cast("string"))
-    return beliefs.clusters(pairs_of(spark, d), m, store.relations(spark, d), store.as_of(), 0.3, k=50)
+    return beliefs.clusters(pairs_of(spark, d), m, store.relations(spark, d), store.as_of(), 0.3, folder(spark), k=50)
 
 
 @query(

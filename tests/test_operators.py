@@ -51,15 +51,15 @@ def test_classifier_guards(spark):
     assert got == [("supersedes", 1.0), ("contradicts", 0.9), ("unrelated", 1.0), ("unrelated", 0.0)]
 
 
-def test_clusters_by_hand(spark):
+def test_clusters_by_hand(spark, tmp_path):
     m = memories(spark, [(i, "c", "pattern", "p", 20 - i) for i in range(1, 7)] + [(9, "c", "pattern", "p", 2)])
     sims = pairs(spark, [(1, 2, 0.9), (1, 3, 0.9), (2, 4, 0.9), (4, 5, 0.9), (4, 6, 0.9), (1, 9, 0.99)])
-    got = beliefs.clusters(sims, m, relations(spark, []), now(), 0.65)
+    got = beliefs.clusters(sims, m, relations(spark, []), now(), 0.65, f"file://{tmp_path}/r")
     assert {(r["seed"], r["member"]) for r in got.collect()} == {(1, 1), (1, 2), (1, 3), (4, 4), (4, 5), (4, 6)}
     # the members are ends of part_of edges after the run, so a second run finds nothing
     edges = relations(spark, [(x, 100, "part_of") for x in range(1, 7)])
-    assert beliefs.clusters(sims, m, edges, now(), 0.65).count() == 0
-    assert beliefs.clusters(sims, m, relations(spark, []), now(), 0.65, most=1).select("seed").distinct().count() == 1
+    assert beliefs.clusters(sims, m, edges, now(), 0.65, f"file://{tmp_path}/r").count() == 0
+    assert beliefs.clusters(sims, m, relations(spark, []), now(), 0.65, f"file://{tmp_path}/r", most=1).select("seed").distinct().count() == 1
 
 
 def test_merge_and_cleanup(spark, tmp_path):

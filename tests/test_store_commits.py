@@ -190,3 +190,30 @@ def test_first_independent_set_equals_the_loop(spark, tmp_path, seed):
     df = spark.createDataFrame(edges, "a long, b long")
     assert sorted(map(tuple, graph.first_independent(df, f"file://{tmp_path}/r").collect())) == greedy(edges)
     assert graph.first_independent(df.limit(0), f"file://{tmp_path}/r").count() == 0
+
+
+def greedy_stars(stars, least):
+    near = {}
+    for seed, member in stars:
+        if member != seed[1]:
+            near.setdefault(seed, set()).add(member)
+    used, out = set(), []
+    for seed in sorted(near):
+        free = near[seed] - used
+        if seed[1] not in used and len(free) + 1 >= least:
+            used |= free | {seed[1]}
+            out += [(seed[1], m) for m in free | {seed[1]}]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_stars_equal_the_loop(spark, tmp_path, seed):
+    """Random stars, a hub that all share, and a chain in which each decision hangs on the one before."""
+    rng = np.random.default_rng(seed)
+    at = dict(enumerate(rng.integers(0, 10, 400).tolist()))
+    pairs = [tuple(map(int, e)) for e in rng.integers(0, 60, (150, 2))] + [(100 + i, 100 + j) for i in range(25) for j in (i + 1, i + 2)] + [(200 + i, 200) for i in range(1, 20)] + [(200 + i, 230 + i) for i in range(1, 20)]
+    at |= {i: i for i in range(100, 130)}
+    stars = [((at[a], a), b) for a, b in set(pairs)]
+    df = spark.createDataFrame(stars, "seed struct<at: long, id: long>, member long")
+    got = sorted((r["seed"]["id"], r["member"]) for r in graph.greedy_stars(df, 3, f"file://{tmp_path}/r").collect())
+    assert got == greedy_stars(stars, 3) and got
