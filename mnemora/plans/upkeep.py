@@ -11,6 +11,7 @@ from mnemora.operators import recall as R
 from mnemora.plans import oracle as O
 from mnemora.plans.catalogue import _BOTH, _CC, _COMPATIBLE, _TOP, ORACLES, folder, pairs_of, query, query_set, tables
 from mnemora.sources import sinks, store
+from mnemora.streaming import state
 
 _FLAGS = f"""cp AS (SELECT a, b FROM pairs WHERE sim >= 0.4), {_CC.format(p="cp")},
 newest AS (SELECT component, arg_max(cc.id, struct_pack(t := created_at, o := -cc.id)) AS newest, max(created_at) AS newest_at FROM cc JOIN memories m ON cc.id = m.id GROUP BY component),
@@ -172,9 +173,11 @@ def access_events(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.accessed(R.knn(store.memory_vectors(spark, d), query_set(spark, d), 3), store.as_of())
 
 
-@query("SELECT page_id AS path, len(string_split(html, chr(10))) AS lines, CASE WHEN len(string_split(html, chr(10))) > 250 THEN 'SEVERE' ELSE 'WARNING' END AS level FROM pages WHERE len(string_split(html, chr(10))) > 200")
+@query("SELECT * FROM (SELECT path, sum(n)::BIGINT AS lines, CASE WHEN sum(n) > 250 THEN 'SEVERE' ELSE 'WARNING' END AS level FROM (SELECT source || '/' || (doc_id % 10) AS path, len(string_split(text, chr(10))) AS n FROM documents) GROUP BY path) WHERE lines > 200")
 def size_warnings(spark: SparkSession, d: str) -> DataFrame:
-    lines = store.read(spark, d, "pages").select(F.col("page_id").alias("path"), F.explode(F.split("html", "\n")).alias("line"))
+    """The lines of ten files a source, each the texts of a tenth of its documents."""
+    path = F.concat("source", F.lit("/"), (F.col("doc_id") % 10).cast("string"))
+    lines = store.read(spark, d, "documents").select(path.alias("path"), F.explode(F.split("text", "\n")).alias("line"))
     return sessions.size_warnings(lines)
 
 
@@ -229,22 +232,41 @@ def section_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return extract.snapshot(parts, each=2)
 
 
-@query("WITH c AS (SELECT conv_id, turn, text FROM conversations), s AS (SELECT conv_id, turn FROM conversations WHERE turn % 9 = 4) SELECT conv_id, turn FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.conv_id = c.conv_id AND abs(s.turn - c.turn) <= 2)")
+_WORDS = "['alpha' || translate((conv_id * 1000 + turn)::VARCHAR, '0123456789', 'abcdefghij'), 'kilo' || chr((97 + turn % 3)::INT), 'lima' || chr((97 + turn % 4)::INT), 'mike' || chr((97 + turn % 5)::INT), 'quebec' || chr((97 + conv_id % 26)::INT)]"
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 10 = 0 THEN [] ELSE {_WORDS} END AS w FROM conversations), s AS (SELECT conv_id, turn, list_concat(w, ['romeo', 'sierra', 'tango', 'uniform', 'victor', 'whiskey', 'xray', 'yankee']) AS w FROM (SELECT conv_id, turn, {_WORDS} AS w FROM conversations) WHERE turn % 9 = 4)
+SELECT conv_id, turn FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.conv_id = c.conv_id AND (abs(s.turn - c.turn) <= 1 OR len(c.w) = 0 OR len(list_intersect(s.w, c.w)) > 0.5 * len(c.w) OR len(list_intersect(s.w, c.w)) > 0.5 * len(s.w)))"""
+)
 def unsaved_signals(spark: SparkSession, d: str) -> DataFrame:
-    """Signals that no save within two lines covers; their words are all different here."""
+    """Signals that no save covers: by place, by over half of either side's words, or for want of words."""
     c = store.read(spark, d, "conversations")
-    word = F.translate(F.concat(F.lit("word"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string")), "0123456789", "abcdefghij")
-    signals = c.select("conv_id", F.col("turn").alias("line"), word.alias("match_text"))
-    saves = c.filter("turn % 9 = 4").select("conv_id", F.col("turn").alias("line"), F.concat(word, F.lit("zz")).alias("content"))
-    return extract.unsaved(signals, saves, near=2, key="conv_id").select("conv_id", F.col("line").alias("turn"))
+    letter = lambda x: F.char(F.lit(97) + x)
+    alone = F.concat(F.lit("alpha"), F.translate((F.col("conv_id") * 1000 + F.col("turn")).cast("string"), "0123456789", "abcdefghij"))
+    words = F.concat_ws(" ", alone, *[F.concat(F.lit(w), letter(x)) for w, x in (("kilo", F.col("turn") % 3), ("lima", F.col("turn") % 4), ("mike", F.col("turn") % 5), ("quebec", F.col("conv_id") % 26))])
+    signals = c.select("conv_id", F.col("turn").alias("line"), F.when(F.col("turn") % 10 != 0, words).otherwise("1 2 3").alias("match_text"))
+    saves = c.filter("turn % 9 = 4").select("conv_id", F.col("turn").alias("line"), F.concat_ws(" ", words, F.lit("romeo sierra tango uniform victor whiskey xray yankee")).alias("content"))
+    return extract.unsaved(signals, saves, near=1, share=0.5, key="conv_id").select("conv_id", F.col("line").alias("turn"))
 
 
-@query("WITH e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT event_id, n <= 3 AS shown FROM e")
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, (event_id % 40)::BIGINT AS item, (100 + event_id * 37 % 900)::BIGINT AS size, event_type = 'error' AS reset, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 2 HOUR, true) AS apart FROM events),
+step(user_id, n, event_id, ids, total, shown) AS (SELECT user_id, n, event_id, CASE WHEN reset THEN []::BIGINT[] ELSE [item] END, CASE WHEN reset THEN 0 ELSE size END, NOT reset FROM e WHERE n = 1
+  UNION ALL SELECT user_id, n, event_id, CASE WHEN ok THEN list_append(ids, item) ELSE ids END, CASE WHEN ok THEN total + size ELSE total END, ok FROM (SELECT *, NOT reset AND NOT list_contains(ids, item) AND total + size <= 3000 AS ok
+    FROM (SELECT e.user_id, e.n, e.event_id, e.item, e.size, e.reset, CASE WHEN e.reset OR e.apart THEN []::BIGINT[] ELSE s.ids END AS ids, CASE WHEN e.reset OR e.apart THEN 0 ELSE s.total END AS total FROM step s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)))
+SELECT event_id, shown, total FROM step"""
+)
 def session_caps(spark: SparkSession, d: str) -> DataFrame:
-    """Cumulative caps of a session: three entries of 1000 characters."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = store.events(spark, d).withColumn("total", F.sum(F.lit(1000)).over(w))
-    return e.select("event_id", (F.col("total") <= 3000).alias("shown"))
+    """What a session shows: each item once, 3000 characters in all, anew after two idle hours or a reset."""
+    e = store.events(spark, d).withColumns({"item": F.col("event_id") % 40, "size": 100 + F.col("event_id") * 37 % 900})
+    return state.capped(e, "user_id", "item", "size", reset=F.col("event_type") == "error")
+
+
+@query("WITH e AS (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events) SELECT event_id, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id)::BIGINT AS since FROM e")
+def since_consolidation(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user since the last reset."""
+    return state.counted_since(store.events(spark, d), "user_id", F.col("event_type") == "error")
 
 
 # --- oracles of queries registered above -----------------------------------
@@ -297,8 +319,8 @@ def _kinds() -> str:
     for group, kinds in extract.GROUPS.items():
         case = lambda what: "CASE " + " ".join(f"WHEN regexp_matches(x, {_quoted('(?i)' + extract.SIGNALS[k])}) THEN {what(k)}" for k in kinds) + " END"  # noqa: B023, E731
         keyword = lambda k: f"regexp_extract(x, {_quoted('(?i)' + extract.SIGNALS[k])}, 0)"
-        parts.append(f"SELECT '{group}' AS section, conv_id, turn AS line, {case(_quoted)} AS kind, {case(keyword)} AS keyword FROM said")
-    return f"WITH said AS (SELECT conv_id, turn, {lead} || text AS x FROM conversations) SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE kind IS NOT NULL"
+        parts.append(f"SELECT '{group}' AS section, conv_id, turn AS line, {case(_quoted)} AS kind, {case(keyword)} AS keyword, x FROM said")
+    return f"WITH said AS (SELECT conv_id, turn, {lead} || text AS x FROM conversations) SELECT section, conv_id, line, kind, keyword, substr(x, greatest(strpos(x, keyword) - 200, 1)::INT, strpos(x, keyword) - greatest(strpos(x, keyword) - 200, 1) + length(keyword) + 200) AS match_text FROM (" + " UNION ALL ".join(parts) + ") WHERE kind IS NOT NULL"
 
 
 @query(_kinds())
@@ -306,7 +328,7 @@ def signal_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Each line's first signal of every group: its kind and the words that show it."""
     lead = F.get(F.array(*[F.lit(x) for x in ("It turns out that this holds. ", "The build failed with exit code 2. ", "Next step: we need to update the index. ", "")]), (F.col("turn") % 4).cast("int"))
     c = store.read(spark, d, "conversations").select("conv_id", F.col("turn").alias("line"), F.concat(lead, "text").alias("text"))
-    found = [extract.signals(c, g).select(F.lit(g).alias("section"), "conv_id", "line", "kind", "keyword") for g in extract.GROUPS]
+    found = [extract.signals(c, g).select(F.lit(g).alias("section"), "conv_id", "line", "kind", "keyword", "match_text") for g in extract.GROUPS]
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
