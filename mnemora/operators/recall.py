@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from mnemora.functions import scoring as S
 from mnemora.functions import text as T
 from mnemora.operators import fts
+from mnemora.operators import vectors as V
 from mnemora.operators.textindex import TextIndex
 
 LEG = 20
@@ -71,12 +72,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "memory_id")
                 m = np.array(batch.column(1).to_pylist(), dtype=np.float64)
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
                 sim = np.round(q @ m.T, 6)
-                qi, mi = [], []
-                for i in range(len(ids)):
-                    best = np.lexsort((place, -sim[i]))[:k]
-                    qi.append(np.full(len(best), i))
-                    mi.append(best)
-                qi, mi = np.concatenate(qi), np.concatenate(mi)
+                bar = -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k] if len(keys) > k else -np.inf
+                qi, mi = np.nonzero(sim >= bar)  # the k best and what ties with the last of them
+                order = np.lexsort((place[mi], -sim[qi, mi], qi))
+                qi, mi = qi[order], mi[order]
+                first = np.searchsorted(qi, qi)
+                qi, mi = qi[(at := np.arange(len(qi)) - first) < k], mi[at < k]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in qi], arrow[0]), pa.array(keys[mi], arrow[1]), pa.array(sim[qi, mi])], ["query_id", "id", "sim"])
 
         found = vectors.filter("embedding is not null").select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, schema)
@@ -159,27 +160,71 @@ def noise_gate(results: DataFrame, status: Column) -> DataFrame:
     return results.withColumn("_ok", status.isin("ok", "fallback:min_candidates") | known).filter("_ok").drop("_ok")
 
 
-def answered(memories: DataFrame, vectors: DataFrame, relations: DataFrame, queries: DataFrame, scores: DataFrame, flags: DataFrame, status: Column, k: int = 5, least: int = 4, **kwargs) -> DataFrame:
-    """Recall as a caller sees it: oversampled, judged, gated, cut to k, flagged and projected.
+def final_flags(final: DataFrame, relations: DataFrame, low: float = 0.80, high: float = 0.985, most: int = 12) -> DataFrame:
+    """Which of a query's answers belong together and differ: (query_id, id, role, vs, age).
 
-    The judge (memory_id, score) reranks the queries whose ``status`` is ok and
-    that have ``least`` candidates or more; the others keep their order, with
-    status fallback:min_candidates where there are too few.  Where it did not
-    run, results without any text hit are noise.  ``flags`` are conflict flags
-    (id, role, vs, age).  Returns (query_id, pos, id, type, preview, tags,
-    score, judge, status, role, vs, age).
+    ``final`` (query_id, rank, id, type, project, content, created_at,
+    embedding) has at most ``most`` rows a query, ranks from 1; only its own
+    pairs are looked at.  A pair is in conflict where type and project agree
+    and the cosine is in the band, series entries apart, or where an edge says
+    that one contradicts or supersedes the other.  Of rows joined by such
+    pairs the newest is current, equal times by the least id.
+    """
+    side = lambda s: final.select("query_id", *[F.col(c).alias(f"{c}_{s}") for c in ("rank", "id", "type", "project", "content", "embedding")])
+    pairs = side("a").join(side("b"), "query_id").filter("rank_a < rank_b")
+    told = relations.filter(F.col("relation_type").isin("contradicts", "supersedes")).select(F.least("source_id", "target_id").alias("low"), F.greatest("source_id", "target_id").alias("high")).distinct().withColumn("told", F.lit(True))
+    pairs = pairs.withColumns({"low": F.least("id_a", "id_b"), "high": F.greatest("id_a", "id_b")}).join(told, ["low", "high"], "left")
+    sim = F.round(V.cosine(F.col("embedding_a"), F.col("embedding_b")), 6)
+    alike = (F.col("type_a") == F.col("type_b")) & compatible(F.col("project_a"), F.col("project_b")) & sim.between(low, high) & ~F.coalesce(T.series_pair(F.col("content_a"), F.col("content_b")), F.lit(False))
+    pairs = pairs.filter(F.coalesce(alike, F.lit(False)) | F.col("told").isNotNull())
+    links = pairs.groupBy("query_id").agg(F.collect_list(F.struct(F.col("rank_a").alias("a"), F.col("rank_b").alias("b"))).alias("links"))
+    # each rank takes the least label of its neighbours, as often as a chain may be long
+    ranks = F.sequence(F.lit(1), F.lit(most))
+    least = lambda labels, i: F.array_min(F.transform(F.filter("links", lambda e: (e["a"] == i) | (e["b"] == i)), lambda e: F.least(F.element_at(labels, e["a"]), F.element_at(labels, e["b"]))))
+    labels = F.aggregate(ranks, ranks, lambda acc, _: F.transform(ranks, lambda i: F.coalesce(least(acc, i), F.element_at(acc, i))))
+    grouped = links.select("query_id", "links", F.posexplode(labels).alias("rank", "component")).withColumn("rank", F.col("rank") + 1)
+    grouped = grouped.filter(F.exists("links", lambda e: (e["a"] == F.col("rank")) | (e["b"] == F.col("rank")))).drop("links")
+    g = grouped.join(final.select("query_id", "rank", "id", "created_at"), ["query_id", "rank"])
+    w = Window.partitionBy("query_id", "component").orderBy(F.col("created_at").desc_nulls_last(), "id")
+    g = g.withColumns({"newest": F.first("id").over(w), "newest_at": F.first("created_at").over(w)})
+    mine = F.col("id") == F.col("newest")
+    return g.select("query_id", "id", F.when(mine, "current").otherwise("superseded_candidate").alias("role"), F.when(~mine, F.col("newest")).alias("vs"), F.when(~mine, S.age_label(F.col("newest_at"), F.col("created_at"))).alias("age"))
+
+
+def answered(memories: DataFrame, vectors: DataFrame, relations: DataFrame, queries: DataFrame, scores: DataFrame, status: Column, k: int = 5, least: int = 4, *, within: Column | None = None, duplicate: float = 0.92, band: tuple[float, float] = (0.80, 0.985), **kwargs) -> DataFrame:
+    """Recall as a caller sees it: oversampled, without near duplicates, judged, gated, cut to k, flagged and projected.
+
+    The pool loses rows close to a better one first.  A query that is not
+    ``within`` its day's budget is not judged and has status fallback:budget;
+    the judge (memory_id, score) reranks the others whose ``status`` is ok and
+    that have ``least`` candidates or more, with status
+    fallback:min_candidates where there are too few.  Where it did not run,
+    results without any text hit are noise.  Conflict flags are those of the
+    final rows among themselves.  Returns (query_id, pos, id, type, content,
+    preview, tags, project, created_at, access_count, importance, relevance,
+    dual_hit, judge, judge_status, role, vs, age); the status is on the first
+    row only, and access is to be recorded for these rows alone.
     """
     pool = recall(memories, vectors, relations, queries, S.oversample(k), **kwargs)
+    pool = pool.join(vectors.select(F.col("memory_id").alias("id"), "embedding"), "id", "left")
+    kept = V.keep_distinct(pool.select("query_id", "id", "pos", "embedding"), duplicate)
+    pool = pool.join(kept.select("query_id", "id"), ["query_id", "id"], "left_semi")
     pool = pool.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
-    pool = pool.withColumn("status", F.when(F.col("n") < least, "fallback:min_candidates").otherwise(status))
+    budget = F.coalesce(within, F.lit(False)) if within is not None else F.lit(True)
+    pool = pool.withColumn("status", F.when(~budget, "fallback:budget").when(F.col("n") < least, "fallback:min_candidates").otherwise(status))
     ran = F.col("status") == "ok"
     j = pool.join(scores.select(F.col("memory_id").alias("id"), F.col("score").alias("rated")), "id", "left").withColumn("judge", F.when(ran, F.col("rated")))
-    j = noise_gate(j.filter(F.col("judge").isNull() | (F.col("judge") > 3)), F.col("status"))
     order = Window.partitionBy("query_id").orderBy(F.col("judge").isNull(), F.desc("judge"), "pos")
-    best = j.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("pos", "type")
-    shown = best.join(memories.select("id", "type", T.flat_clip(F.col("content")).alias("preview"), F.slice("tags", 1, 5).alias("tags")), "id")
-    out = shown.join(flags.select("id", "role", "vs", "age"), "id", "left")
-    return out.select("query_id", F.col("rank").alias("pos"), "id", "type", "preview", "tags", "score", "judge", "status", "role", "vs", "age")
+    j = j.filter(F.col("judge").isNull() | (F.col("judge") > 3)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = noise_gate(j, F.col("status")).drop("pos", "type")
+    final = best.join(memories.select("id", "type", "content", "tags", "project", "created_at", "access_count", "importance"), "id")
+    flags = final_flags(final, relations, *band, most=k)
+    out = final.join(flags, ["query_id", "id"], "left")
+    dual = F.when(F.col("fts_hit").isNotNull(), F.col("fts_hit") & F.col("vec_hit"))
+    return out.select(
+        "query_id", F.col("rank").alias("pos"), "id", "type", "content", T.flat_clip(F.col("content")).alias("preview"), "tags", "project", "created_at", "access_count",
+        F.round(F.coalesce("importance", F.lit(0.5)), 3).alias("importance"), F.round("score", 4).alias("relevance"), dual.alias("dual_hit"), "judge", F.when(F.col("rank") == 1, F.col("status")).alias("judge_status"), "role", "vs", "age",
+    )
 
 
 def within_budget(ranked: DataFrame, budget: int, length: Column, group: str = "query_id", order: str = "pos") -> DataFrame:

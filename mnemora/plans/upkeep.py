@@ -9,33 +9,40 @@ from mnemora.functions import text as T
 from mnemora.operators import beliefs, extract, graph, lifecycle, sessions
 from mnemora.operators import recall as R
 from mnemora.plans import oracle as O
-from mnemora.plans.catalogue import _BOTH, _CC, _COMPATIBLE, _TOP, ORACLES, folder, pairs_of, query, query_set, tables
+from mnemora.plans.catalogue import _BOTH, _COMPATIBLE, _TOP, ORACLES, folder, index_of, pairs_of, query, query_set, tables
 from mnemora.sources import sinks, store
 from mnemora.streaming import state
 
-_FLAGS = f"""cp AS (SELECT a, b FROM pairs WHERE sim >= 0.4), {_CC.format(p="cp")},
-newest AS (SELECT component, arg_max(cc.id, struct_pack(t := created_at, o := -cc.id)) AS newest, max(created_at) AS newest_at FROM cc JOIN memories m ON cc.id = m.id GROUP BY component),
-flags AS (SELECT cc.id, CASE WHEN cc.id = newest THEN 'current' ELSE 'superseded_candidate' END AS role, CASE WHEN cc.id <> newest THEN newest END AS vs,
-  CASE WHEN cc.id <> newest THEN CASE WHEN newest_at - created_at >= INTERVAL 1 DAY THEN date_diff('day', created_at, newest_at) || 'd ago' ELSE 'earlier' END END AS age FROM cc JOIN newest USING (component) JOIN memories m ON cc.id = m.id)"""
 _PREVIEW = "CASE WHEN length(f) <= 200 THEN f ELSE CASE WHEN instr(h, ' ') > 0 AND length(h) - instr(reverse(h), ' ') >= 100 THEN substr(h, 1, length(h) - instr(reverse(h), ' ')) ELSE h END || '…' END"
 
 
 @query(
-    f"""WITH RECURSIVE {O.MEMORIES}, {O.VECTORS}, {O.PAIRS}, {O.SCORES}, {_FLAGS}, r AS ({O.recall(10)}),
-p AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM r), st AS (SELECT *, CASE WHEN n < 4 THEN 'fallback:min_candidates' WHEN query_id % 3 = 0 THEN 'fallback:timeout' ELSE 'ok' END AS status FROM p),
+    f"""WITH RECURSIVE {O.MEMORIES}, {O.RELATIONS}, {O.VECTORS}, {O.SCORES}, r AS ({O.recall(10)}),
+close AS (SELECT n.query_id, n.id, n.pos, list(o.id) FILTER (o.pos < n.pos AND list_cosine_similarity(a.embedding, b.embedding) >= 0.3) AS close FROM r n JOIN r o ON o.query_id = n.query_id LEFT JOIN vectors a ON a.memory_id = n.id LEFT JOIN vectors b ON b.memory_id = o.id GROUP BY n.query_id, n.id, n.pos),
+step(query_id, pos, kept) AS (SELECT DISTINCT query_id, 0, []::BIGINT[] FROM r UNION ALL SELECT s.query_id, c.pos, CASE WHEN list_has_any(s.kept, coalesce(c.close, [])) THEN s.kept ELSE list_append(s.kept, c.id) END FROM step s JOIN close c ON c.query_id = s.query_id AND c.pos = s.pos + 1),
+d AS (SELECT r.* FROM r JOIN (SELECT query_id, arg_max(kept, pos) AS kept FROM step GROUP BY query_id) k ON k.query_id = r.query_id WHERE list_contains(k.kept, r.id)),
+p AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM d), st AS (SELECT *, CASE WHEN query_id % 5 = 4 THEN 'fallback:budget' WHEN n < 7 THEN 'fallback:min_candidates' WHEN query_id % 3 = 0 THEN 'fallback:timeout' ELSE 'ok' END AS status FROM p),
 j AS (SELECT st.*, CASE WHEN status = 'ok' THEN s.score END AS judge FROM st LEFT JOIN judge_scores s ON st.id = s.memory_id),
-g AS (SELECT *, bool_or(coalesce(fts_hit, true)) OVER (PARTITION BY query_id) AS hit FROM j WHERE judge IS NULL OR judge > 3),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY judge IS NULL, judge DESC, pos)::INT AS rank FROM g WHERE status IN ('ok', 'fallback:min_candidates') OR hit QUALIFY rank <= 5),
-t AS (SELECT id, lang, source, f, substr(f, 1, 200) AS h FROM (SELECT *, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS f FROM memories))
-SELECT query_id, rank AS pos, k.id, type, {_PREVIEW} AS preview, lang || ',' || source AS tags, score, judge, status, role, vs, age FROM k JOIN t ON k.id = t.id LEFT JOIN flags x ON k.id = x.id"""
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY judge IS NULL, judge DESC, pos)::INT AS rank FROM j WHERE judge IS NULL OR judge > 3 QUALIFY rank <= 5),
+g AS (SELECT *, bool_or(coalesce(fts_hit, true)) OVER (PARTITION BY query_id) AS hit FROM c),
+k AS (SELECT g.query_id, g.rank, g.id, score, fts_hit, vec_hit, judge, status, m.* EXCLUDE (id), v.embedding FROM g JOIN memories m ON m.id = g.id LEFT JOIN vectors v ON v.memory_id = g.id WHERE status IN ('ok', 'fallback:min_candidates') OR hit),
+cp AS (SELECT a.query_id AS q, a.id AS a, b.id AS b FROM k a JOIN k b ON a.query_id = b.query_id AND a.rank < b.rank LEFT JOIN (SELECT DISTINCT least(source_id, target_id) AS lo, greatest(source_id, target_id) AS hi FROM relations WHERE relation_type IN ('contradicts', 'supersedes')) e ON e.lo = least(a.id, b.id) AND e.hi = greatest(a.id, b.id)
+  WHERE e.lo IS NOT NULL OR (a.type = b.type AND (a.project IS NULL OR b.project IS NULL OR a.project = b.project) AND round(list_cosine_similarity(a.embedding, b.embedding), 6) BETWEEN 0.0 AND 0.25)),
+ee AS (SELECT q, a, b FROM cp UNION SELECT q, b, a FROM cp), reach(q, node, c) AS (SELECT DISTINCT q, a, a FROM ee UNION SELECT ee.q, ee.b, reach.c FROM reach JOIN ee ON reach.q = ee.q AND reach.node = ee.a),
+cc AS (SELECT q, node AS id, min(c) AS component FROM reach GROUP BY q, node),
+newest AS (SELECT q, component, arg_max(cc.id, struct_pack(t := created_at, o := -cc.id)) AS newest, max(created_at) AS newest_at FROM cc JOIN memories m ON cc.id = m.id GROUP BY q, component),
+flags AS (SELECT cc.q, cc.id, CASE WHEN cc.id = newest THEN 'current' ELSE 'superseded_candidate' END AS role, CASE WHEN cc.id <> newest THEN newest END AS vs,
+  CASE WHEN cc.id <> newest THEN CASE WHEN newest_at - created_at >= INTERVAL 1 DAY THEN date_diff('day', created_at, newest_at) || 'd ago' ELSE 'earlier' END END AS age FROM cc JOIN newest n ON n.q = cc.q AND n.component = cc.component JOIN memories m ON cc.id = m.id),
+t AS (SELECT id, f, substr(f, 1, 200) AS h FROM (SELECT *, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS f FROM memories))
+SELECT k.query_id, k.rank AS pos, k.id, k.type, md5(k.content) AS content, {_PREVIEW} AS preview, k.lang || ',' || k.source AS tags, k.project, k.created_at, k.access_count, round(coalesce(k.importance, 0.5::DOUBLE), 3) AS importance, round(score, 4) AS relevance, CASE WHEN fts_hit IS NOT NULL THEN fts_hit AND vec_hit END AS dual_hit,
+  judge, CASE WHEN k.rank = 1 THEN status END AS judge_status, role, vs, age FROM k JOIN t ON k.id = t.id LEFT JOIN flags x ON k.query_id = x.q AND k.id = x.id"""
 )
 def recall_answer(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: recall, judge, noise gate, conflict flags and projection in one."""
+    """The flagship: recall, dedup of the pool, budget, judge, noise gate, conflict flags of the answer and projection in one."""
     m, v, r, q = tables(spark, d)
-    flags = beliefs.conflict_flags(pairs_of(spark, d).filter("sim >= 0.4").select("a", "b"), m, folder(spark))
     status = F.when(F.col("query_id") % 3 == 0, "fallback:timeout").otherwise("ok")
-    out = R.answered(m, v, r, q, store.judge_scores(spark, d), flags, status)
-    return out.withColumn("tags", F.array_join("tags", ","))
+    out = R.answered(m, v, r, q, store.judge_scores(spark, d), status, least=7, within=F.col("query_id") % 5 != 4, duplicate=0.3, band=(0.0, 0.25), index=index_of(spark, d))
+    return out.withColumns({"tags": F.array_join("tags", ","), "content": F.md5("content")})
 
 
 @query(
