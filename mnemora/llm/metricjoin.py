@@ -205,8 +205,9 @@ def compared(pairs: DataFrame, least: float) -> DataFrame:
                     keys += [kb[i] for i in some_b]
                     count = np.concatenate([count, np.array(wa)[some_a] @ linked])
                 roots = np.concatenate([root_a, root_b])[: len(keys)]
-                _, first = np.unique(roots, return_index=True)
-                lead = dict(zip(roots[first].tolist(), (keys[i] for i in first), strict=True))
+                lead: dict[int, bytes] = {}
+                for r, key in zip(roots.tolist(), keys, strict=True):
+                    lead[r] = min(lead.get(r, key), key)  # the least, as components are named: few rounds are left to do
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(count.astype(np.int64)), pa.array([lead[r] for r in roots.tolist()], pa.binary())], ["key", "n", "root"])
 
     return pairs.mapInArrow(run, "key binary, n long, root binary")
