@@ -217,3 +217,40 @@ def test_greedy_stars_equal_the_loop(spark, tmp_path, seed):
     df = spark.createDataFrame(stars, "seed struct<at: long, id: long>, member long")
     got = sorted((r["seed"]["id"], r["member"]) for r in graph.greedy_stars(df, 3, f"file://{tmp_path}/r").collect())
     assert got == greedy_stars(stars, 3) and got
+
+
+def test_cache_scores_no_row_twice(spark, tmp_path):
+    """A second call scores nothing, equal texts are scored once, the bound holds, and the least recently used go."""
+    from mnemora.operators import cache
+
+    c = cache.ScorerCache(CommitLog(spark, f"file://{tmp_path}/c"), "array<double>", 3)
+    asked = []
+
+    def embed(df, text):
+        asked.extend(sorted(r[text] for r in df.collect()))
+        return df.withColumn("embedding", F.array(F.length(text).cast("double")))
+
+    def call(texts, day):
+        rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+        asked.clear()
+        got = cache.embedded(c, rows, "text", embed, F.lit(NOW + dt.timedelta(days=day)).cast("timestamp"))
+        return [(r["embedding"] and r["embedding"][0], r["hit"]) for r in got.orderBy("n").collect()]
+
+    assert call(["a", "bb", "a", None], 0) == [(1.0, False), (2.0, False), (1.0, False), (None, None)] and asked == ["a", "bb"]
+    assert call(["bb", "a"], 1) == [(2.0, True), (1.0, True)] and asked == []
+    assert call(["ccc", "a"], 2) == [(3.0, False), (1.0, True)] and asked == ["ccc"]
+    assert call(["dddd"], 3) == [(4.0, False)] and c.state().count() == 3  # bb was used longest ago
+    assert call(["bb", "a", "ccc", "dddd", "eeeee"], 4)[:3] == [(2.0, False), (1.0, True), (3.0, True)] and asked == ["bb", "eeeee"]
+    assert c.state().count() == 3
+
+
+def test_judged_sets_come_from_the_cache(spark, tmp_path):
+    from mnemora.operators import cache
+
+    c = cache.ScorerCache(CommitLog(spark, f"file://{tmp_path}/j"), "map<long,double>", 10)
+    judge = lambda df: df.select("key", F.map_from_arrays("ids", F.transform("ids", lambda i: i * 1.0)).alias("value"))
+    pool = lambda *rows: spark.createDataFrame(rows, "query_id long, query string, id long")
+    first = cache.judged_sets(c, pool((1, "q", 7), (1, "q", 8), (2, "other", 7)), judge, F.lit(NOW).cast("timestamp")).orderBy("query_id").collect()
+    assert [(r["status"], r["scores"]) for r in first] == [("ok", {7: 7.0, 8: 8.0}), ("ok", {7: 7.0})]
+    again = cache.judged_sets(c, pool((5, "q", 8), (5, "q", 7), (6, "q", 9)), judge, F.lit(NOW).cast("timestamp")).orderBy("query_id").collect()
+    assert [r["status"] for r in again] == ["cache", "ok"] and again[0]["scores"] == {7: 7.0, 8: 8.0}
