@@ -147,9 +147,19 @@ DATED = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{4}|\d{1,2}/\d{1,2}/\d{2,4}"
 REVERSAL = r"(?iu)\binstead\b|no longer|\bsai\b|reversed|RETIRED|now corrected|\bwrong\b|deprecated|superseded|thay vì|đảo chiều|không còn|hủy bỏ"
 
 
+def series_marks(text: Column) -> Column:
+    """What ``series_pair`` asks of a content, as two booleans: formulaic, and a dated measurement."""
+    return F.struct(text.rlike(SERIES).alias("formula"), (text.rlike(DATED) & text.rlike(MEASURE)).alias("dated"))
+
+
+def series_marked(a: Column, b: Column) -> Column:
+    """``series_pair`` of contents by their marks."""
+    return (a["formula"] & b["formula"]) | (a["dated"] & b["dated"])
+
+
 def series_pair(a: Column, b: Column) -> Column:
     """Whether two contents are entries of one series: both formulaic, or both dated measurements."""
-    return (a.rlike(SERIES) & b.rlike(SERIES)) | (a.rlike(DATED) & a.rlike(MEASURE) & b.rlike(DATED) & b.rlike(MEASURE))
+    return series_marked(series_marks(a), series_marks(b))
 
 
 def reversal(text: Column) -> Column:

@@ -30,6 +30,15 @@ class Thresholds:
     confidence: float = 0.85
 
 
+def marked(memories: DataFrame) -> DataFrame:
+    """(id, type, project, series): memories with their content's series marks in its place.
+
+    They are dealt out by id first, so that a content is looked at once and
+    not for each of its pairs, and both sides of a pair read the same rows.
+    """
+    return memories.select("id", "type", "project", T.series_marks(F.col("content")).alias("series")).repartition("id")
+
+
 def sided(pairs: DataFrame, memories: DataFrame, *columns: str) -> DataFrame:
     """Pairs (a, b, sim) with columns of both memories, suffixed _a and _b."""
     out = pairs
@@ -48,8 +57,8 @@ def near_duplicates(pairs: DataFrame, memories: DataFrame, threshold: float, k:
 
 def conflict_pairs(pairs: DataFrame, memories: DataFrame, relations: DataFrame, low: float, high: float) -> DataFrame:
     """Divergent pairs of one subject (a, b, via): by similarity in the band, not of a series, or by an explicit edge."""
-    p = sided(pairs.filter(F.col("sim").between(low, high)), memories, "type", "project", "content")
-    p = p.filter((F.col("type_a") == F.col("type_b")) & compatible(F.col("project_a"), F.col("project_b")) & ~T.series_pair(F.col("content_a"), F.col("content_b")))
+    p = sided(pairs.filter(F.col("sim").between(low, high)), marked(memories), "type", "project", "series")
+    p = p.filter((F.col("type_a") == F.col("type_b")) & compatible(F.col("project_a"), F.col("project_b")) & ~T.series_marked(F.col("series_a"), F.col("series_b")))
     edges = relations.filter(F.col("relation_type").isin("contradicts", "supersedes")).select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), F.lit("edge").alias("via"))
     known = memories.select("id")
     edges = edges.join(known, F.col("a") == F.col("id"), "left_semi").join(known, F.col("b") == F.col("id"), "left_semi")
@@ -160,8 +169,8 @@ def newer_sibling(pairs: DataFrame, memories: DataFrame, relations: DataFrame, t
 def cleanup(pairs: DataFrame, memories: DataFrame, threshold: float, rename: dict[str, str], folder: str) -> DataFrame:
     """Reversible dedup after labels are unified: (canonical, duplicate), the newest being canonical; series stay."""
     unified = memories.replace(rename, subset=["project"]) if rename else memories
-    p = sided(pairs.filter(F.col("sim") >= threshold), unified.filter("type <> 'tool'"), "type", "project", "content")
-    p = p.filter((F.col("type_a") == F.col("type_b")) & compatible(F.col("project_a"), F.col("project_b")) & ~T.series_pair(F.col("content_a"), F.col("content_b")))
+    p = sided(pairs.filter(F.col("sim") >= threshold), marked(unified.filter("type <> 'tool'")), "type", "project", "series")
+    p = p.filter((F.col("type_a") == F.col("type_b")) & compatible(F.col("project_a"), F.col("project_b")) & ~T.series_marked(F.col("series_a"), F.col("series_b")))
     g = components(p.select("a", "b"), folder).withColumnRenamed("node", "id").join(unified.select("id", "created_at"), "id")
     newest = g.groupBy("component").agg(F.max(F.struct("created_at", (-F.col("id")).alias("n"))).alias("x")).select("component", (-F.col("x.n")).alias("canonical"))
     return g.join(newest, "component").filter("id <> canonical").select("canonical", F.col("id").alias("duplicate"))

@@ -186,3 +186,10 @@ def test_hashed_embedding(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id long, t string")
     got = {r["id"]: r["embedding"] for r in hashed_embedding(df, "t", 16).collect()}
     assert sum(got[1]) == 3.0 and sum(got[2]) == 0.0 and sum(got[3]) == 0.0
+
+
+def test_pairs_carry_no_contents(spark, sf):
+    """Series are told by marks made once a memory: no condition on a pair reads two contents."""
+    p, m = pairs(spark, [(0, 7, 0.95), (1, 8, 0.95)]), store.memories(spark, sf)
+    plan = beliefs.conflict_pairs(p, m, store.relations(spark, sf), 0.3, 0.985)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and not any("RLIKE" in x and ("Join" in x or "Filter" in x) for x in plan.splitlines())
