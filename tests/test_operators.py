@@ -193,3 +193,11 @@ def test_pairs_carry_no_contents(spark, sf):
     p, m = pairs(spark, [(0, 7, 0.95), (1, 8, 0.95)]), store.memories(spark, sf)
     plan = beliefs.conflict_pairs(p, m, store.relations(spark, sf), 0.3, 0.985)._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan and not any("RLIKE" in x and ("Join" in x or "Filter" in x) for x in plan.splitlines())
+
+
+def test_cleanup_carries_no_contents(spark, sf, tmp_path, monkeypatch):
+    """The edges that label cleanup hands to the components come from pairs without contents."""
+    seen = []
+    monkeypatch.setattr(beliefs, "components", lambda e, folder: seen.append(e._jdf.queryExecution().optimizedPlan().toString()) or e.select(F.col("a").alias("node"), F.col("a").alias("component")))
+    beliefs.cleanup(pairs(spark, [(0, 7, 0.95)]), store.memories(spark, sf), 0.33, {"src1": "src2"}, f"file://{tmp_path}/c")
+    assert "RLIKE" in seen[0] and not any("RLIKE" in x and ("Join" in x or "Filter" in x) for x in seen[0].splitlines())
