@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in one block of a similarity join.
-BLOCK = 2048
+#: Rows of a side that a similarity join multiplies at once, and pairs that it computes exactly at once.
+BLOCK, PAIRS = 2048, 1 << 17
+#: Groups of a similarity join as long as they hold no more than this, as 64-bit numbers.
+GROUPS, GROUP_MB = 8, 32
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,36 +42,76 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "memory_i
 def similar_pairs(vectors: DataFrame, low: float, high: float = 2.0, key: str = "memory_id", block: int = BLOCK) -> DataFrame:
     """All pairs a < b with cosine in [low, high]: (a, b, sim), exact, similarity rounded to 6 places.
 
-    Vectors are packed into blocks by a hash of the key, and every pair of
-    blocks is one matrix product; blocks that hold nothing alike cost only
-    arithmetic, and no row of a pair outside the band is made.
+    Vectors are dealt to groups by a hash of the key, and every pair of groups
+    is a tile, which one task multiplies a piece of ``block`` rows at a time.
+    A vector is sent once a tile of its group, as 32-bit numbers where that
+    loses nothing.  There are at most GROUPS groups until one would exceed
+    GROUP_MB, so what is sent grows as the vectors do; past that, as their
+    number times the number of groups.  A 32-bit product rules pairs out by
+    its error's bound; the others' cosines are computed in 64 bits.
     """
     v = vectors.filter("embedding is not null").select(F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("embedding"))
-    n = max(1, -(-v.count() // block))
+    n, width = v.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    most = max(1, (GROUP_MB << 20) // (8 * max(1, width)))
+    g = max(1, min(GROUPS, -(-n // block)), -(-n // most))
+    tile = {(i, j): t for t, (i, j) in enumerate((i, j) for i in range(g) for j in range(i, g))}
+    sent = np.dtype(np.float32)
 
-    def pack(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("k").to_numpy())
-        m = np.array([t.column("embedding")[int(i)].as_py() for i in order], dtype=np.float64)
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-        return pa.table({"b": pa.array([t.column("b")[0].as_py()], pa.int32()), "ks": pa.array([t.column("k").to_numpy()[order]], pa.list_(pa.int64())), "m": pa.array([m.tobytes()], pa.binary())})
-
-    packed = v.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")).groupBy("b").applyInArrow(pack, "b int, ks array<long>, m binary")
-    left = packed.select("b", F.col("ks").alias("ka"), F.col("m").alias("ma"), F.explode(F.sequence(F.col("b"), F.lit(n - 1))).alias("other"))
-    right = packed.select(F.col("b").alias("other"), F.col("ks").alias("kb"), F.col("m").alias("mb"))
+    def deal(batches):
+        for batch in batches:
+            keys, group = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            m = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), width)
+            for i in np.unique(group):
+                mine = np.flatnonzero(group == i)
+                rows = m[mine]
+                short = rows.astype(sent)
+                one = np.array_equal(short, rows)
+                ks, data = keys[mine].tolist(), (short if one else rows).tobytes()
+                tiles = [tile[min(i, j), max(i, j)] for j in range(g)]
+                yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int32()), pa.array([int(i)] * g, pa.int32()), pa.array([ks] * g, pa.list_(pa.int64())), pa.array([one] * g), pa.array([data] * g, pa.binary())], ["tile", "g", "ks", "short", "m"])
 
     def multiply(batches):
+        held, at = {}, None
         for batch in batches:
-            for r in batch.to_pylist():
-                ka, kb = np.array(r["ka"]), np.array(r["kb"])
-                a, b = (np.frombuffer(m, np.float64).reshape(len(k), -1) for m, k in ((r["ma"], ka), (r["mb"], kb)))
-                sim = np.round(a @ b.T, 6)
-                i, j = np.nonzero((sim >= low) & (sim <= high))
-                keep = ka[i] < kb[j] if r["b"] == r["other"] else np.ones(len(i), bool)
-                i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ka[i], kb[j])), pa.array(np.maximum(ka[i], kb[j])), pa.array(sim[i, j])], ["a", "b", "sim"])
-
-    return left.join(right, "other").select("b", "other", "ka", "ma", "kb", "mb").mapInArrow(multiply, "a long, b long, sim double")
+            for r in range(batch.num_rows):
+                if batch.column(0)[r].as_py() != at:
+                    yield from products(held)
+                    held, at = {}, batch.column(0)[r].as_py()
+                kind = sent if batch.column(3)[r].as_py() else np.float64
+                ks = batch.column(2)[r].values.to_numpy()
+                held.setdefault(batch.column(1)[r].as_py(), []).append((ks, np.frombuffer(batch.column(4)[r].as_buffer(), kind).reshape(len(ks), width).copy()))
+        yield from products(held)
+
+    def products(held):
+        sides = []
+        for pieces in held.values():
+            ks, m = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
+            pieces.clear()
+            sizes = np.linalg.norm(m.astype(np.float64), axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sides.append((ks, m, sizes, np.where(sizes[:, None] > 0, m / sizes[:, None], 0).astype(np.float32)))
+        if not sides:
+            return
+        (ka, a, na, ua), (kb, b, nb, ub) = sides[0], sides[-1]
+        slack = 1e-6 + 2.5e-7 * (ua.shape[1] + 8)  # of rounding, and of the 32-bit product
+        for i0 in range(0, len(ka), block):
+            for j0 in range(i0 if len(sides) == 1 else 0, len(kb), block):
+                i, j = np.nonzero(~(ua[i0 : i0 + block] @ ub[j0 : j0 + block].T < low - slack))
+                i, j = i + i0, j + j0
+                if len(sides) == 1:
+                    i, j = i[i < j], j[i < j]
+                for c in range(0, len(i), PAIRS):
+                    x, y = i[c : c + PAIRS], j[c : c + PAIRS]
+                    size = na[x] * nb[y]
+                    dots = np.einsum("ij,ij->i", a[x], b[y], dtype=np.float64)
+                    sim = np.round(np.divide(dots, size, out=np.zeros_like(dots), where=size > 0), 6)
+                    keep = (sim >= low) & (sim <= high)
+                    x, y = ka[x[keep]], kb[y[keep]]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sim[keep])], ["a", "b", "sim"])
+
+    dealt = v.withColumn("g", F.pmod(F.xxhash64("k"), F.lit(g)).cast("int")).mapInArrow(deal, "tile int, g int, ks array<long>, short boolean, m binary")
+    return dealt.repartitionById(len(tile), "tile").sortWithinPartitions("tile").mapInArrow(multiply, "a long, b long, sim double")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

@@ -201,3 +201,23 @@ def test_cleanup_carries_no_contents(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr(beliefs, "components", lambda e, folder: seen.append(e._jdf.queryExecution().optimizedPlan().toString()) or e.select(F.col("a").alias("node"), F.col("a").alias("component")))
     beliefs.cleanup(pairs(spark, [(0, 7, 0.95)]), store.memories(spark, sf), 0.33, {"src1": "src2"}, f"file://{tmp_path}/c")
     assert "RLIKE" in seen[0] and not any("RLIKE" in x and ("Join" in x or "Filter" in x) for x in seen[0].splitlines())
+
+
+def test_similar_pairs_send_no_more_copies_as_they_grow(spark, monkeypatch):
+    """Over tiles of several groups and pieces, exact with zero, equal and 64-bit vectors; a vector is sent GROUPS times at most."""
+    import numpy as np
+
+    from mnemora.operators import vectors
+
+    rng = np.random.default_rng(1)
+    m = np.r_[rng.normal(size=(150, 6)).astype(np.float32).astype(float), rng.normal(size=(60, 6)), np.zeros((2, 6)), np.ones((5, 6)) / 3]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(900, None)], "memory_id long, embedding array<double>")
+    size = np.linalg.norm(m, axis=1)
+    sim = np.round(np.divide(m @ m.T, np.outer(size, size), out=np.zeros((len(m),) * 2), where=np.outer(size, size) > 0), 6)
+    want = sorted((i, j) for i in range(len(m)) for j in range(i + 1, len(m)) if 0.4 <= sim[i, j] <= 0.999)
+    found = vectors.similar_pairs(v, 0.4, 0.999, block=7)
+    got = {(r["a"], r["b"]): r["sim"] for r in found.collect()}
+    assert sorted(got) == want and all(abs(sim[k] - x) < 2e-6 for k, x in got.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan.lower()  # blocks are not paired before they are sent
+    assert vectors.similar_pairs(v.limit(0), 0.4).count() == 0
