@@ -171,11 +171,26 @@ DECISION_PHRASES = [r"\bwe decided\b", r"\broot cause\b", r"\bthe fix is\b", r"\
 TECHNICAL_PATTERNS = [r"\bv\d+\.\d+\.\d+\b", r"\bgpt-[\w.-]+\b", r"\b\d+%\b.*\b(accuracy|reduction|improvement|faster)\b", r"\b(O\(n\^?\d*\)|O\(log\))\b", r"\bSELECT\b.*\bFROM\b", r"\bmin_cluster=\d+\b", r"\bsim_threshold=[\d.]+\b"]
 
 
+#: In lower case, every match of a decision phrase holds one of these; every match of a technical pattern a digit or one of those.
+DECISION_WORDS = ["we decided", "root cause", "the fix is", "architectural", "trade", "approach chosen", "deferred", "won't", "key insight", "fundamental"]
+TECHNICAL_SIGNS = r"[0-9]|gpt-|O\((?:n|log)|SELECT"
+
+
 def saveable_excerpt(text: Column, least_line: int = 60, least_text: int = 200, limit: int = 120) -> Column:
-    """The first line long enough that holds a decision phrase or a technical pattern; null in short texts."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    found = F.filter(lines, lambda x: (F.length(x) >= least_line) & (x.rlike("(?i)" + "|".join(DECISION_PHRASES)) | x.rlike("|".join(TECHNICAL_PATTERNS))))
-    return F.when(F.length(text) >= least_text, F.substring(F.get(found, F.lit(0)), 1, limit))
+    """The first line long enough that holds a decision phrase or a technical pattern; null in short texts.
+
+    Patterns are tried on lines only that hold what a match of theirs must hold.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(F.trim(x).alias("x"), F.lower(x).alias("low")))
+
+    def holds(line: Column) -> Column:
+        said = F.lit(False)
+        for w in DECISION_WORDS:
+            said = said | F.contains(line["low"], F.lit(w))
+        return (said & line["x"].rlike("(?i)" + "|".join(DECISION_PHRASES))) | (line["x"].rlike(TECHNICAL_SIGNS) & line["x"].rlike("|".join(TECHNICAL_PATTERNS)))
+
+    found = F.filter(lines, lambda line: (F.length(line["x"]) >= least_line) & holds(line))
+    return F.when(F.length(text) >= least_text, F.substring(F.get(found, F.lit(0))["x"], 1, limit))
 
 
 # Categories of tools by words of their description, the first that fits.

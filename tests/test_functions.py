@@ -113,3 +113,16 @@ def test_clips_and_parsers(spark):
     assert one(spark, T.quoted(F.lit('judge.py -- "x"'))) == '"judge.py" """x"""'
     assert one(spark, T.set_hash(F.lit("q"), F.array(F.lit("b"), F.lit("a")))) == one(spark, T.set_hash(F.lit("q"), F.array(F.lit("a"), F.lit("b"))))
     assert one(spark, T.project_of(F.lit("/home/x/Projects/atlas/src"))) == "atlas"
+
+
+def test_saveable_looks_for_words_before_patterns(spark):
+    """Equal to the patterns alone, which are tried after plain words."""
+    import re
+
+    pad = " and so the whole matter went on for as long as it took"
+    lines = ["WE DECIDED it", "a Trade-Off", "tradeoff x", "deferred it, because", "won't go because", "fundamental old issue", "at v1.2.3 now", "gpt-4o", "GPT-x", "90% faster", "O(n^2) x", "O(log) x", "SELECT a FROM b", "min_cluster=3", "sim_threshold=.5", "nothing", "undecided", "12"]
+    df = spark.createDataFrame([(x + pad,) for x in lines], "x string")
+    found = df.select("x", T.saveable_excerpt(F.col("x"), 10, 10).alias("got"))
+    want = lambda x: re.search("(?i)" + "|".join(T.DECISION_PHRASES), x) or re.search("|".join(T.TECHNICAL_PATTERNS), x)
+    assert all((r["got"] is not None) == bool(want(r["x"])) for r in found.collect())
+    assert "contains(" in found._jdf.queryExecution().optimizedPlan().toString().lower()
