@@ -126,3 +126,14 @@ def test_saveable_looks_for_words_before_patterns(spark):
     want = lambda x: re.search("(?i)" + "|".join(T.DECISION_PHRASES), x) or re.search("|".join(T.TECHNICAL_PATTERNS), x)
     assert all((r["got"] is not None) == bool(want(r["x"])) for r in found.collect())
     assert "contains(" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_telex_repairs_a_batch_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from mnemora.functions import telex
+
+    monkeypatch.setattr(telex, "SLICE", 2)
+    texts = ["dduowng", None, "", "x" * 300, "ban ddaf"]
+    assert telex.repaired(pa.array(texts)).to_pylist() == [telex.repair(t) for t in texts]
+    assert telex.repaired(pa.array([], pa.string())).to_pylist() == []
