@@ -418,3 +418,15 @@ def test_contaminated_documents(spark):
         kept = decontam.clean_documents(d, b, block_chars=chars)
         assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
     assert decontam.contaminated_pairs(d, b.limit(0)).count() == 0 and decontam.contaminated_pairs(d.limit(0), b).count() == 0
+
+
+def test_url_templates_have_no_last_level(spark):
+    """Urls that differ in the 19th segment have templates of their own, those of one node are still judged together."""
+    from mnemora.llm import urlfilter
+
+    deep = "/" + "/".join(["d"] * 18)
+    rules = [("h.com", deep + "/bad/", "block"), ("h.com", deep + "/good/", "allow")]
+    urls = [f"http://h.com{deep}/{k}/x/y" for k in ("bad", "good")] + [f"http://h.com{deep}/bad/x/y?{i}" for i in range(30)] + [f"http://h.com{deep}/good/x/y?{i}" for i in range(30)] + ["http://h.com/" + "/".join(map(str, range(40))), "http://h.com"]
+    got = {r["path"]: r["template"] for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got[deep + "/bad/x/y"] == "h.com" + deep + "/bad/x/y" and got[deep + "/good/x/y"] == "h.com" + deep + "/good/x/y"
+    assert "**" not in "".join(got.values()) and len(got) == 4
