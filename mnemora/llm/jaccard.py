@@ -13,8 +13,8 @@ members.  Members linked to it are in one component, and the others' answers
 follow from the leader's: by the triangle inequality of the Jaccard distance,
 two members whose distances to the leader differ by more than the limit are
 no link.  Members of different components are led in turn by each that is
-left: marks of a byte a range of the order bound the difference from below,
-and only pairs that pass leave their list and are compared themselves.
+left: marks of half a byte a range of the order bound the difference from
+below, and only pairs that pass leave their list and are compared themselves.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, bitmap, distinct_scan, fitted, hit, hold, in_bitmap, scan, text_key, tune
+from mnemora.llm.common import Scratch, bitmap, distinct_scan, fitted, hit, hold, in_bitmap, rest, scan, text_key, tune
 from mnemora.llm.langid import mix
 from mnemora.operators.graph import components
 
 #: Bytes of a signature, signatures counted at once, words whose hashes and sets that a process keeps.
 SIG_BYTES, FLUSH, CACHE_WORDS, KEPT_SETS = 5, 1 << 20, 150_000, 64
 #: Least and most logarithm of a mark's length; members up to which a list's pairs come from a join, that a task takes together, and of a block of a longer list.
-MARK_LEAST, MARK_MOST, SHORT, TASK_ROWS, BLOCK = 5, 13, 6, 1000, 2048
+MARK_LEAST, MARK_MOST, SHORT, TASK_ROWS, BLOCK = 6, 14, 6, 1000, 2048
 #: Members from which on a list is long, and the part of the most possible differences that blocks exceed it by, to leave long lists out.
 LONG, SPARE = 128, 6
 
@@ -254,9 +254,9 @@ def linked_texts(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int,
     limit = (den - num) / den + 1e-9
     near = (F.col("key_x") < F.col("key_y")) & (F.col("component_x") != F.col("component_y")) & (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
     near = near & F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= limit, F.lit(True))
-    rest = _possible(x.join(y, "sig").filter(near).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct(), marks, num, den)
-    rest = rest.unionByName(_within(scratch, m.filter(F.col("size") > SHORT), marks, num, den)).distinct()
-    second = _verify(docs, scratch, rest, n, text_col, "second")
+    closer = _possible(x.join(y, "sig").filter(near).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct(), marks, num, den)
+    closer = closer.unionByName(_within(scratch, m.filter(F.col("size") > SHORT), marks, num, den)).distinct()
+    second = _verify(docs, scratch, closer, n, text_col, "second")
     links = scratch.table("links", first.unionByName(second).filter(linked))
     sizes = scratch.table("sizes", sets.select("key", F.col("n").alias("n_shingles")))
     scratch.close("links", "sizes")
@@ -264,19 +264,30 @@ def linked_texts(docs: DataFrame, scratch: Scratch, n: int, num: int, den: int,
 
 
 def mark(tokens: np.ndarray) -> bytes:
-    """A byte for each of 2**k equal ranges of the order, 2**k being a quarter to half of the set's size: the sum of its tokens' hashes.
+    """Half a byte for each of 2**k equal ranges of the order, 2**k being half to all of the set's size: the sum of its tokens' hashes.
 
-    Ranges whose bytes differ hold different shingles, so their number is no
+    Ranges whose sums differ hold different shingles, so their number is no
     more than the sets' symmetric difference.  Adding neighbours gives the
-    mark of half as many ranges.
+    mark of half as many ranges.  Sets that link differ in two ninths of a
+    set's size at a limit of 0.8, so the ranges of sets that share nothing
+    are always more than that, whatever the sizes that meet.
     """
-    k = int(np.clip(np.ceil(np.log2(max(len(tokens), 1))) - 2, MARK_LEAST, MARK_MOST))
-    sums = np.bincount((tokens >> np.uint64(64 - k)).astype(np.int64), weights=(mix(tokens) & np.uint64(0xFF)).astype(np.float64), minlength=1 << k)
-    return (sums.astype(np.int64) & 0xFF).astype(np.uint8).tobytes()
+    k = int(np.clip(np.ceil(np.log2(max(len(tokens), 1))) - 1, MARK_LEAST, MARK_MOST))
+    sums = np.bincount((tokens >> np.uint64(64 - k)).astype(np.int64), weights=(mix(tokens) & np.uint64(0xF)).astype(np.float64), minlength=1 << k)
+    sums = (sums.astype(np.int64) & 0xF).astype(np.uint8)
+    return (sums[0::2] | sums[1::2] << 4).tobytes()
 
 
 def folded(raw: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8).reshape(size, -1).sum(axis=1, dtype=np.uint8)
+    """A mark's sums over ``size`` ranges."""
+    b = np.frombuffer(raw, np.uint8)
+    return np.stack([b & 0xF, b >> 4], axis=1).reshape(size, -1).sum(axis=1, dtype=np.uint8) & 0xF
+
+
+def alike(ma: bytes, mb: bytes, both: int, num: int, den: int) -> bool:
+    """Whether marks, at as many ranges as both have, allow a link of sets of ``both`` shingles together."""
+    size = 2 * min(len(ma), len(mb))
+    return int((folded(ma, size) != folded(mb, size)).sum()) <= both * (den - num) // (den + num)
 
 
 def _possible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
@@ -286,8 +297,7 @@ def _possible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFra
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for na, nb, ma, mb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ma", "mb")), strict=True):
-            size = min(len(ma), len(mb))
-            keep.append(min(na, nb) * den >= max(na, nb) * num and int((folded(ma, size) != folded(mb, size)).sum()) <= (na + nb) * (den - num) // (den + num))
+            keep.append(min(na, nb) * den >= max(na, nb) * num and alike(ma, mb, na + nb, num, den))
         return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return scan(both.select("a", "b", "na", "nb", "ma", "mb"), run, "a binary, b binary")
@@ -331,11 +341,14 @@ def _within(scratch: Scratch, members: DataFrame, marks: DataFrame, num: int, de
         pairs = set()
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             at = order[lo:hi]
-            width = min(len(raw[i]) for i in at.tolist())
+            width = 2 * min(len(raw[i]) for i in at.tolist())
             grid = np.stack([folded(raw[i], width) for i in at.tolist()])
             split = mine[at] if low[at[0]] != high[at[0]] else None
             for i, k in led(size[at], component[at], far[at], grid, split, num, den):
-                pairs.add((min(keys[at[i]], keys[at[k]]), max(keys[at[i]], keys[at[k]])))
+                i, k = int(at[i]), int(at[k])
+                # the list's least set may have fewer ranges than these two
+                if 2 * min(len(raw[i]), len(raw[k])) == width or alike(raw[i], raw[k], int(size[i] + size[k]), num, den):
+                    pairs.add((min(keys[i], keys[k]), max(keys[i], keys[k])))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
 
     return m.drop("other", "blocks").groupBy("g").applyInArrow(run, "a binary, b binary")
@@ -376,6 +389,7 @@ def _verify(docs: DataFrame, scratch: Scratch, pairs: DataFrame, n: int, text_co
                 common.append(int((b[at] == a).sum()) if len(b) else 0)
                 joint.append(len(a) + len(b) - common[-1])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(joint, pa.int64())], ["a", "b", "common", "joint"])
+        rest()
 
     out = scratch.table(name, both.mapInArrow(overlaps, schema))
     scratch.drop(f"{name}_texts")

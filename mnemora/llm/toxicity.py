@@ -229,4 +229,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     Null and empty texts stay, and so do rows with a null id; an empty table gives none.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    return docs.mapInArrow(lambda it: (b.filter(pa.array([model.value.score(t) < threshold for t in b.column("text").to_pylist()], pa.bool_())) for b in it), docs.schema)
+    return scan(docs, lambda b: b.filter(pa.array([model.value.score(t) < threshold for t in b.column("text").to_pylist()], pa.bool_())), docs.schema)

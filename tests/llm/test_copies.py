@@ -200,6 +200,16 @@ def test_linked_sets_share_a_signature(tokens, data):
             assert (jaccard.folded(ma, size) != jaccard.folded(mb, size)).sum() <= (len(a) + len(b)) * (100 - num) // (100 + num)
 
 
+def test_marks_rule_out_sets_without_anything_in_common():
+    """Also where the smaller set is just too small for the mark of the larger one."""
+    rng = np.random.default_rng(4)
+    for k in range(5, 12):
+        for n, m in ((1 << k, (1 << k) * 5 // 4), ((1 << k) - 3, 1 << k), ((1 << k) + 1, (1 << k) * 5 // 4)):
+            for _ in range(20):
+                ma, mb = (jaccard.mark(np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))) for size in (n, m))
+                assert not jaccard.alike(ma, mb, n + m, 80, 100)
+
+
 def test_one_of_each_group_stays(spark):
     rows = near_copies(1)
     rows += [rows[3], rows[3]]
