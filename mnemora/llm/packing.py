@@ -43,19 +43,19 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DE
         bpe = loaded(vocabulary)
         last = np.array([end_id], dtype="<u4").tobytes()
         rows: list[list] = [[] for _ in range(5 + keep_ids)]
-        seen: dict[str, bytes] = {}
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text not in seen:
-                seen[text] = bpe.encode(text or "").tobytes() + last
+        texts = batch.column(1).to_pylist()
+        kinds = list(dict.fromkeys(texts))
+        seen = {text: ids.tobytes() + last for text, ids in zip(kinds, bpe.encode_all([text or "" for text in kinds]), strict=True)}
+        for key, text in zip(batch.column(0).to_pylist(), texts, strict=True):
             ids = seen[text]
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 row = (key, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if keep_ids else []))
                 for column, value in zip(rows, row, strict=True):
                     column.append(value)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names[: len(rows)])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, types, strict=False)], names[: len(rows)])
 
     return scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, PIECES + ", ids array<int>" * keep_ids)
 

@@ -1,4 +1,4 @@
-"""Tokenising with a public word-level BPE vocabulary, through a bounded cache of words."""
+"""Tokenising with a public word-level BPE vocabulary, through a bounded cache of what stands between spaces."""
 
 from __future__ import annotations
 
@@ -8,40 +8,44 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from mnemora.llm.common import hold
 
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
-#: Words whose ids a process keeps; beyond it the earliest, among which are the frequent ones, stay.
-CACHE_WORDS, CACHE_KEPT = 300_000, 200_000
-#: Slots that note a word's hash at first sight; a word is kept from its second on.
+#: Chunks between spaces whose ids a process keeps; beyond it the earliest, among which are the frequent ones, stay.
+CACHE_WORDS, CACHE_KEPT = 200_000, 140_000
+#: Characters of the longest chunk that is kept.
+LONGEST = 64
+#: Slots that note a chunk's hash at first sight; a chunk is kept from its second on.
 SEEN_SLOTS = 1 << 23
-#: Characters of text split into words at once.
-SPAN = 1 << 18
+#: Characters of text, of one or many, that are split at once.
+SPAN = 1 << 20
 # Characters for which the word split below is the vocabulary's own: printable ASCII, Latin letters
 # and marks that have one code point, no other digits or spaces.  Texts with others take the library's path.
 SPACE = re.compile(r"\s")
 OTHER = re.compile("[^\t\n\r -~¡-¬®-±´-¸º»¿-įıĲ-ɏ]|<\\|")
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+WORDS = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")
 
 
 class WordBpe:
-    """The ids that ``tokenizers`` gives with ``add_special_tokens=False``, computed a distinct word at a time."""
+    """The ids that ``tokenizers`` gives with ``add_special_tokens=False``, computed a distinct chunk between spaces at a time."""
 
     def __init__(self, path: str = DEFAULT):
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}  # a word's ids as little-endian uint32
+        self.cache: dict[str, bytes] = {}  # a chunk's ids as little-endian uint32
         self.seen = bytearray(SEEN_SLOTS)
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.cut = Tokenizer(self.tok.model)  # of lower-case words that spaces part already
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, words: list[str]) -> None:
-        ids = self.whole(" ".join(words))
+        ids = np.array(self.cut.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words) and (not len(cuts) or cuts[-1] == len(ids)):
             raw, ends = ids.tobytes(), (4 * cuts).tolist()
@@ -50,30 +54,49 @@ class WordBpe:
             for w in words:
                 self.cache[w] = self.whole(w).tobytes()
 
+    def _resolve(self, held: list[tuple[list[bytes], list[str]]]) -> None:
+        """Append the ids of each list of chunks to the list beside it."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = dict(itertools.islice(self.cache.items(), CACHE_KEPT))
+        missing = set().union(*(chunks for _, chunks in held)).difference(self.cache)
+        mixed = {c: WORDS.findall(c) for c in missing if not c.isalpha()}
+        words = missing.difference(mixed).union(set().union(*mixed.values()).difference(self.cache))
+        self._learn(list(words))
+        self.cache.update((c, b"".join([self.cache[w] for w in parts])) for c, parts in mixed.items())
+        for out, chunks in held:
+            out.append(b"".join(map(self.cache.__getitem__, chunks)))
+        for c in missing | words:
+            slot = hash(c) & (SEEN_SLOTS - 1)
+            if len(c) > LONGEST or not self.seen[slot]:
+                self.seen[slot] = 1
+                del self.cache[c]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each whole text, however long; what is new to texts that are split together is learned once."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[list[bytes], list[str]]] = []
+        size = 0
+        for mine, text in zip(out, texts, strict=True):
+            if OTHER.search(text) or not unicodedata.is_normalized("NFC", text):
+                mine.append(self.whole(text).tobytes())
+                continue
+            at, text = 0, text.lower()
+            while at < len(text):
+                end = min(at + SPAN, len(text))
+                if end < len(text):
+                    cut = SPACE.search(text, end)
+                    end = cut.start() if cut else len(text)
+                held.append((mine, text[at:end].split()))
+                size, at = size + end - at, end
+                if size >= SPAN:
+                    self._resolve(held)
+                    held, size = [], 0
+        self._resolve(held)
+        return [np.frombuffer(b"".join(mine), dtype="<u4") for mine in out]
+
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text, however long."""
-        if OTHER.search(text) or not unicodedata.is_normalized("NFC", text):
-            return self.whole(text)
-        out, at, text = [], 0, text.lower()
-        while at < len(text):
-            end = at + SPAN
-            if end < len(text):
-                cut = SPACE.search(text, end)
-                end = cut.start() if cut else len(text)
-            words = WORDS.findall(text, at, end)
-            at = end
-            kinds = set(words)
-            if len(self.cache) > CACHE_WORDS:
-                self.cache = dict(itertools.islice(self.cache.items(), CACHE_KEPT))
-            if missing := list(kinds.difference(self.cache)):
-                self._learn(missing)
-            out.append(b"".join(map(self.cache.__getitem__, words)))
-            for w in missing:
-                slot = hash(w) & (SEEN_SLOTS - 1)
-                if not self.seen[slot]:
-                    self.seen[slot] = 1
-                    del self.cache[w]
-        return np.frombuffer(out[0] if len(out) == 1 else b"".join(out), dtype="<u4")
+        """The ids of a whole text."""
+        return self.encode_all([text])[0]
 
 
 _LOADED: dict[str, WordBpe] = {}

@@ -30,6 +30,33 @@ def test_tokens_of_odd_and_real_texts(spark, sf, monkeypatch):
         assert bpe.encode(text).tolist() == bpe.tok.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_learn_a_word_once(monkeypatch):
+    """What is new to texts that are split together goes to the vocabulary once, a word beside punctuation as the word."""
+    from mnemora.llm import tokens
+
+    bpe, learned = tokens.WordBpe(), []
+    learn = bpe._learn
+    monkeypatch.setattr(bpe, "_learn", lambda words: (learned.extend(words), learn(words)))
+    texts = ["Alpha beta, beta.", "beta (gamma) alpha!", "", "gamma's 12"] + ODD
+    assert [x.tolist() for x in bpe.encode_all(texts)] == [bpe.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(learned) == len(set(learned)) and {"beta", "gamma"} <= set(learned) and "beta," not in learned
+
+
+def test_caches_end_with_their_task(spark):
+    """A worker that waits keeps no vocabulary and no words."""
+    import pyarrow as pa
+
+    from mnemora.llm import common, tokens
+
+    def run(batch):
+        held = len(tokens._LOADED)
+        tokens.loaded().encode("a word")
+        return pa.RecordBatch.from_arrays([pa.array([held] * batch.num_rows, pa.int64())], ["held"])
+
+    one = common.scan(spark.range(4).coalesce(1), run, "held long")
+    assert [{r["held"] for r in one.collect()} for _ in range(12)] == [{0}] * 12
+
+
 def best_bins(lengths, capacity):
     """The least number of bins, by trying everything."""
     lengths = sorted(lengths, reverse=True)
