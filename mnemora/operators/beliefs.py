@@ -12,7 +12,7 @@ from mnemora.functions import text as T
 from mnemora.operators import graph
 from mnemora.operators.graph import components
 from mnemora.operators.recall import compatible
-from mnemora.operators.vectors import similar_pairs, top_neighbours
+from mnemora.operators.vectors import linking_pairs, similar_pairs, top_neighbours
 from mnemora.scorers import reversal_classifier
 
 
@@ -81,7 +81,17 @@ def merged(pairs: DataFrame, memories: DataFrame, threshold: float, folder: str)
     least id; it gets all tags of the component.
     """
     p = sided(pairs.filter(F.col("sim") >= threshold), memories.filter("type <> 'tool'"), "type").filter("type_a = type_b")
-    g = components(p.select("a", "b"), folder).withColumnRenamed("node", "id").join(memories.select("id", "tags", "access_count", "created_at"), "id")
+    return _winners(p.select("a", "b"), memories, folder)
+
+
+def merged_vectors(vectors: DataFrame, memories: DataFrame, threshold: float, folder: str) -> DataFrame:
+    """``merged`` of all pairs of vectors (memory_id, embedding), which are never listed."""
+    kinds = memories.filter("type <> 'tool'").select(F.col("id").alias("memory_id"), "type")
+    return _winners(linking_pairs(vectors, threshold, facts=kinds, same=["type"]), memories, folder)
+
+
+def _winners(links: DataFrame, memories: DataFrame, folder: str) -> DataFrame:
+    g = components(links, folder).withColumnRenamed("node", "id").join(memories.select("id", "tags", "access_count", "created_at"), "id")
     best = F.max(F.struct("access_count", "created_at", (-F.col("id")).alias("n"))).alias("x")
     won = g.groupBy("component").agg(best, F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags")).select("component", (-F.col("x.n")).alias("winner"), "tags")
     return g.select("component", "id").join(won, "component").filter("id <> winner").select("winner", F.col("id").alias("loser"), "tags")
@@ -171,7 +181,21 @@ def cleanup(pairs: DataFrame, memories: DataFrame, threshold: float, rename: dic
     unified = memories.replace(rename, subset=["project"]) if rename else memories
     p = sided(pairs.filter(F.col("sim") >= threshold), marked(unified.filter("type <> 'tool'")), "type", "project", "series")
     p = p.filter((F.col("type_a") == F.col("type_b")) & compatible(F.col("project_a"), F.col("project_b")) & ~T.series_marked(F.col("series_a"), F.col("series_b")))
-    g = components(p.select("a", "b"), folder).withColumnRenamed("node", "id").join(unified.select("id", "created_at"), "id")
+    return _newest(p.select("a", "b"), unified, folder)
+
+
+def cleanup_vectors(vectors: DataFrame, memories: DataFrame, threshold: float, rename: dict[str, str], folder: str) -> DataFrame:
+    """``cleanup`` of all pairs of vectors (memory_id, embedding), which are never listed."""
+    unified = memories.replace(rename, subset=["project"]) if rename else memories
+    # a mark that is null rules out what a true one does
+    mark = lambda m: F.when(F.coalesce(F.col("series")[m], F.lit(True)), "x").alias(m)
+    facts = marked(unified.filter("type <> 'tool'")).select(F.col("id").alias("memory_id"), "type", "project", mark("formula"), mark("dated"))
+    links = linking_pairs(vectors, threshold, facts=facts, same=["type"], agree=["project"], apart=["formula", "dated"])
+    return _newest(links, unified, folder)
+
+
+def _newest(links: DataFrame, memories: DataFrame, folder: str) -> DataFrame:
+    g = components(links, folder).withColumnRenamed("node", "id").join(memories.select("id", "created_at"), "id")
     newest = g.groupBy("component").agg(F.max(F.struct("created_at", (-F.col("id")).alias("n"))).alias("x")).select("component", (-F.col("x.n")).alias("canonical"))
     return g.join(newest, "component").filter("id <> canonical").select("canonical", F.col("id").alias("duplicate"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -50,7 +52,42 @@ def similar_pairs(vectors: DataFrame, low: float, high: float = 2.0, key: str =
     number times the number of groups.  A 32-bit product rules pairs out by
     its error's bound; the others' cosines are computed in 64 bits.
     """
+    return _tiled(vectors, low, high, key, block)
+
+
+def linking_pairs(vectors: DataFrame, low: float, high: float = 2.0, key: str = "memory_id", facts: DataFrame | None = None, same: Sequence[str] = (), agree: Sequence[str] = (), apart: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """(a, b) whose connected components are those of all pairs of ``similar_pairs`` that keep the rules.
+
+    The rules are on strings of ``facts``, joined by ``key``: those of ``same``
+    are equal, those of ``agree`` equal or null on a side, and none of
+    ``apart`` is there on both sides.  A tile links each of its vectors once
+    at most, to one that it reaches within the tile, so rows grow as the
+    vectors do however many pairs there are.
+    """
+    return _tiled(vectors, low, high, key, block, facts, (tuple(same), tuple(agree), tuple(apart)))
+
+
+def _united(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Each row's least row reachable by what ``root`` says and by edges x, y."""
+    while len(x):
+        rx, ry = root[x], root[y]
+        differ = rx != ry
+        x, y, rx, ry = x[differ], y[differ], rx[differ], ry[differ]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
+
+
+def _codes(columns: list[list]) -> list[np.ndarray]:
+    """Each list of strings as numbers that are equal where the strings are, -1 for null."""
+    coded = pa.array([s for c in columns for s in c], pa.string()).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.split(coded, np.cumsum([len(c) for c in columns])[:-1])
+
+
+def _tiled(vectors: DataFrame, low: float, high: float, key: str, block: int, facts: DataFrame | None = None, rules: tuple[tuple[str, ...], ...] | None = None) -> DataFrame:
     v = vectors.filter("embedding is not null").select(F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("embedding"))
+    named = [name for rule in rules or () for name in rule]
     n, width = v.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
     most = max(1, (GROUP_MB << 20) // (8 * max(1, width)))
     g = max(1, min(GROUPS, -(-n // block)), -(-n // most))
@@ -68,7 +105,8 @@ def similar_pairs(vectors: DataFrame, low: float, high: float = 2.0, key: str =
                 one = np.array_equal(short, rows)
                 ks, data = keys[mine].tolist(), (short if one else rows).tobytes()
                 tiles = [tile[min(i, j), max(i, j)] for j in range(g)]
-                yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int32()), pa.array([int(i)] * g, pa.int32()), pa.array([ks] * g, pa.list_(pa.int64())), pa.array([one] * g), pa.array([data] * g, pa.binary())], ["tile", "g", "ks", "short", "m"])
+                said = [batch.column(3 + c).take(pa.array(mine)).to_pylist() for c in range(len(named))]
+                yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int32()), pa.array([int(i)] * g, pa.int32()), pa.array([ks] * g, pa.list_(pa.int64())), pa.array([one] * g), pa.array([data] * g, pa.binary()), pa.array([said] * g, pa.list_(pa.list_(pa.string())))], ["tile", "g", "ks", "short", "m", "said"])
 
     def multiply(batches):
         held, at = {}, None
@@ -79,13 +117,14 @@ def similar_pairs(vectors: DataFrame, low: float, high: float = 2.0, key: str =
                     held, at = {}, batch.column(0)[r].as_py()
                 kind = sent if batch.column(3)[r].as_py() else np.float64
                 ks = batch.column(2)[r].values.to_numpy()
-                held.setdefault(batch.column(1)[r].as_py(), []).append((ks, np.frombuffer(batch.column(4)[r].as_buffer(), kind).reshape(len(ks), width).copy()))
+                held.setdefault(batch.column(1)[r].as_py(), []).append((ks, np.frombuffer(batch.column(4)[r].as_buffer(), kind).reshape(len(ks), width).copy(), batch.column(5)[r].as_py()))
         yield from products(held)
 
     def products(held):
-        sides = []
+        sides, told = [], []
         for pieces in held.values():
             ks, m = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
+            told.append([[s for p in pieces for s in p[2][c]] for c in range(len(named))])
             pieces.clear()
             sizes = np.linalg.norm(m.astype(np.float64), axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -93,6 +132,9 @@ def similar_pairs(vectors: DataFrame, low: float, high: float = 2.0, key: str =
         if not sides:
             return
         (ka, a, na, ua), (kb, b, nb, ub) = sides[0], sides[-1]
+        first = len(ka) if len(sides) > 1 else 0  # of the second side's rows, all rows being numbered together
+        said = {name: _codes([side[c] for side in told]) for c, name in enumerate(named)}
+        root = np.arange(first + len(kb)) if rules is not None else None
         slack = 1e-6 + 2.5e-7 * (ua.shape[1] + 8)  # of rounding, and of the 32-bit product
         for i0 in range(0, len(ka), block):
             for j0 in range(i0 if len(sides) == 1 else 0, len(kb), block):
@@ -100,18 +142,35 @@ def similar_pairs(vectors: DataFrame, low: float, high: float = 2.0, key: str =
                 i, j = i + i0, j + j0
                 if len(sides) == 1:
                     i, j = i[i < j], j[i < j]
+                for rule, names in enumerate(rules or ()):
+                    for name in names:
+                        x, y = said[name][0][i], said[name][-1][j]
+                        ok = ((x == y) & (x >= 0), (x == y) | (x < 0) | (y < 0), (x < 0) | (y < 0))[rule]
+                        i, j = i[ok], j[ok]
                 for c in range(0, len(i), PAIRS):
                     x, y = i[c : c + PAIRS], j[c : c + PAIRS]
+                    if rules is not None:  # what is linked already needs no cosine
+                        open_ = root[x] != root[first + y]
+                        x, y = x[open_], y[open_]
                     size = na[x] * nb[y]
                     dots = np.einsum("ij,ij->i", a[x], b[y], dtype=np.float64)
                     sim = np.round(np.divide(dots, size, out=np.zeros_like(dots), where=size > 0), 6)
                     keep = (sim >= low) & (sim <= high)
+                    if rules is not None:
+                        root = _united(root, x[keep], first + y[keep])
+                        continue
                     x, y = ka[x[keep]], kb[y[keep]]
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sim[keep])], ["a", "b", "sim"])
-
-    dealt = v.withColumn("g", F.pmod(F.xxhash64("k"), F.lit(g)).cast("int")).mapInArrow(deal, "tile int, g int, ks array<long>, short boolean, m binary")
-    return dealt.repartitionById(len(tile), "tile").sortWithinPartitions("tile").mapInArrow(multiply, "a long, b long, sim double")
+        if rules is not None and len(member := np.flatnonzero(root != np.arange(len(root)))):
+            ks = np.concatenate([ka, kb]) if first else ka
+            yield pa.RecordBatch.from_arrays([pa.array(ks[root[member]]), pa.array(ks[member])], ["a", "b"])
+
+    v = v.withColumn("g", F.pmod(F.xxhash64("k"), F.lit(g)).cast("int"))
+    if facts is not None:
+        v = v.join(facts.select(F.col(key).alias("k"), *named), "k").select("k", "embedding", "g", *named)
+    dealt = v.mapInArrow(deal, "tile int, g int, ks array<long>, short boolean, m binary, said array<array<string>>")
+    return dealt.repartitionById(len(tile), "tile").sortWithinPartitions("tile").mapInArrow(multiply, "a long, b long" + ", sim double" * (rules is None))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

@@ -221,3 +221,23 @@ def test_similar_pairs_send_no_more_copies_as_they_grow(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "explode" not in plan.lower()  # blocks are not paired before they are sent
     assert vectors.similar_pairs(v.limit(0), 0.4).count() == 0
+
+
+def test_links_have_the_components_of_all_pairs(spark, tmp_path):
+    """Under each kind of rule, with nulls, over one group and several; rows are bounded by the vectors, not by the pairs."""
+    import numpy as np
+
+    from mnemora.operators import vectors
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist(), "dst"[i % 3], None if i % 4 == 0 else f"p{i % 5}", "x" if i % 6 == 0 else None) for i in range(60)]
+    v = spark.createDataFrame(rows, "memory_id long, embedding array<double>, type string, project string, mark string").cache()
+    side = lambda s: v.select(F.col("memory_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("type", "project", "mark")])
+    ok = (F.col("type_a") == F.col("type_b")) & R.compatible(F.col("project_a"), F.col("project_b")) & (F.col("mark_a").isNull() | F.col("mark_b").isNull())
+    for n, (low, block) in enumerate([(0.97, 7), (0.9, 100), (0.3, 7)]):
+        every = vectors.similar_pairs(v, low, block=block).join(side("a"), "a").join(side("b"), "b").filter(ok)
+        few = vectors.linking_pairs(v, low, facts=v, same=["type"], agree=["project"], apart=["mark"], block=block)
+        got, want = (sorted(map(tuple, graph.components(e.select("a", "b"), f"file://{tmp_path}/{n}{k}").collect())) for k, e in enumerate((few, every)))
+        assert got == want and got
+        plain = vectors.linking_pairs(v, low, block=block)
+        assert plain.count() <= 59 * (9 if block == 7 else 1) and vectors.similar_pairs(v, low, block=block).count() >= len(got) // 2
