@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.llm.common import Scratch, scan, tune
-from mnemora.llm.tokens import DEFAULT, loaded
+from mnemora.llm.tokens import DEFAULT, SPAN, loaded
 
 CAPACITY = 2048
 #: Pieces that one task packs; bounds its memory.
@@ -57,7 +57,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DE
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, types, strict=False)], names[: len(rows)])
 
-    return scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, PIECES + ", ids array<int>" * keep_ids)
+    return scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, PIECES + ", ids array<int>" * keep_ids, at_once=SPAN * 3 // 4)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> float:

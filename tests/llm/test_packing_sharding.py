@@ -42,6 +42,33 @@ def test_texts_learn_a_word_once(monkeypatch):
     assert len(learned) == len(set(learned)) and {"beta", "gamma"} <= set(learned) and "beta," not in learned
 
 
+def test_frequent_words_and_batches_are_learned_once(spark, monkeypatch):
+    """A word that stands twice in a span is known from then on, and small batches are split together."""
+    import pyarrow as pa
+
+    from mnemora.llm import common, tokens
+
+    bpe, learned = tokens.WordBpe(), []
+    learn = bpe._learn
+    monkeypatch.setattr(bpe, "_learn", lambda words: (learned.extend(words), learn(words)))
+    texts = ["alpha beta beta", "beta beta, gamma", "Beta! gamma"]
+    assert [bpe.encode(t).tolist() for t in texts] == [bpe.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert learned.count("beta") == 1 and learned.count("gamma") == 2
+
+    common.tune(spark)
+    rows = common.scan(spark.range(2000).coalesce(1), lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]), "n long", at_once=8 * 1000).collect()
+    assert sum(r["n"] for r in rows) == 2000 and len(rows) == 2
+
+
+def test_every_plain_character():
+    from mnemora.llm import tokens
+
+    bpe = tokens.WordBpe()
+    texts = [t for c in map(chr, range(0x260)) for t in (c, f"a{c}b {c}{c}'s {c}1", f" {c}x\n")]
+    assert sum(map(bpe._split, texts)) > 1000
+    assert [x.tolist() for x in bpe.encode_all(texts)] == [bpe.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_caches_end_with_their_task(spark):
     """A worker that waits keeps no vocabulary and no words."""
     import pyarrow as pa
