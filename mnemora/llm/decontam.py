@@ -177,5 +177,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_
             keep = [not any(covered >= coverage * len(b.items[k]) for k, covered, _, _ in search(b, text)) for text in batch.column(text_col).to_pylist()]
             return batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(lambda it, run=run: (run(b) for b in it), docs.schema)
+        out = scan(out, run, docs.schema)
     return out

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, bitmap, distinct_scan, fitted, hit, hold, in_bitmap, rest, scan, text_key, tune
+from mnemora.llm.common import Scratch, bitmap, distinct_scan, fitted, hit, hold, in_bitmap, rest, scan, text_key, tidy, tune
 from mnemora.llm.langid import mix
 from mnemora.operators.graph import components
 
@@ -166,6 +166,7 @@ def shared_bitmap(sets: DataFrame, total: int, bits: int) -> np.ndarray:
                 yield flush()
         if held:
             yield flush()
+        rest()
 
     def count(t: pa.Table) -> pa.Table:
         value = np.frombuffer(b"".join(t.column("once").to_pylist()), "<u4")
@@ -178,7 +179,7 @@ def shared_bitmap(sets: DataFrame, total: int, bits: int) -> np.ndarray:
 
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
     size = len(out) >> log
-    for r in sets.select("bands").mapInArrow(parts, "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(count, "bucket int, map binary").toLocalIterator():
+    for r in sets.select("bands").mapInArrow(parts, "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(tidy(count), "bucket int, map binary").toLocalIterator():
         out[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["map"], dtype=np.uint8)
     return out
 

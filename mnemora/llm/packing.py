@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import Scratch, scan, tune
+from mnemora.llm.common import Scratch, scan, tidy, tune
 from mnemora.llm.tokens import DEFAULT, SPAN, loaded
 
 CAPACITY = 2048
@@ -149,7 +149,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
         groups = max(1, -(-n // partition_pieces))
         final = turn == ROUNDS - 1 or (groups == 1 and turn > 0) or n == 0
         keyed = rest.withColumn("g", F.expr(f"int(pmod(xxhash64(rid, {turn}), {groups}))"))
-        packed = keyed.groupBy("g").applyInArrow(_grouped(capacity, final or groups == 1), _OUT + ", g int")
+        packed = keyed.groupBy("g").applyInArrow(tidy(_grouped(capacity, final or groups == 1)), _OUT + ", g int")
         packed = scratch.table(f"round{turn}", packed)
         ids = F.lit(turn).cast("long") * F.lit(1 << 56) + F.col("g").cast("long") * F.lit(1 << 32) + F.col("bin")
         done.append(packed.filter("not released").select("doc_id", "piece", "start", "length", "ids_crc32", ids.alias("sequence_id"), "offset", F.lit(turn).alias("round"), "partition_bins", "partition_bound"))

@@ -19,8 +19,8 @@ DEFAULT = public_tokenizers.path("word_bpe_49k.json")
 CACHE_WORDS, CACHE_KEPT = 200_000, 140_000
 #: Bytes of the longest chunk that is kept.
 LONGEST = 64
-#: Characters of text, of one or many, that are split at once.
-SPAN = 1 << 23
+#: Characters of text, of one or many, that are split at once, and new words that the vocabulary sees at once: a worker's memory goes with both.
+SPAN, LEARN = 1 << 21, 1 << 12
 # Characters for which the word split below is the vocabulary's own: printable ASCII, Latin letters
 # and marks that have one code point, no other digits or spaces.  Texts with others take the library's path.
 SPACE = re.compile(r"\s")
@@ -74,15 +74,19 @@ class WordBpe:
 
     def _learn(self, words: list[str]) -> None:
         """Leave the ids of distinct words, as the vocabulary gives them, in ``learned``."""
+        parts = [self._told(words[at : at + LEARN]) for at in range(0, len(words), LEARN)]
+        self.learned = Ragged(np.concatenate([np.empty(0, "<u4"), *(p.flat for p in parts)]), np.concatenate([np.empty(0, np.int64), *(p.size for p in parts)]))
+
+    def _told(self, words: list[str]) -> Ragged:
+        """The ids that the vocabulary gives for some words."""
         line = " ".join(words)
         if not line.isascii():
             line = self.letters[np.frombuffer(line.encode(), np.uint8)].tobytes().decode("utf-16-le")
         ids = np.array(self.cut.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words) and (not len(cuts) or cuts[-1] == len(ids)):
-            self.learned = Ragged(ids, np.diff(cuts, prepend=0))
-        else:
-            self.learned = Ragged.of([self.whole(w) for w in words])
+            return Ragged(ids, np.diff(cuts, prepend=0))
+        return Ragged.of([self.whole(w) for w in words])
 
     def _found(self, strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """The place of each string among the known chunks, those that are not known (-1), and the latter."""

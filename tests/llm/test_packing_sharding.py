@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -84,6 +87,43 @@ def test_caches_end_with_their_task(spark):
     assert [{r["held"] for r in one.collect()} for _ in range(12)] == [{0}] * 12
 
 
+HEAVY = """
+import resource, sys
+import numpy as np
+from mnemora.llm.tokens import loaded
+
+rng = np.random.default_rng(3)
+letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+words = ["".join(letters[rng.integers(0, 26, n)]) for n in rng.integers(3, 10, 150_000)]
+texts = [" ".join(words[i % len(words)] for i in rng.zipf(1.2, 2_000).tolist()) for _ in range(550)]
+bpe = loaded()
+bpe.encode("some words")
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+size = sum(len(x) for x in bpe.encode_all(texts))
+print(sum(map(len, texts)), size, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_memory_of_long_batches():
+    """What a worker takes for a batch of many new words stays near its vocabulary's size."""
+    out = subprocess.run([sys.executable, "-c", HEAVY], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    chars, size, mb = map(int, out.stdout.split())
+    assert chars > 6 << 20 and size > 1 << 20 and mb < 110
+
+
+def test_words_are_learned_in_slices(monkeypatch):
+    """The ids do not depend on how many words the vocabulary sees at once."""
+    from mnemora.llm import tokens
+
+    texts = ["one two three four five", "six's (seven) 8 nine-ten Ünï", ""] + ODD
+    want = [x.tolist() for x in tokens.WordBpe().encode_all(texts)]
+    monkeypatch.setattr(tokens, "LEARN", 2)
+    bpe, most = tokens.WordBpe(), []
+    told = bpe._told
+    monkeypatch.setattr(bpe, "_told", lambda words: (most.append(len(words)), told(words))[1])
+    assert [x.tolist() for x in bpe.encode_all(texts)] == want and max(most) == 2 and len(most) > 5
+
+
 def best_bins(lengths, capacity):
     """The least number of bins, by trying everything."""
     lengths = sorted(lengths, reverse=True)
